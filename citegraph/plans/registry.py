@@ -24,4 +24,5 @@ def load_all() -> None:
     # Importing the modules fills the registry.
     from citegraph.plans import (  # noqa: F401
         graph_queries,
+        relational_queries,
     )

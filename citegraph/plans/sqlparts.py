@@ -70,3 +70,39 @@ PROP = """pw AS (
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# lineitems with their supplier (author) and nation (organisation)
+LINE = """line AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_discount, l.l_tax,
+         l.l_returnflag, s.s_name, n.n_nationkey, n.n_regionkey, n.n_name
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
+
+# flattened publication table (pubWhole) computed straight from the lines
+PWH = """pwh AS (
+  SELECT CAST(o.o_orderkey AS VARCHAR) AS publication_id, CAST(year(o.o_orderdate) AS BIGINT) AS year,
+         strftime(o.o_orderdate, '%Y-%m-%d') AS date, o.o_orderpriority AS publication_type,
+         COALESCE(g.cti, '') AS clinical_trial_ids, o.o_totalprice AS citation_count,
+         g.times_cited, g.recent_citations, g.field_citation_ratio, g.relative_citation_ratio,
+         o.o_totalprice / 1000.0 AS altmetric_score, g.l_orderkey IS NOT NULL AS is_open_access,
+         COALESCE(g.n_lines, 0) AS n_authors, COALESCE(g.n_lines, 0) AS n_funding,
+         COALESCE(g.orgs, '') AS unique_org_ids, '' AS research_org_city_ids,
+         COALESCE(g.ccs, '') AS research_org_country_codes, '' AS research_org_state_codes,
+         COALESCE(g.norg, 0) AS num_unique_orgs
+  FROM orders o LEFT JOIN (
+    SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ', ') AS cti,
+           CAST(SUM(l_quantity) AS BIGINT) AS times_cited, COUNT(*) AS recent_citations,
+           AVG(l_discount) AS field_citation_ratio, AVG(l_tax) AS relative_citation_ratio, COUNT(*) AS n_lines,
+           array_to_string(list_sort(list_distinct(list(CAST(n_nationkey AS VARCHAR)))), ', ') AS orgs,
+           array_to_string(list_sort(list_distinct(list(CAST(n_regionkey AS VARCHAR)))), ', ') AS ccs,
+           CAST(COUNT(DISTINCT n_nationkey) AS BIGINT) AS norg
+    FROM line GROUP BY l_orderkey) g ON g.l_orderkey = o.o_orderkey)"""
+
+# one row per (publication, author line): name, position in the sorted author list
+AROWS = """arows AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS publication_id,
+         CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_suppkey AS VARCHAR)) - 1 AS INTEGER) AS pos,
+         CAST(l_suppkey AS VARCHAR) AS researcher_id,
+         split_part(s_name, '#', 1) || ' ' || split_part(s_name, '#', 2) AS concatenated_name,
+         n_name, n_nationkey, n_regionkey
+  FROM line)"""

@@ -110,7 +110,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
         o.join(nested, o.o_orderkey == nested.l_orderkey, "left")
         .select(
             F.col("o_orderkey").cast("string").alias("id"),
-            F.year("o_orderdate").alias("year"),
+            _year("o_orderdate").alias("year"),
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
             F.col("o_orderpriority").alias("type"),
             F.coalesce(F.col("clinical_trial_ids"), F.array().cast("array<string>")).alias("clinical_trial_ids"),
