@@ -25,4 +25,5 @@ def load_all() -> None:
     from citegraph.plans import (  # noqa: F401
         graph_queries,
         relational_queries,
+        text_queries,
     )
