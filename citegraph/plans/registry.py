@@ -26,4 +26,5 @@ def load_all() -> None:
         graph_queries,
         relational_queries,
         text_queries,
+        consensus_queries,
     )
