@@ -27,4 +27,5 @@ def load_all() -> None:
         relational_queries,
         text_queries,
         consensus_queries,
+        scoring_queries,
     )
