@@ -28,4 +28,5 @@ def load_all() -> None:
         text_queries,
         consensus_queries,
         scoring_queries,
+        source_queries,
     )

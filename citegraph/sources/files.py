@@ -76,14 +76,20 @@ def scan_csv_shards(spark: SparkSession, glob: str, schema: T.StructType | str,
 
 
 def scan_csv_encoding_fallback(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Read as UTF-8; if any line does not decode (U+FFFD appears) read as ISO-8859-1 (#5).
+    """Read as UTF-8; if any line is not valid UTF-8, read as ISO-8859-1 (#5).
 
-    The probe is a distributed filter with ``limit(1)``: it stops at the
-    first bad line and moves no data to the driver.
+    The probe is a distributed filter with ``limit(1)`` over the raw lines:
+    it stops at the first bad line and moves no data to the driver.
     """
-    probe = spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count()
+    probe = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     enc = "ISO-8859-1" if probe else "UTF-8"
-    return spark.read.schema(schema).option("header", True).option("encoding", enc).csv(path)
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("multiLine", True)
+        .option("encoding", enc)
+        .csv(path)
+    )
 
 
 def write_by_year(df: DataFrame, path: str, mode: str = "overwrite") -> None:
