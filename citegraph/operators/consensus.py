@@ -229,15 +229,39 @@ def consensus_cluster(
     seed: int = 42,
     id_col: str = "id",
     vec: str = "vec",
+    ap_maxits: int = 500,
+    ap_convits: int = 50,
 ) -> DataFrame:
-    """Cluster every permutation's subsample for every k (#130 k-means, #131 k-medoids).
+    """Cluster every permutation's subsample for every k.
 
+    algo: 'kmeans' (#130), 'pam' k-medoids (#131), 'spectral' (#132),
+    'mod' Louvain modularity, one solution per permutation, k = 0 (#133),
+    'affinity' affinity propagation searched to exactly k (#134).
     ``sv`` = (perm, id, vec). One task per permutation; output L(perm, k, id, cluster).
     Random starts are seeded from (seed, perm, k), so a retried task repeats its result.
     """
-    fn = _kmeans_np if algo == "kmeans" else _kmedoids_np
+    from citegraph.functions import clustering_np as CN
+
     cosine = distance == "cosine"
-    ks = list(ks)
+    ks = [0] if algo == "mod" else list(ks)
+
+    def cluster(X, k, rng):
+        if algo == "kmeans":
+            return _kmeans_np(X, k, rng, max_iter, reps, cosine)
+        if algo == "pam":
+            return _kmedoids_np(X, k, rng, max_iter, reps, cosine)
+        if algo == "spectral":
+            return CN.spectral(X, k, rng, distance)
+        D = CN.distances(X, distance)
+        if algo == "mod":
+            # similarity: 1/(1+d) for euclidean distances, 1-d otherwise
+            W = 1.0 / (1.0 + D) if distance in ("euclidean", "sqeuclidean") else 1.0 - D
+            return CN.louvain(W, rng)
+        if algo == "affinity":
+            # affinity propagation maximises similarity: use -distance
+            lab = CN.ap_k(-D, k, rng, maxits=ap_maxits, convits=ap_convits)
+            return np.unique(lab, return_inverse=True)[1]
+        raise ValueError(algo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
@@ -246,7 +270,7 @@ def consensus_cluster(
         out = []
         for k in ks:
             rng = np.random.default_rng([seed, perm, k])
-            lab = fn(X, k, rng, max_iter, reps, cosine)
+            lab = np.asarray(cluster(X, k, rng))
             out.append(pd.DataFrame({"perm": perm, "k": k, id_col: pdf[id_col].to_numpy(), "cluster": lab.astype("int32")}))
         return pd.concat(out, ignore_index=True)
 

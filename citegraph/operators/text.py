@@ -81,6 +81,11 @@ def word_count_by_cluster(t: DataFrame) -> DataFrame:
     return n.join(g, "word")
 
 
+def group_concat_terms(t: DataFrame) -> DataFrame:
+    """Concatenated cluster document as term counts (cluster, word, n) (#69)."""
+    return t.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def distinctiveness(t: DataFrame, k: int = 50) -> DataFrame:
     """count in cluster / global count, top k per cluster (ties by word) (#118)."""
     c = word_count_by_cluster(t).withColumn("score", F.col("n") / F.col("n_global"))

@@ -323,3 +323,36 @@ def select_k_chart_data(spark, d):
     """Non-significant k ranges (dip p > 0.5) of the stand-in evaluation table."""
     _, ranges = SEL.select_k_chart_data(_eval_standin(spark, d), 20, 0.5)
     return ranges
+
+
+# ------------------------------------------------ other consensus algorithms
+
+
+@register("consensus_cluster_spectral")
+def consensus_cluster_spectral(spark, d):
+    """Spectral clustering (locally scaled affinity) of every permutation's subsample for every k."""
+    return _labels(spark, d, "spectral")
+
+
+@register("consensus_cluster_modularity")
+def consensus_cluster_modularity(spark, d):
+    """Louvain modularity communities of every permutation's similarity graph (one solution, k = 0)."""
+    return _labels(spark, d, "mod")
+
+
+@register("consensus_cluster_affinity")
+def consensus_cluster_affinity(spark, d):
+    """Affinity propagation searched to exactly k on every permutation's subsample."""
+    return _labels(spark, d, "affinity")
+
+
+@register("affinity_propagation_k")
+def affinity_propagation_k(spark, d):
+    """Exemplars of the consensus matrix at the middle k, by affinity propagation as DataFrame rounds."""
+    from citegraph.operators.affinity import affinity_propagation_k as apk
+
+    k = KS[len(KS) // 2]
+    c = _coassoc(spark, d).filter(F.col("k") == k)
+    s = c.select("i", "j", F.coalesce("consensus", F.lit(0.0)).alias("s"))
+    sim = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
+    return rounded(apk(sim, k, grid=8, stages=2, maxits=60, convits=30, check_every=10))

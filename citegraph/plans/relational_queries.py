@@ -894,3 +894,19 @@ def intersect(spark, d):
 @register("except", with_(OH, edges_sql("author"), NODES) + "SELECT node FROM n1 EXCEPT SELECT node FROM n2")
 def except_(spark, d):
     return O.except_(_nodes(spark, d, 1997), _nodes(spark, d, 1998))
+
+
+@register(
+    "token_distinct_count",
+    with_(LINE, PWH)
+    + "SELECT publication_id, CASE WHEN research_org_country_codes IS NULL THEN 0 ELSE len(list_distinct(string_split(research_org_country_codes, ','))) END AS num_unique_country_codes FROM pwh",
+)
+def token_distinct_count(spark, d):
+    pw = _pw(spark, d)
+    return pw.select("publication_id", C.token_distinct_count("research_org_country_codes").cast("bigint").alias("num_unique_country_codes"))
+
+
+@register("array_length", with_(LINE, PWH) + "SELECT publication_id, n_authors AS num_authors FROM pwh")
+def array_length(spark, d):
+    """Number of author structs of every publication (true array size)."""
+    return _pw(spark, d).select("publication_id", F.size("authors").cast("bigint").alias("num_authors"))

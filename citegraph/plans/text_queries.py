@@ -202,3 +202,17 @@ def embed_texts(spark, d):
     """Chunked texts, hashing encoder, mean-pooled per document (checked by a repo test)."""
     docs = S.table(spark, d, "documents").select("doc_id", "text")
     return X.embed_texts(docs, "doc_id", "text", dim=64, chunk=512)
+
+
+@register("group_concat_text", with_(T2) + "SELECT cluster, word, COUNT(*) AS n FROM t2 GROUP BY 1, 2")
+def group_concat_text(spark, d):
+    """A cluster's titles as one document, in bag-of-words form: term counts per cluster.
+
+    The reference joins every title of a cluster into one string; the term
+    frequencies of that string are exactly these counts, and no cluster-sized
+    value is ever built in one row.
+    """
+    from citegraph.operators.text import group_concat_terms
+
+    t2, _ = _t2_docs(spark, d)
+    return group_concat_terms(t2)
