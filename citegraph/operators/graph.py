@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.operators.skew import pairs_within_groups
+from citegraph.session import cut_lineage
 
 EDGE_COLS = ["year", "node1", "node2", "weight"]
 
@@ -59,6 +60,9 @@ def cooccurrence_edges(
     m = members.select(
         *[F.col(c) for c in group], F.col(node_id).alias("_id"), name_col.alias("_name")
     ).dropDuplicates()
+    # the deduplicated membership table is read three times (group sizes and
+    # both sides of the pairing): write it once instead of recomputing the scan
+    m = cut_lineage(m)
     kw = {} if hot_rows is None else {"hot_rows": hot_rows}
     pairs = pairs_within_groups(m, group, "_id", ["_id", "_name"], ["_id", "_name"], **kw)
     return pairs.groupBy(

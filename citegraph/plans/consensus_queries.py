@@ -16,7 +16,7 @@ from citegraph.operators import consensus as K
 from citegraph.operators import selection as SEL
 from citegraph.plans import standins as S
 from citegraph.plans.common import rounded
-from citegraph.plans.registry import register
+from citegraph.plans.registry import register, stage
 from citegraph.plans.sqlparts import with_
 from citegraph.session import cut_lineage
 
@@ -27,14 +27,8 @@ PERMS = 40
 P_ITEM = 0.5
 KS = [2, 3, 4, 5, 6, 8, 10, 12]
 
-_MEMO: dict = {}
-
-
 def _stage(spark, d, name, build):
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+    return stage(spark, d, name, build)
 
 
 def _centroids(spark, d):

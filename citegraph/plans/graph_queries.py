@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from citegraph.operators import graph as G
 from citegraph.plans import standins as S
 from citegraph.plans.common import rounded
-from citegraph.plans.registry import register
+from citegraph.plans.registry import register, stage
+from citegraph.session import cut_lineage
 from citegraph.plans.sqlparts import CII, OH, PROP, STRENGTH, edges_sql, with_
 
 # level -> (node id column, node name column or expression, parent id column)
@@ -29,10 +30,16 @@ OFFLINE_THRESHOLD = 3
 
 
 def edges(spark: SparkSession, d: str, level: str) -> DataFrame:
-    node_id, name, parent = LEVELS[level]
-    name = name() if callable(name) else name
-    oh = S.org_hierarchy(spark, d)
-    return G.cooccurrence_edges(oh, "publication_id", "publication_year", node_id, name, parent)
+    """Co-occurrence edge table of one level, built once per session and kept as a
+    checkpointed table (the reference stores these matrices as tables too)."""
+
+    def build():
+        node_id, name, parent = LEVELS[level]
+        name = name() if callable(name) else name
+        oh = S.org_hierarchy(spark, d)
+        return cut_lineage(G.cooccurrence_edges(oh, "publication_id", "publication_year", node_id, name, parent))
+
+    return stage(spark, d, f"edges_{level}", build)
 
 
 def _q(sql_level: str, body: str, *parts: str) -> str:

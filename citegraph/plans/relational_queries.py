@@ -15,7 +15,8 @@ from citegraph.operators import graph as G
 from citegraph.plans import standins as S
 from citegraph.plans.common import rounded
 from citegraph.plans.graph_queries import edges
-from citegraph.plans.registry import register
+from citegraph.plans.registry import register, stage
+from citegraph.session import cut_lineage
 from citegraph.plans.sqlparts import AROWS, LINE, OH, PWH, edges_sql, with_
 
 PW_SCALARS = [
@@ -27,7 +28,8 @@ PW_SCALARS = [
 
 
 def _pw(spark, d):
-    return N.pub_whole(S.publications(spark, d))
+    """pubWhole, flattened once per session and checkpointed (several queries read it more than once)."""
+    return stage(spark, d, "pub_whole", lambda: cut_lineage(N.pub_whole(S.publications(spark, d))))
 
 
 def _arows(spark, d):

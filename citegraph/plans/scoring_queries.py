@@ -9,7 +9,8 @@ from citegraph.operators import nested as N
 from citegraph.operators import scoring as SC
 from citegraph.plans import standins as S
 from citegraph.plans.common import rounded
-from citegraph.plans.registry import register
+from citegraph.plans.registry import register, stage
+from citegraph.session import cut_lineage
 from citegraph.plans.relational_queries import (
     DSC_OK, GRC, PAC, PGC, PPC, PRED, _datasets_per_pub, _grants_per_pub, _patents_per_pub, _predictions, _pw,
 )
@@ -42,7 +43,7 @@ def _author_level(spark, d):
 
 
 def _scored(spark, d):
-    return SC.impact_score(_author_level(spark, d))
+    return stage(spark, d, "impact", lambda: cut_lineage(SC.impact_score(_author_level(spark, d))))
 
 
 def _author_org(spark, d):
