@@ -323,16 +323,18 @@ def cdf_area_delta(c: DataFrame, group: str = "k", v: str = "consensus") -> Data
     from citegraph.operators.windows import ecdf
 
     e = ecdf(c.filter(F.col(v).isNotNull()), group, v)
-    w = W.partitionBy(group).orderBy(v)
-    area = (
-        e.withColumn("_step", (F.col(v) - F.lag(v).over(w)) * F.col("F"))
-        .groupBy(group)
-        .agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("area"))
-    )
+    # previous distinct value of the same group: number the distinct values
+    # globally and join each to its predecessor (an equi-join, no group window)
+    from citegraph.operators.windows import row_number_global
+
+    idx = row_number_global(e, [group, v], "_ix")
+    prev = idx.select(group, (F.col("_ix") + 1).alias("_ix"), F.col(v).alias("_pv"))
+    steps = idx.join(prev, [group, "_ix"], "left").withColumn("_step", (F.col(v) - F.col("_pv")) * F.col("F"))
+    area = steps.groupBy(group).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("area"))
     # one row per k: a single ordered window over the k values is tiny
     wk = W.orderBy(group)
-    prev = F.lag("area").over(wk)
-    return area.withColumn("delta", F.when(prev.isNull(), F.col("area")).otherwise((F.col("area") - prev) / prev))
+    prevk = F.lag("area").over(wk)
+    return area.withColumn("delta", F.when(prevk.isNull(), F.col("area")).otherwise((F.col("area") - prevk) / prevk))
 
 
 def consensus_histogram(c: DataFrame, bins: int = 100, group: str = "k", v: str = "consensus") -> DataFrame:
@@ -453,10 +455,13 @@ def pair_distance(v: DataFrame, metric: str = "cosine", id_col: str = "id", vec:
 
 def pairwise_k_extreme(d: DataFrame, k: int, largest: bool = False) -> DataFrame:
     """k smallest (largest) distances per item over both pair directions (#99)."""
+    from citegraph.operators.windows import topk_per_group
+
     both = d.select("i", "j", "dist").unionByName(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
-    o = F.col("dist").desc() if largest else F.col("dist").asc()
-    w = W.partitionBy("j").orderBy(o, F.col("i"))
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if largest:
+        return topk_per_group(both, "j", "dist", "i", k)
+    neg = both.withColumn("_neg", -F.col("dist"))
+    return topk_per_group(neg, "j", "_neg", "i", k).drop("_neg")
 
 
 # ------------------------------------------------------------ #143, #144

@@ -233,11 +233,10 @@ def top_n_subgraph(edges: DataFrame, n: int, by=None) -> DataFrame:
     per-graph top-k (bounded output) and the filter two semi-joins.
     """
     keys = _by(by)
-    from pyspark.sql import Window as W
+    from citegraph.operators.windows import topk_per_group
 
     s = node_strength(edges, "weight", keys)
-    w = W.partitionBy(*keys).orderBy(F.col("strength").desc(), F.col("node"))
-    top = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select(*keys, "node")
+    top = topk_per_group(s, keys, "strength", "node", n).select(*keys, "node")
     t1 = top.select(*keys, F.col("node").alias("node1"))
     t2 = top.select(*keys, F.col("node").alias("node2"))
     return edges.join(t1, [*keys, "node1"], "left_semi").join(t2, [*keys, "node2"], "left_semi")

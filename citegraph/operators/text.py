@@ -10,7 +10,7 @@ term frequencies without building a cluster-sized value in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.functions.columns import col, tokens
@@ -88,9 +88,10 @@ def group_concat_terms(t: DataFrame) -> DataFrame:
 
 def distinctiveness(t: DataFrame, k: int = 50) -> DataFrame:
     """count in cluster / global count, top k per cluster (ties by word) (#118)."""
+    from citegraph.operators.windows import topk_per_group
+
     c = word_count_by_cluster(t).withColumn("score", F.col("n") / F.col("n_global"))
-    w = W.partitionBy("cluster").orderBy(F.col("score").desc(), F.col("word"))
-    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return topk_per_group(c, "cluster", "score", "word", k)
 
 
 def class_tf(t: DataFrame) -> DataFrame:
@@ -161,8 +162,9 @@ def centred_cluster_tfidf(t2: DataFrame, docs: DataFrame | None = None) -> DataF
 
 def top_words_matrix(centred: DataFrame, k: int = 500) -> DataFrame:
     """Rows of the centred matrix for the union of every cluster's top-k words (#124)."""
-    w = W.partitionBy("cluster").orderBy(F.col("score").desc(), F.col("word"))
-    top = centred.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("word").distinct()
+    from citegraph.operators.windows import topk_per_group
+
+    top = topk_per_group(centred, "cluster", "score", "word", k).select("word").distinct()
     return centred.join(top, "word", "left_semi")
 
 

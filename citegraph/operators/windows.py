@@ -102,28 +102,48 @@ def gaps_and_islands(df: DataFrame, idx: str, flag: Column, key: list[str] | Non
     return g.groupBy(*k, "_grp").agg(F.min(idx).alias("start"), F.max(idx).alias("end")).drop("_grp")
 
 
-def topk_per_group(df: DataFrame, group: str, score: str, tie: str, k: int, out: str = "rank") -> DataFrame:
-    """Best ``k`` rows per group by score desc, ties by ``tie`` (#92)."""
-    w = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(tie))
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+def topk_per_group(df: DataFrame, group, score: str, tie: str, k: int, out: str = "rank", salts: int = 16) -> DataFrame:
+    """Best ``k`` rows per group by score desc, ties by ``tie`` (#92).
+
+    Two phases, so that one huge group is never ranked in a single task:
+    rows are first ranked inside (group, salt) buckets (salt = hash of the
+    tie column) and only each bucket's best k survive; the final ranking
+    per group then sees at most ``salts * k`` rows. Exact: a row of the
+    global top k is in the top k of its own bucket.
+    """
+    g = [group] if isinstance(group, str) else list(group)
+    order = [F.col(score).desc(), F.col(tie)]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(tie)), F.lit(salts)))
+    first = salted.withColumn("_r0", F.row_number().over(W.partitionBy(*g, "_salt").orderBy(*order))).filter(F.col("_r0") <= k)
+    w = W.partitionBy(*g).orderBy(*order)
+    return first.drop("_salt", "_r0").withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
 def keep_first_dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """drop_duplicates(keep='first') with an explicit order (#93)."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """drop_duplicates(keep='first') with an explicit order (#93).
+
+    An aggregation (``min_by`` of the whole row by the order key) with
+    map-side combine, so a key with very many duplicates is reduced in every
+    task before the shuffle.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    ordk = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordk).alias("_first"))
+    return agg.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def ecdf(df: DataFrame, group: str, v: str) -> DataFrame:
     """Empirical CDF per group: distinct values with F(v) = share of values <= v (#94).
 
-    Computed from value counts (aggregate) and a running sum per group, so
-    repeated values collapse before the window.
+    Values are numbered globally in (group, value) order with the
+    distributed numbering; for a value, F = (last position of its tie block
+    - positions before the group) / group size. No window holds a whole group.
     """
-    counts = df.groupBy(group, v).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(group).orderBy(v).rowsBetween(W.unboundedPreceding, 0)
-    tot = W.partitionBy(group)
-    return counts.select(group, v, (F.sum("_c").over(w) / F.sum("_c").over(tot)).alias("F"))
+    x = df.select(group, v).filter(F.col(v).isNotNull())
+    rn = row_number_global(x, [group, v], "_rn")
+    ties = rn.groupBy(group, v).agg(F.max("_rn").alias("_last"))
+    base = rn.groupBy(group).agg((F.min("_rn") - 1).alias("_base"), F.count(F.lit(1)).alias("_n"))
+    return ties.join(F.broadcast(base), group).select(group, v, ((F.col("_last") - F.col("_base")) / F.col("_n")).alias("F"))
 
 
 def local_peaks(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
