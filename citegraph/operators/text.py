@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from citegraph.functions.columns import col, tokens
 from citegraph.functions.stopwords import ENGLISH, FUNCTION_WORDS
+from citegraph.session import cut_lineage
 
 # ---------------------------------------------------------------- tokens
 
@@ -95,8 +96,13 @@ def distinctiveness(t: DataFrame, k: int = 50) -> DataFrame:
 
 
 def class_tf(t: DataFrame) -> DataFrame:
-    """count / cluster total (#119); the cluster total is an aggregate joined back."""
-    n = t.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"))
+    """count / cluster total (#119); the cluster total is an aggregate joined back.
+
+    The (cluster, word) count table is written once: it is read for the
+    totals, the TF and the document frequencies, and the token table behind
+    it is the expensive part (tokenising whole texts).
+    """
+    n = cut_lineage(t.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n")))
     tot = n.groupBy("cluster").agg(F.sum("n").alias("_tot"))
     return n.join(F.broadcast(tot), "cluster").withColumn("tf", F.col("n") / F.col("_tot")).drop("_tot")
 
@@ -104,7 +110,7 @@ def class_tf(t: DataFrame) -> DataFrame:
 def class_tfidf(t: DataFrame) -> DataFrame:
     """tf · ln(#clusters / #clusters containing the word), no smoothing (#120)."""
     tf = class_tf(t)
-    n_clusters = t.select("cluster").distinct().count()
+    n_clusters = tf.select("cluster").distinct().count()
     df_w = tf.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
     return tf.join(df_w, "word").withColumn("tfidf", F.col("tf") * F.log(F.lit(float(n_clusters)) / F.col("_df"))).drop("_df")
 
@@ -132,14 +138,14 @@ def doc_tfidf_sum(t2: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     ``t2`` must hold 2+ character tokens (the vectoriser's token rule);
     ``docs`` = (doc_id, cluster) of every document.
     """
-    counts = t2.groupBy("cluster", "doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(t2.groupBy("cluster", "doc_id", "word").agg(F.count(F.lit(1)).alias("n")))
     v = _smoothed_l2(counts, ["doc_id"], ["cluster"], docs)
     return v.groupBy("cluster", "word").agg(F.sum("tfidf").alias("score"))
 
 
 def cluster_tfidf(t2: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Clusters as documents: smoothed L2 TF-IDF (#122)."""
-    counts = t2.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(t2.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n")))
     return _smoothed_l2(counts, ["cluster"], [], docs).select("cluster", "word", F.col("tfidf").alias("score"))
 
 
@@ -149,8 +155,8 @@ def centred_cluster_tfidf(t2: DataFrame, docs: DataFrame | None = None) -> DataF
     The word x cluster grid is densified only for words present (a cluster
     without the word contributes 0 - mean).
     """
-    s = cluster_tfidf(t2, docs)
-    clusters = (docs if docs is not None else t2).select("cluster").distinct()
+    s = cut_lineage(cluster_tfidf(t2, docs))
+    clusters = (docs if docs is not None else s).select("cluster").distinct()
     n_clusters = clusters.count()
     mean = s.groupBy("word").agg((F.sum("score") / F.lit(float(n_clusters))).alias("_mean"))
     grid = mean.crossJoin(F.broadcast(clusters))

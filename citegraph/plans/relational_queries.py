@@ -27,9 +27,14 @@ PW_SCALARS = [
 ]
 
 
+def _pubs(spark, d):
+    """Nested publication stand-in, built once per session."""
+    return stage(spark, d, "publications", lambda: cut_lineage(S.publications(spark, d)))
+
+
 def _pw(spark, d):
     """pubWhole, flattened once per session and checkpointed (several queries read it more than once)."""
-    return stage(spark, d, "pub_whole", lambda: cut_lineage(N.pub_whole(S.publications(spark, d))))
+    return stage(spark, d, "pub_whole", lambda: cut_lineage(N.pub_whole(_pubs(spark, d))))
 
 
 def _arows(spark, d):

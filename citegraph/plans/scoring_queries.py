@@ -12,7 +12,7 @@ from citegraph.plans.common import rounded
 from citegraph.plans.registry import register, stage
 from citegraph.session import cut_lineage
 from citegraph.plans.relational_queries import (
-    DSC_OK, GRC, PAC, PGC, PPC, PRED, _datasets_per_pub, _grants_per_pub, _patents_per_pub, _predictions, _pw,
+    DSC_OK, GRC, PAC, PGC, PPC, PRED, _datasets_per_pub, _grants_per_pub, _patents_per_pub, _predictions, _pubs, _pw,
 )
 from citegraph.plans.sqlparts import AROWS, LINE, PWH, with_
 
@@ -47,7 +47,7 @@ def _scored(spark, d):
 
 
 def _author_org(spark, d):
-    oh = N.org_hierarchy_from_nested(S.publications(spark, d), S.grid(spark, d)).filter(F.col("author_id").isNotNull())
+    oh = N.org_hierarchy_from_nested(_pubs(spark, d), S.grid(spark, d)).filter(F.col("author_id").isNotNull())
     return oh.select("author_name", F.col("organization_name").alias("highest_level_organization_name")).distinct()
 
 
