@@ -91,9 +91,10 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, id_col: str = "id"
     if n > max_centroids:
         raise ValueError(f"{n} centroids exceed the broadcast bound {max_centroids}")
     c = normalise_rows(centroids.select("cluster", F.col("centroid").alias("vec")))
-    packed = c.agg(F.collect_list(F.struct("cluster", "vec")).alias("_cs"))
+    packed = c.agg(F.collect_list(F.struct("cluster", "vec")).alias("_cs")).scalar()
     p = normalise_rows(points.select(id_col, F.col(vec).cast("array<double>").alias("vec")))
-    scored = p.crossJoin(F.broadcast(packed)).select(
+    # the packed centroids become a column first (subqueries may not sit inside lambdas)
+    scored = p.withColumn("_cs", packed).select(
         id_col,
         F.array_min(
             F.transform(

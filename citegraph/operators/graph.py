@@ -73,15 +73,13 @@ def cooccurrence_edges(
 def pair_year_densify(edges: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Every pair ever seen (per ``group_cols``) x every observed year, weight 0 when absent (#56).
 
-    The year list is one small aggregate row (its length is the number of
-    distinct years), attached to each pair and exploded.
+    The year list is one scalar value (its length is the number of distinct
+    years), exploded on each pair.
     """
     g = group_cols or []
-    years = edges.agg(F.sort_array(F.collect_set("year")).alias("_years"))
+    years = edges.agg(F.sort_array(F.collect_set("year")).alias("_years")).scalar()
     pairs = edges.select(*g, "node1", "node2").distinct()
-    grid = pairs.crossJoin(F.broadcast(years)).select(
-        *g, "node1", "node2", F.explode("_years").alias("year")
-    )
+    grid = pairs.select(*g, "node1", "node2", F.explode(years).alias("year"))
     return grid.join(edges, [*g, "year", "node1", "node2"], "left").select(
         *g, "year", "node1", "node2", F.coalesce(F.col("weight"), F.lit(0)).cast("bigint").alias("weight")
     )

@@ -28,8 +28,8 @@ IMPACT_WEIGHTS = {
 
 def linear_fit_predict(df: DataFrame, x: str, y: str, out: str = "predicted") -> DataFrame:
     """Least-squares line of y on x fitted over the table, applied to every row."""
-    fit = df.agg(F.regr_slope(y, x).alias("_a"), F.regr_intercept(y, x).alias("_b"))
-    return df.crossJoin(F.broadcast(fit)).withColumn(out, F.col("_b") + F.col("_a") * F.col(x)).drop("_a", "_b")
+    fit = df.agg(F.struct(F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b")).alias("s")).scalar()
+    return df.withColumn(out, fit["b"] + fit["a"] * F.col(x))
 
 
 def impact_score(author_rows: DataFrame, weights: dict[str, float] | None = None, name: str = "concatenated_name", pub: str = "publication_id") -> DataFrame:
@@ -132,13 +132,14 @@ def standard_scale(train: DataFrame, test: DataFrame, cols: list[str], suffix: s
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}__mu"), F.stddev_pop(c).alias(f"{c}__sd")]
     stats = train.agg(*aggs)
+    st = train.agg(F.struct(*aggs).alias("s")).scalar()  # fitted on train only
 
     def apply(df):
-        x = df.crossJoin(F.broadcast(stats))
+        x = df
         for c in cols:
-            sd = F.col(f"{c}__sd")
-            x = x.withColumn(f"{c}{suffix}", (F.col(c) - F.col(f"{c}__mu")) / F.when(sd > 0, sd).otherwise(F.lit(1.0)))
-        return x.drop(*[f"{c}__mu" for c in cols], *[f"{c}__sd" for c in cols])
+            sd = st[f"{c}__sd"]
+            x = x.withColumn(f"{c}{suffix}", (F.col(c) - st[f"{c}__mu"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0)))
+        return x
 
     return apply(train), apply(test), stats
 
@@ -159,8 +160,9 @@ def forward_chain_blocks(df: DataFrame, order: list[str], n_splits: int = 4, out
 def forward_chain_folds(df: DataFrame, order: list[str], n_splits: int = 4) -> DataFrame:
     """(fold, role) rows for every fold: role 'train' for earlier blocks, 'test' for the fold's block."""
     b = forward_chain_blocks(df, order, n_splits)
-    folds = df.sparkSession.range(1, n_splits + 1).select(F.col("id").cast("int").alias("fold"))
-    x = b.crossJoin(F.broadcast(folds)).filter(F.col("block") <= F.col("fold"))
+    x = b.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("block"), F.lit(1)), F.lit(n_splits)))).filter(
+        F.col("block") <= F.col("fold")
+    )
     return x.withColumn("role", F.when(F.col("block") == F.col("fold"), F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -274,15 +276,15 @@ def nested_cv_predict(
         zf = [f"{c}_z" for c in features]
         tr = group_folds(tr, group, n_inner, "_fold")
         cv = hyperparameter_search(tr, zf, f"{target}_z", "_fold", space)
-        stats = train.agg(F.avg(target).alias("mu"), F.stddev_pop(target).alias("sd"))
+        stats = train.agg(F.struct(F.avg(target).alias("mu"), F.stddev_pop(target).alias("sd")).alias("s")).scalar()
         pred = cv.bestModel.transform(
             VectorAssembler(inputCols=zf, outputCol="features", handleInvalid="keep").transform(te.fillna(0.0, subset=zf))
         )
-        pred = pred.crossJoin(F.broadcast(stats)).select(
+        pred = pred.select(
             F.lit(f).alias("fold"),
             F.col(key),
             F.col(target).alias("actual"),
-            (F.col("prediction") * F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0) + F.col("mu")).alias("predicted"),
+            (F.col("prediction") * F.when(stats["sd"] > 0, stats["sd"]).otherwise(1.0) + stats["mu"]).alias("predicted"),
         )
         outs.append(pred)
     res = outs[0]

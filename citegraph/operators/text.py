@@ -126,7 +126,7 @@ def _smoothed_l2(counts: DataFrame, doc_key: list[str], scope: list[str], docs:
     ndocs = src.select(*scope, *doc_key).distinct().groupBy(*scope).agg(F.count(F.lit(1)).alias("_N"))
     dfw = counts.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("_df"))
     x = counts.join(dfw, [*scope, "word"])
-    x = x.join(F.broadcast(ndocs), scope) if scope else x.crossJoin(F.broadcast(ndocs))
+    x = x.join(F.broadcast(ndocs), scope) if scope else x.withColumn("_N", ndocs.select("_N").scalar())
     x = x.withColumn("_v", F.col("n") * (F.log((1 + F.col("_N")) / (1 + F.col("_df"))) + 1))
     norm = x.groupBy(*scope, *doc_key).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
     return x.join(norm, [*scope, *doc_key]).withColumn("tfidf", F.col("_v") / F.col("_norm")).drop("_v", "_norm", "_N", "_df")
@@ -159,7 +159,8 @@ def centred_cluster_tfidf(t2: DataFrame, docs: DataFrame | None = None) -> DataF
     clusters = (docs if docs is not None else s).select("cluster").distinct()
     n_clusters = clusters.count()
     mean = s.groupBy("word").agg((F.sum("score") / F.lit(float(n_clusters))).alias("_mean"))
-    grid = mean.crossJoin(F.broadcast(clusters))
+    # the cluster list is one scalar array (length = number of clusters)
+    grid = mean.withColumn("cluster", F.explode(clusters.agg(F.collect_list("cluster")).scalar()))
     return (
         grid.join(s, ["word", "cluster"], "left")
         .select("cluster", "word", (F.coalesce(F.col("score"), F.lit(0.0)) - F.col("_mean")).alias("score"))

@@ -75,22 +75,26 @@ def dense_relabel(df: DataFrame, label: str, year: str, id_col: str, out: str =
 
 def rescale_labels(df: DataFrame, c: str, lo: int, hi: int, out: str) -> DataFrame:
     """Min-max rescale to [lo, hi], round half-even, int (#88)."""
-    mm = df.agg(F.min(c).alias("_mn"), F.max(c).alias("_mx"))
-    v = F.lit(lo) + (F.col(c) - F.col("_mn")) * F.lit(hi - lo) / (F.col("_mx") - F.col("_mn"))
-    return df.crossJoin(F.broadcast(mm)).withColumn(out, F.bround(v.cast("double"), 0).cast("int")).drop("_mn", "_mx")
+    mm = df.agg(F.struct(F.min(c).alias("mn"), F.max(c).alias("mx")).alias("s")).scalar()  # one-row scalar subquery
+    v = F.lit(lo) + (F.col(c) - mm["mn"]) * F.lit(hi - lo) / (mm["mx"] - mm["mn"])
+    return df.withColumn(out, F.bround(v.cast("double"), 0).cast("int"))
 
 
 def minmax_normalise(df: DataFrame, cols: list[str], prefix: str = "normalized_") -> DataFrame:
-    """(x - min) / range per column, range 1 when constant (#89); one aggregate row attached."""
+    """(x - min) / range per column, range 1 when constant (#89).
+
+    All minima and maxima come from one aggregation pass, used as a scalar
+    subquery (a struct value), so no join is needed to attach them.
+    """
     aggs = []
     for c in cols:
-        aggs += [F.min(c).alias(f"_mn_{c}"), F.max(c).alias(f"_mx_{c}")]
-    mm = df.agg(*aggs)
-    out = df.crossJoin(F.broadcast(mm))
+        aggs += [F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}")]
+    mm = df.agg(F.struct(*aggs).alias("s")).scalar()
+    out = df
     for c in cols:
-        rng = F.col(f"_mx_{c}") - F.col(f"_mn_{c}")
-        out = out.withColumn(f"{prefix}{c}", (F.col(c) - F.col(f"_mn_{c}")) / F.when(rng != 0, rng).otherwise(F.lit(1)))
-    return out.drop(*[f"_mn_{c}" for c in cols], *[f"_mx_{c}" for c in cols])
+        rng = mm[f"mx_{c}"] - mm[f"mn_{c}"]
+        out = out.withColumn(f"{prefix}{c}", (F.col(c) - mm[f"mn_{c}"]) / F.when(rng != 0, rng).otherwise(F.lit(1)))
+    return out
 
 
 def gaps_and_islands(df: DataFrame, idx: str, flag: Column, key: list[str] | None = None) -> DataFrame:
