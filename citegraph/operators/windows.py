@@ -120,7 +120,7 @@ def topk_per_group(df: DataFrame, group, score: str, tie: str, k: int, out: str
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(tie)), F.lit(salts)))
     first = salted.withColumn("_r0", F.row_number().over(W.partitionBy(*g, "_salt").orderBy(*order))).filter(F.col("_r0") <= k)
     w = W.partitionBy(*g).orderBy(*order)
-    return first.drop("_salt", "_r0").withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+    return first.drop("_salt", "_r0").withColumn(out, F.row_number().over(w).cast("bigint")).filter(F.col(out) <= k)
 
 
 def keep_first_dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:

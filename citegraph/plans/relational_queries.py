@@ -750,7 +750,7 @@ def pct_change(spark, d):
 @register(
     "relative_share",
     with_(TE) + "SELECT c.year, cluster, count, t.total_count, ROUND(CAST(count AS DOUBLE) / t.total_count * 100, 6) AS relative_share "
-    "FROM cnt c JOIN (SELECT year, SUM(count) AS total_count FROM cnt GROUP BY year) t ON t.year = c.year",
+    "FROM cnt c JOIN (SELECT year, CAST(SUM(count) AS BIGINT) AS total_count FROM cnt GROUP BY year) t ON t.year = c.year",
 )
 def relative_share(spark, d):
     return rounded(Wn.relative_share(_counts(spark, d), "year", "count"))

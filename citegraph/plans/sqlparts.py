@@ -44,7 +44,7 @@ def edges_sql(level: str) -> str:
 
 # node strength per (year, node) of ``e``
 STRENGTH = """st AS (
-  SELECT year, node, SUM(weight) AS strength FROM (
+  SELECT year, node, CAST(SUM(weight) AS BIGINT) AS strength FROM (
     SELECT year, node1 AS node, weight FROM e UNION ALL SELECT year, node2 AS node, weight FROM e) x
   GROUP BY year, node)"""
 
