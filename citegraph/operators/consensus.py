@@ -79,22 +79,22 @@ def kmeans_cosine(v: DataFrame, k: int, restarts: int = 3, max_iter: int = 50, s
 # ----------------------------------------------------------------- #58, #142
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, id_col: str = "id", vec: str = "vec", max_centroids: int = 100_000) -> DataFrame:
+def nearest_centroid(points: DataFrame, centroids: DataFrame, id_col: str = "id", vec: str = "vec", max_values: int = 25_000_000) -> DataFrame:
     """Every point -> the centroid at the smallest cosine distance (#58).
 
-    The centroid table is collected into one array row (its size is the
-    k-means k, checked against ``max_centroids``) and broadcast; each point
-    scans it inside one expression, so no point x centroid rows are
-    materialised.
+    The centroid table is packed into one array row (its size, centroids x
+    dimensions, is checked against ``max_values``) and broadcast: the row is
+    shipped once per executor (a scalar literal would travel with every
+    task), joined to every point as its only row, and each point scans it
+    inside one expression, so no point x centroid rows are materialised.
     """
-    n = centroids.count()
-    if n > max_centroids:
-        raise ValueError(f"{n} centroids exceed the broadcast bound {max_centroids}")
+    size = centroids.select(F.sum(F.size("centroid")).alias("n")).first().n or 0
+    if size > max_values:
+        raise ValueError(f"{size} centroid values exceed the broadcast bound {max_values}")
     c = normalise_rows(centroids.select("cluster", F.col("centroid").alias("vec")))
-    packed = c.agg(F.collect_list(F.struct("cluster", "vec")).alias("_cs")).scalar()
+    packed = c.agg(F.collect_list(F.struct("cluster", "vec")).alias("_cs"))
     p = normalise_rows(points.select(id_col, F.col(vec).cast("array<double>").alias("vec")))
-    # the packed centroids become a column first (subqueries may not sit inside lambdas)
-    scored = p.withColumn("_cs", packed).select(
+    scored = p.crossJoin(F.broadcast(packed)).select(
         id_col,
         F.array_min(
             F.transform(
