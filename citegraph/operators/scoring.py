@@ -39,11 +39,21 @@ def impact_score(author_rows: DataFrame, weights: dict[str, float] | None = None
     publications per author (#83), bad numbers -> 0 (#16), min-max over the
     table (#89), then one weighted expression.
     """
+    from pyspark.sql import types as T
+
+    from citegraph.session import cut_lineage
+
     w = weights or IMPACT_WEIGHTS
     x = author_rows.withColumn("Diff", clip_negative("Diff"))
     x = group_transform_nunique(x, name, pub, "num_publications")
+    types = {f.name: f.dataType for f in x.schema.fields}
     for c in w:
-        x = x.withColumn(c, numeric_or(F.col(c).cast("string")))
+        if isinstance(types[c], T.NumericType):
+            x = x.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        else:  # text or mixed input: bad numbers -> NULL -> 0
+            x = x.withColumn(c, numeric_or(F.col(c).cast("string")))
+    # the component table is read twice (min/max pass, then scoring): write it once
+    x = cut_lineage(x)
     x = minmax_normalise(x, list(w))
     score = sum((F.lit(v) * F.col(f"normalized_{c}") for c, v in w.items()), F.lit(0.0))
     return x.withColumn("impact_score", score)
