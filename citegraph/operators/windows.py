@@ -123,17 +123,19 @@ def topk_per_group(df: DataFrame, group, score: str, tie: str, k: int, out: str
     return first.drop("_salt", "_r0").withColumn(out, F.row_number().over(w).cast("bigint")).filter(F.col(out) <= k)
 
 
-def keep_first_dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+def keep_first_dedup(df: DataFrame, keys: list[str], order: list, salts: int = 16) -> DataFrame:
     """drop_duplicates(keep='first') with an explicit order (#93).
 
-    An aggregation (``min_by`` of the whole row by the order key) with
-    map-side combine, so a key with very many duplicates is reduced in every
-    task before the shuffle.
+    Two phases, like the top-k: the first row is taken inside (key, salt)
+    buckets (salt = hash of the whole row), then among the at most ``salts``
+    bucket winners of each key, so a key with very many duplicates is
+    spread over many tasks. Any sort order (asc/desc, nulls) is accepted.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ordk = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordk).alias("_first"))
-    return agg.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
+    ords = [F.col(c) if isinstance(c, str) else c for c in order]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    first = salted.withColumn("_r0", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*ords))).filter(F.col("_r0") == 1)
+    w = W.partitionBy(*keys).orderBy(*ords)
+    return first.drop("_salt", "_r0").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def ecdf(df: DataFrame, group: str, v: str) -> DataFrame:
