@@ -76,3 +76,18 @@ def tokens(c, min_len: int = 1) -> Column:
     """Lower-case Unicode word tokens."""
     pat = WORD if min_len <= 1 else r"[\p{L}\p{N}_]{%d,}" % min_len
     return F.regexp_extract_all(F.lower(col(c)), F.lit(pat), 0)
+
+
+def stable_hash(c, seed: int) -> Column:
+    """Integer in [0, 2^32) from the first 32 bits of md5("<value>:<seed>").
+
+    Deterministic across runs, task retries and engines (the SQL oracle
+    computes the same value), used for reproducible draws and orders.
+    """
+    txt = F.concat(col(c).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("bigint")
+
+
+def stable_unit(c, seed: int) -> Column:
+    """``stable_hash`` scaled to [0, 1)."""
+    return stable_hash(c, seed) / F.lit(4294967296.0)

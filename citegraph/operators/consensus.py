@@ -127,7 +127,9 @@ def subsample_items(items: DataFrame, perms: int, p: float, seed: int = 42, id_c
     n = items.count()
     m = int(round(n * p))
     x = items.select(id_col).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    w = W.partitionBy("perm").orderBy(F.xxhash64(F.col(id_col), F.col("perm"), F.lit(seed)), F.col(id_col))
+    from citegraph.functions.columns import stable_hash
+
+    w = W.partitionBy("perm").orderBy(stable_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.col("perm").cast("string")), seed), F.col(id_col))
     return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).select("perm", id_col)
 
 
@@ -475,10 +477,10 @@ def stratified_fold(df: DataFrame, stratum: str, id_col: str, n: int = 10, seed:
     over (stratum, hash) minus the stratum's first position, so a stratum
     holding most rows is still spread over many tasks.
     """
+    from citegraph.functions.columns import stable_hash
     from citegraph.operators.windows import row_number_global
 
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    x = df.withColumn("_h", h)
+    x = df.withColumn("_h", stable_hash(id_col, seed))
     rn = row_number_global(x, [stratum, "_h", id_col], "_rn")
     base = rn.groupBy(stratum).agg(F.min("_rn").alias("_base"))
     return rn.join(base, stratum).withColumn("fold", ((F.col("_rn") - F.col("_base")) % n).cast("int")).drop("_h", "_rn", "_base")

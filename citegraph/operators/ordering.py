@@ -25,21 +25,25 @@ def offset_slice(df: DataFrame, order: list, offset: int, n: int) -> DataFrame:
 
 def pairwise_k_extreme(d: DataFrame, k: int, largest: bool = False, i: str = "i", j: str = "j", dist: str = "dist") -> DataFrame:
     """k smallest (or largest) distances per column ``j`` of a long distance table (#99)."""
-    o = F.col(dist).desc() if largest else F.col(dist).asc()
-    w = W.partitionBy(j).orderBy(o, F.col(i))
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    from citegraph.operators.windows import topk_per_group
+
+    if largest:
+        return topk_per_group(d, j, dist, i, k)
+    neg = d.withColumn("_neg", -F.col(dist))
+    return topk_per_group(neg, j, "_neg", i, k).drop("_neg")
 
 
 def sample_fraction(df: DataFrame, frac: float, seed: int, key: str | None = None) -> DataFrame:
     """Random sample of rows (#100).
 
-    With ``key`` the draw is a hash of (key, seed): the same rows on every
-    run and every task retry, independent of partitioning.
+    With ``key`` the draw is a stable hash of (key, seed): the same rows on
+    every run and every task retry, independent of partitioning.
     """
+    from citegraph.functions.columns import stable_unit
+
     if key is None:
         return df.sample(fraction=frac, seed=seed)
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0)
-    return df.filter(u < F.lit(frac))
+    return df.filter(stable_unit(key, seed) < F.lit(frac))
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

@@ -146,7 +146,11 @@ def assign_points(spark, d):
     return K.assign_points(pts, cents, lab)
 
 
-@register("stratified_fold")
+@register(
+    "stratified_fold",
+    """SELECT vec_id AS id, label, CAST((ROW_NUMBER() OVER (PARTITION BY label ORDER BY
+  CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT), vec_id) - 1) % 10 AS INTEGER) AS fold FROM embeddings""",
+)
 def stratified_fold(spark, d):
     return K.stratified_fold(S.vectors(spark, d).select("id", "label"), "label", "id", 10)
 

@@ -866,7 +866,10 @@ def offset_slice(spark, d):
     return O.offset_slice(c, [F.col("c_acctbal").desc(), "c_name"], 1, 25)
 
 
-@register("sample_fraction")
+@register(
+    "sample_fraction",
+    "SELECT doc_id, lang FROM documents WHERE CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.3",
+)
 def sample_fraction(spark, d):
     """Deterministic 30 % sample of documents (hash of id and seed 42)."""
     return O.sample_fraction(S.table(spark, d, "documents").select("doc_id", "lang"), 0.3, 42, key="doc_id")
