@@ -46,14 +46,18 @@ def cooccurrence_edges(
     node_name: str | Column,
     parent_id: str | None = None,
     hot_rows: int | None = None,
+    group_by: str = "name",
 ) -> DataFrame:
     """Co-occurrence edges (#47, #48).
 
     Two nodes are linked in a year when they occur on the same publication;
     the pair is ordered by node id (``a.id < b.id``) and the weight is the
     number of distinct publications, grouped by the node *names* (as the
-    reference does). With ``parent_id`` both nodes must share the parent.
-    ``members`` may hold repeats; they are removed before pairing.
+    reference does, so (A, B) and (B, A) can both appear when names and ids
+    sort differently); ``group_by='id'`` groups by the canonical id pair
+    instead and names the nodes by id. With ``parent_id`` both nodes must
+    share the parent. ``members`` may hold repeats; they are removed before
+    pairing.
     """
     name_col = node_name if isinstance(node_name, Column) else F.col(node_name)
     group = [pub, year] + ([parent_id] if parent_id else [])
@@ -65,6 +69,12 @@ def cooccurrence_edges(
     m = cut_lineage(m)
     kw = {} if hot_rows is None else {"hot_rows": hot_rows}
     pairs = pairs_within_groups(m, group, "_id", ["_id", "_name"], ["_id", "_name"], **kw)
+    if group_by == "id":
+        return pairs.groupBy(
+            F.col(year).alias("year"),
+            F.col("l__id").cast("string").alias("node1"),
+            F.col("r__id").cast("string").alias("node2"),
+        ).agg(F.countDistinct(pub).alias("weight"))
     return pairs.groupBy(
         F.col(year).alias("year"), F.col("l__name").alias("node1"), F.col("r__name").alias("node2")
     ).agg(F.countDistinct(pub).alias("weight"))

@@ -360,3 +360,16 @@ def betweenness_centrality(spark, d):
     from citegraph.operators.centrality import betweenness_centrality as bt
 
     return rounded(bt(_author_page_graph(spark, d)))
+
+
+@register(
+    "cooccurrence_by_id",
+    with_(OH)
+    + """SELECT a.publication_year AS year, CAST(a.author_id AS VARCHAR) AS node1, CAST(b.author_id AS VARCHAR) AS node2,
+  COUNT(DISTINCT a.publication_id) AS weight
+FROM oh a JOIN oh b ON a.publication_id = b.publication_id WHERE a.author_id < b.author_id GROUP BY 1, 2, 3""",
+)
+def cooccurrence_by_id(spark, d):
+    """Author co-occurrence grouped by the canonical id pair (the corrected variant)."""
+    oh = S.org_hierarchy(spark, d)
+    return G.cooccurrence_edges(oh, "publication_id", "publication_year", "author_id", "author_name", group_by="id")
