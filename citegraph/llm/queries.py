@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, mixing, secret_scan
-from citegraph.llm.store import documents
+from citegraph.llm import decontaminate, mixing, quality_rules, secret_scan, token_output
+from citegraph.llm.store import documents, labels
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,17 @@ def op8_decontaminate(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     """Words that the mixture takes of every document."""
     return mixing.digest(documents(spark, sf_dir))
+
+
+@_query
+def op2_token_output(spark, sf_dir):
+    """Token ids written as binary blocks and read back."""
+    import public_tokenizers
+
+    return token_output.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op5_quality_rules(spark, sf_dir):
+    """Counts, base rules and the learned decision list's verdict."""
+    return quality_rules.digest(documents(spark, sf_dir), labels(spark, sf_dir))
