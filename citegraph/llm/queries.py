@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, mixing, quality_rules, secret_scan, token_output
+from citegraph.llm import decontaminate, mixing, pu_quality, quality_rules, secret_scan, token_output, toxicity
 from citegraph.llm.store import documents, labels
 
 QUERIES: dict = {}
@@ -44,3 +44,15 @@ def op2_token_output(spark, sf_dir):
 def op5_quality_rules(spark, sf_dir):
     """Counts, base rules and the learned decision list's verdict."""
     return quality_rules.digest(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@_query
+def op3_pu_quality(spark, sf_dir):
+    """Quality scores by positive-unlabelled learning."""
+    return pu_quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@_query
+def op4_toxicity(spark, sf_dir):
+    """Toxicity scores by the weighted finite-state grammar."""
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
