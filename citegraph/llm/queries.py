@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, mixing, pu_quality, quality_rules, secret_scan, token_output, toxicity
+from citegraph.llm import decontaminate, language_crf, mixing, partenum, pu_quality, quality_rules, secret_scan, token_output, toxicity
 from citegraph.llm.store import documents, labels
 
 QUERIES: dict = {}
@@ -56,3 +56,15 @@ def op3_pu_quality(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     """Toxicity scores by the weighted finite-state grammar."""
     return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@_query
+def op9_language_crf(spark, sf_dir):
+    """Language of every whole text by the linear-chain CRF."""
+    return language_crf.predict(documents(spark, sf_dir))
+
+
+@_query
+def op6_partenum(spark, sf_dir):
+    """Components of the near-duplicate links of all documents."""
+    return partenum.digest(documents(spark, sf_dir))
