@@ -179,6 +179,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     whole = docs.withColumn("_x", F.xxhash64("text"))
     out = whole.join(got, _same(F.col("doc_id"), F.col("_d")) & (F.col("_x") == F.col("_u")))
     size = F.regexp_count("text", F.lit(WORD))
-    lead = F.expr(r"regexp_extract(text, concat('^(?s)(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', cast(_taken as string), '}'), 0)")
+    take = F.col("_taken").cast("int")
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), 0), F.split("text", WORD, -1)
+    lead = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), take), F.slice(words, F.lit(1), take), lambda g, w: F.concat(g, w)), "")
     text = F.when(F.col("_taken") < size, lead).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*docs.columns)

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citegraph.llm.components import components
-from citegraph.llm.store import WORD, text_key, write_once
+from citegraph.llm.store import text_key, write_once
 from citegraph.llm.textscan import Texts, chunks, mix, windows
 
 SHINGLE = 5
@@ -195,12 +195,12 @@ def _first_seen(names: np.ndarray, size: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(kind 0, doc_id, n, name) of every row, and (kind 1, count, shingle) of locally common shingles."""
+    """(kind 0, doc_id, n, name, tie) of every row, and (kind 1, count, shingle) of locally common shingles."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         counter, seen = _Counter(), set()
-        names = ["kind", "doc_id", "n", "name"]
+        names = ["kind", "doc_id", "n", "name", "tie"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
@@ -208,13 +208,14 @@ def _described(docs: DataFrame) -> DataFrame:
                 key, owner, n = shingles(part.column("text"))
                 size, name = fingerprints(key, owner, n)
                 counter.add(key[_first_seen(name, size, seen)[owner]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name), part.column("tie")], names=names)
         if id_type is not None:
             counter.merge()
             hot = counter.counts >= LOCAL_COMMON
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.nulls(int(hot.sum()), id_type), pa.array(counter.counts[hot]), pa.array(counter.keys[hot].view(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.nulls(int(hot.sum()), id_type), pa.array(counter.counts[hot]), pa.array(counter.keys[hot].view(np.int64)), pa.nulls(int(hot.sum()), pa.int64())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, name long")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("tie"))
+    return rows.mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, name long, tie long")
 
 
 def _signed(docs: DataFrame, common: np.ndarray, largest: int, percent: int) -> DataFrame:
@@ -274,9 +275,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, name) of every row of ``docs``."""
+    """(doc_id, tie, n_shingles, component_id, root) of every row of ``docs``; tie is the text's hash."""
     told = write_once(_described(docs), "sets")
-    rows = told.filter("kind = 0").select("doc_id", "n", "name")
+    rows = told.filter("kind = 0").select("doc_id", "n", "name", "tie")
     largest = rows.agg(F.max("n")).first()[0] or 1
     top = told.filter("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(MAX_COMMON)
     common = np.sort(np.array([r["name"] for r in top.select("name").collect()], np.int64).view(np.uint64))
@@ -310,10 +311,10 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = owners.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     named = write_once(named, "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = write_once(named.join(write_once(least, "least"), "root").select(F.col("name").alias("_name"), "component_id"), "component-ids")
+    ids = write_once(named.join(write_once(least, "least"), "root").select(F.col("name").alias("_name"), "component_id", "root"), "component-ids")
     out = rows.join(ids, (F.col("name") == F.col("_name")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "name")
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -324,18 +325,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the smallest doc_id.
 
     Rows without words stay. Of rows that repeat the kept doc_id in one
-    component, the first by the text's hash stays.
+    component, the first by the text's hash stays, and once.
     """
     parts = classes(docs, percent)
-    kept = parts.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    has_words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    marked = docs.withColumn("_w", has_words)
-    chosen = marked.filter("_w").join(kept, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
-    # a repeated doc_id: rows of one component once, rows of different components each
-    twice = docs.filter(has_words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_d"))
-    single = chosen.join(twice, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
-    many = chosen.join(twice, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").withColumn("_t", text_key(F.col("text")))
-    first = W.partitionBy("doc_id").orderBy("_t")
-    many = many.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-    cols = docs.columns
-    return single.select(*cols).union(many.select(*cols)).union(marked.filter("NOT _w").select(*cols))
+    best = parts.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("b"))
+    kept = best.select("b.doc_id", "b.tie", F.lit(True).alias("_once"))
+    kept = kept.union(parts.filter("n_shingles = 0").select("doc_id", "tie", F.lit(False)).distinct())
+    kept = kept.select(F.xxhash64("doc_id", "tie").alias("_k"), F.col("tie").alias("_t"), "_once")
+    rows = docs.withColumn("_t", text_key(F.col("text"))).withColumn("_k", F.xxhash64("doc_id", "_t")).join(kept, ["_k", "_t"])
+    rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("_k", "_t").orderBy("_k")))
+    return rows.filter("_r = 1 OR NOT _once").select(*docs.columns)

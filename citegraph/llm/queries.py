@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, language_crf, mixing, partenum, pu_quality, quality_rules, secret_scan, token_output, toxicity
+from citegraph.llm import decontaminate, language_crf, mixing, partenum, pu_quality, quality_rules, secret_scan, suffix_dedup, token_output, toxicity
 from citegraph.llm.store import documents, labels
 
 QUERIES: dict = {}
@@ -68,3 +68,9 @@ def op9_language_crf(spark, sf_dir):
 def op6_partenum(spark, sf_dir):
     """Components of the near-duplicate links of all documents."""
     return partenum.digest(documents(spark, sf_dir))
+
+
+@_query
+def op7_suffix_dedup(spark, sf_dir):
+    """Bytes that repeat a string of 100 bytes, and what is left."""
+    return suffix_dedup.digest(documents(spark, sf_dir))

@@ -1,12 +1,29 @@
-"""Corpus pipeline: benchmark decontamination, then mixing (further stages follow)."""
+"""Corpus pipeline: quality rules, near duplicates, decontamination, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one
+before it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import decontaminate, mixing
+from citegraph.llm import decontaminate, mixing, partenum, quality_rules, token_output
 from citegraph.llm.store import write_once
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned decision list reject."""
+    return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the 5-word, 0.8 Jaccard links."""
+    return partenum.one_of_each(docs)
+
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
@@ -14,20 +31,31 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mixture plays them."""
+    """Documents as the mixture plays them, one row per epoch."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("benchmark_decontamination", benchmark_decontamination), ("mixing", mixing_sources)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written as binary blocks; start, length and checksum of each document, read back."""
+    return token_output.write_and_read(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing_sources),
+    ("token_output", token_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written once and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = write_once(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: learned rules, near-duplicate classes and token ids are not SQL
+#: learned rules, near-duplicate components and token ids are not SQL
 ORACLE_SQL = None
