@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citegraph.llm.store import ascii_lower, text_key, write_once
+from citegraph.llm.store import ascii_lower, packed, text_key, unpacked, write_once
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -122,19 +122,21 @@ def report(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> Dat
     )
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataFrame:
-    """``docs`` with n_words, n_hit, items and contaminated (n_hit > 0 and 5 % of the words or more)."""
+def judged(docs: DataFrame, benchmark: DataFrame, carry: bool = False, max_set: int = MAX_SET) -> DataFrame:
+    """Every row's _id, _n words, _hit words inside windows, _items, and _bad (_hit > 0 and 5 % of
+    the words or more); with ``carry`` the whole row too, packed as ``_row``."""
     hits = report(docs, benchmark, max_set).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), F.col("n_hit").alias("_hit"), F.col("items").alias("_items"))
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long")
-    out = docs.withColumn("_t", text_key(F.col("text"))).withColumn("_n", n_words).join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")), "left")
+    # WORDS without the folding: A-Z are word characters too
+    n_words = F.coalesce(F.regexp_count(F.col("_row.text"), F.lit(WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long")
+    rows = packed(docs).select(F.col("_row.doc_id").alias("_id"), text_key(F.col("_row.text")).alias("_t"), n_words.alias("_n"), *(["_row"] if carry else []))
+    out = rows.join(hits, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")), "left")
     out = out.withColumn("_hit", F.coalesce("_hit", F.lit(0)).cast("long"))
     return out.withColumn("_bad", (F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("_n")))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the same columns."""
-    out = judged(docs, benchmark, max_set)
-    return out.filter(~F.col("_bad")).select(*[out[c] for c in docs.columns])
+    return unpacked(judged(docs, benchmark, True, max_set).filter(~F.col("_bad")))
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataFrame:
@@ -144,8 +146,8 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) ->
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = F.array_sort(F.transform(F.coalesce("_items", F.array().cast("array<string>")), lambda i: i.cast("string")))
-    return judged(docs.select("doc_id", "text"), benchmark).select(
-        "doc_id",
+    return judged(docs, benchmark).select(
+        F.col("_id").alias("doc_id"),
         F.col("_n").alias("n_words"),
         F.col("_hit").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),

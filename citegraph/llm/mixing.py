@@ -18,8 +18,9 @@ is cut at its target, so each source's words meet its target to the word.
 
 Edge cases: null texts and texts without words have size 0 and are not
 played; a null source is a source; rows with equal doc_ids are ordered by
-their text's hash, exact repeats share one place in turn and are each
-counted; extra columns are ignored.
+their text's hash, and exact repeats of a row are played one after the other, each
+for itself; extra columns are ignored, or passed through by
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citegraph.llm.store import WORD, write_once
+from citegraph.llm.store import WORD, packed, unpacked, write_once
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,9 +44,10 @@ CELL = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, _h, _t): words of each row and its place in the shuffled order."""
+    """(doc_id, source, size, _h, _t, _k): words of each row, its place in the shuffled order, its name."""
     return docs.select(
         "doc_id",
+        F.xxhash64("doc_id", F.xxhash64("text"), "source").alias("_k"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_h"),
@@ -90,8 +92,8 @@ def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     g = goals.select(F.col("source").alias("_s"), "source_size", "target", "weight")
     cells = cells.join(g, _same(F.col("source"), F.col("_s"))).select("_s", "_c", "_base", "source_size", "target", "weight")
     inside = W.partitionBy("_s", "_c").orderBy("_h", "doc_id", "_t", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = sized.withColumn("_k", cell).join(cells, _same(F.col("source"), F.col("_s")) & (F.col("_k") == F.col("_c")))
-    return rows.withColumn("offset", F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("_s", "_k", "_c", "_base")
+    rows = sized.withColumn("_cell", cell).join(cells, _same(F.col("source"), F.col("_s")) & (F.col("_cell") == F.col("_c")))
+    return rows.withColumn("offset", F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("_s", "_cell", "_c", "_base")
 
 
 def block_words(goals: DataFrame, slots: int = SLOTS) -> int:
@@ -128,7 +130,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
 
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:
-    """(source, doc_id, _t, epoch, block_no, start, n_words): what each block takes of each row of ``placed``."""
+    """(source, doc_id, _t, _k, offset, epoch, block_no, start, n_words): what each block takes of each row of ``placed``."""
     goal = F.floor("target")
     epochs = rows.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(MOST) - 1))))
     at = F.col("epoch") * F.col("source_size") + F.col("offset")
@@ -136,7 +138,7 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
     cut = took.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_take") - 1) / block))))
     lo = F.greatest(F.col("_at"), F.col("block_no") * block)
     hi = F.least(F.col("_at") + F.col("_take"), (F.col("block_no") + 1) * block)
-    return cut.select("source", "doc_id", "_t", "epoch", "block_no", (lo - F.col("_at")).alias("start"), (hi - lo).alias("n_words"))
+    return cut.select("source", "doc_id", "_t", "_k", "offset", "epoch", "block_no", (lo - F.col("_at")).alias("start"), (hi - lo).alias("n_words"))
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -161,8 +163,8 @@ def digest(docs: DataFrame) -> DataFrame:
     plan = schedule(goals, block).select(F.col("source").alias("_s"), F.col("block_no").alias("_b"))
     cut = pieces(rows, block)
     played = cut.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_b")))
-    taken = played.groupBy("doc_id", "_t").agg(F.sum("n_words").alias("_taken")).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "_taken")
-    out = rows.join(taken, _same(F.col("doc_id"), F.col("_d")) & (F.col("_t") == F.col("_u")), "left")
+    taken = played.groupBy("_k", "_t", "offset").agg(F.sum("n_words").alias("_taken"))
+    out = rows.join(taken, ["_k", "_t", "offset"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -175,12 +177,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     plan = schedule(goals, block).select(F.col("source").alias("_s"), F.col("block_no").alias("_b"))
     cut = pieces(placed(sized, goals), block)
     played = cut.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_b")))
-    got = played.groupBy("doc_id", "_t", "epoch").agg(F.sum("n_words").alias("_taken")).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "epoch", "_taken")
-    whole = docs.withColumn("_x", F.xxhash64("text"))
-    out = whole.join(got, _same(F.col("doc_id"), F.col("_d")) & (F.col("_x") == F.col("_u")))
-    size = F.regexp_count("text", F.lit(WORD))
-    take = F.col("_taken").cast("int")
-    words, gaps = F.regexp_extract_all("text", F.lit(WORD), 0), F.split("text", WORD, -1)
+    got = played.groupBy("_k", "_t", "offset", "epoch").agg(F.sum("n_words").alias("_taken"))
+    # exact repeats of a row are told apart by number
+    got = got.withColumn("_no", F.dense_rank().over(W.partitionBy("_k", "_t").orderBy("offset"))).select("_k", "_t", "_no", "_taken")
+    whole = packed(docs).withColumn("_t", F.xxhash64("_row.text")).withColumn("_k", F.xxhash64("_row.doc_id", "_t", "_row.source"))
+    whole = whole.withColumn("_nth", F.row_number().over(W.partitionBy("_k", "_t").orderBy("_k")))
+    out = whole.join(got, ["_k", "_t"]).filter("_no = _nth")
+    text, take = F.col("_row.text"), F.col("_taken").cast("int")
+    words, gaps = F.regexp_extract_all(text, F.lit(WORD), 0), F.split(text, WORD, -1)
     lead = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), take), F.slice(words, F.lit(1), take), lambda g, w: F.concat(g, w)), "")
-    text = F.when(F.col("_taken") < size, lead).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    text = F.when(take < F.regexp_count(text, F.lit(WORD)), lead).otherwise(text)
+    return unpacked(out.withColumn("_row", F.col("_row").withField("text", text)))

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citegraph.llm.components import components
-from citegraph.llm.store import text_key, write_once
+from citegraph.llm.store import packed, text_key, unpacked, write_once
 from citegraph.llm.textscan import Texts, chunks, mix, windows
 
 SHINGLE = 5
@@ -332,6 +332,6 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = best.select("b.doc_id", "b.tie", F.lit(True).alias("_once"))
     kept = kept.union(parts.filter("n_shingles = 0").select("doc_id", "tie", F.lit(False)).distinct())
     kept = kept.select(F.xxhash64("doc_id", "tie").alias("_k"), F.col("tie").alias("_t"), "_once")
-    rows = docs.withColumn("_t", text_key(F.col("text"))).withColumn("_k", F.xxhash64("doc_id", "_t")).join(kept, ["_k", "_t"])
+    rows = packed(docs).withColumn("_t", text_key(F.col("_row.text"))).withColumn("_k", F.xxhash64("_row.doc_id", "_t")).join(kept, ["_k", "_t"])
     rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("_k", "_t").orderBy("_k")))
-    return rows.filter("_r = 1 OR NOT _once").select(*docs.columns)
+    return unpacked(rows.filter("_r = 1 OR NOT _once"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegraph.llm.store import write_once
+from citegraph.llm.store import packed, unpacked, write_once
 from citegraph.llm.textscan import Texts, chunks, distinct_per_doc, mix, repeated, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -103,7 +103,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` and a struct ``_q`` of every text's statistics."""
     own = T.StructType([T.StructField(c, T.LongType() if c in COUNTS else T.DoubleType()) for c in [*COUNTS, *RATIOS]])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_q", own)])
@@ -115,7 +115,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
                 q = pa.StructArray.from_arrays([pa.array(got[c], pa.int64() if c in COUNTS else pa.float64()) for c in [*COUNTS, *RATIOS]], names=[*COUNTS, *RATIOS])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], q], names=[*keep, "_q"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -222,7 +222,7 @@ def describe(rules) -> list[str]:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
     rules = learned_rules(statistics(docs, ["doc_id"]), labels)
-    return statistics(docs, docs.columns).filter(verdict(rules)).select(*docs.columns)
+    return unpacked(statistics(packed(docs), ["_row"], "_row.text").filter(verdict(rules)))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,6 +29,15 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns as the one struct ``_row``: no name can clash with a helper's."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text, the same for equal texts (null included)."""
     return F.xxhash64(text)
