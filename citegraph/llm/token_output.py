@@ -27,21 +27,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citegraph.llm.store import scratch_path
-from citegraph.llm.textscan import chunks
+from citegraph.llm.textscan import LOWER, Texts, chunks
 
 END_ID = 1
 #: a block is closed when it has this many ids
 BLOCK_IDS = 1 << 18
 SAMPLE = 256
-#: distinct pieces whose ids a task keeps
-CACHE = 300_000
+#: distinct pieces whose ids a worker keeps (about 40 bytes each)
+CACHE = 1_500_000
 
 BLOCKS = "shard int, block int, first long, n_tokens long, id_bytes int, ids binary, doc_ids array<bigint>, low_bits int, low binary, high binary, samples binary"
 
@@ -93,11 +92,24 @@ class EliasFano:
         return out
 
 
-class Encoder:
-    """Encodes texts piece by piece between spaces and newlines.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 13, 32]] = True
+#: bytes that keep their token whole: contractions, special tokens' first character, odd white space
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[39, 60, 11, 12]] = True
+
 
-    Normaliser and pre-tokenizer of the vocabulary drop white space and never
-    join what it parts, so pieces are encoded once and their ids are reused.
+class Encoder:
+    """Encodes texts by pieces, each distinct piece once.
+
+    The vocabulary's normaliser folds case and its pre-tokenizer drops white
+    space and never joins ASCII letters with other ASCII characters, so texts
+    are cut there (A-Z folded), but for tokens with an apostrophe or ``<``,
+    which stay whole. New pieces of ASCII letters go to the BPE model itself,
+    new words with other letters are encoded end to end and cut at the ids
+    that end a word, all others are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -105,42 +117,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.seen: dict[str, np.ndarray] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.id_bytes = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.first, self.lens, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _new(self, pieces: list[str]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        alpha, rest = [], []
+        for k, p in enumerate(pieces):
+            if p.isascii() and p.isalpha():
+                out[k] = [t.id for t in self.tokenizer.model.tokenize(p)]
+            else:
+                (alpha if p.isalpha() else rest).append(k)
+        if alpha:
+            ids = np.array(self.tokenizer.encode(" ".join(pieces[k] for k in alpha), add_special_tokens=False).ids)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(alpha):  # every word is one pre-token
+                for k, x in zip(alpha, np.split(ids, cuts[:-1])):
+                    out[k] = x.tolist()
+            else:
+                rest += alpha
+        for k, e in zip(rest, self.tokenizer.encode_batch([pieces[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
-    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = [p for p in pieces if p not in self.seen]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.seen[p] = np.array(e.ids, np.uint32)
-        return [self.seen[p] for p in pieces]
+    def _learn(self, t: Texts, h, start, end) -> None:
+        keys, at = np.unique(h, return_index=True)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            missing = self.keys[near] != keys
+            keys, at = keys[missing], at[missing]
+        if not len(keys):
+            return
+        ids = self._new([t.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())])
+        lens = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        keys = np.concatenate([self.keys, keys])
+        first = np.concatenate([self.first, np.cumsum(lens) - lens + len(self.flat)])
+        lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        self.keys, self.first, self.lens = keys[order], first[order], lens[order]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; number of ids of each text)."""
-        texts = pc.fill_null(texts, "")
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        off = split.offsets.to_numpy().astype(np.int64)
-        coded = split.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-        off = off - off[0]
-        codes = coded.indices.to_numpy()
-        ids = self._ids(coded.dictionary.to_pylist())
-        lens = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        first = np.cumsum(lens) - lens
-        took = lens[codes]
+        if len(self.keys) > CACHE:
+            self._clear()
+        t = Texts(texts)
+        start, end, doc = t.runs(~_GAP[t.data])
+        if not len(start):
+            return np.full(t.n, END_ID, np.uint32), np.ones(t.n, np.int64)
+        odd = np.concatenate(([0], np.cumsum(_WHOLE[t.data])))
+        whole = np.zeros(len(t.data) + 1, np.int8)
+        keep = np.flatnonzero(odd[end] > odd[start])
+        whole[start[keep]], whole[end[keep]] = 1, -1
+        whole[np.intersect1d(start[keep], end[keep])] = 0  # one whole token after another, at a text's edge
+        whole = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+        t.data = np.where(whole, t.data, LOWER[t.data])
+        letter, plain = _LETTER[t.data], (t.data < 128) & ~_GAP[t.data] & ~whole
+        cut = np.zeros(len(t.data), bool)
+        cut[1:] = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
+        cut[start] = True
+        at = np.flatnonzero(cut)
+        token = np.searchsorted(start, at, "right") - 1
+        stop = np.minimum(np.append(at[1:], len(t.data)), end[token])
+        h = t.hashes(at, stop)
+        self._learn(t, h, at, stop)
+        where = np.searchsorted(self.keys, h)
+        took = self.lens[where]
         ends = np.cumsum(took)
-        out = flat[np.repeat(first[codes] - (ends - took), took) + np.arange(ends[-1] if len(ends) else 0)]
-        sums = np.concatenate(([0], ends))
-        counts = sums[off[1:]] - sums[off[:-1]]
+        out = self.flat[np.repeat(self.first[where] - (ends - took), took) + np.arange(ends[-1])]
+        counts = np.bincount(doc[token], took, minlength=t.n).astype(np.int64)
         return np.insert(out, np.cumsum(counts), END_ID), counts + 1
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The Python worker's encoder: tasks that share a worker share its pieces."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def encode_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Blocks of the file format, dealt and sorted by doc_id."""
 
     def run(batches):
-        encoder, schema = Encoder(tokenizer_path), pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
+        encoder, schema = encoder_of(tokenizer_path), pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids, counts, doc_ids = [], [], []
 
