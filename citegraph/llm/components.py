@@ -33,6 +33,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for every node of an edge (u, v) of longs."""
     edges = write_once(edges.select("u", "v").filter("u != v").distinct(), "edges")
+    # a node with several smaller neighbours keeps one edge, to the smallest; the others are tied to that
+    edges = write_once(_star(edges, False), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
         edges = write_once(_star(_star(edges, True), False), "edges")

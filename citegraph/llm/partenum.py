@@ -11,12 +11,16 @@ into parts by hash; at most k parts can differ, so among the first k + 1
 parts, in a fixed order, that are not empty in a set, at least one is equal in
 every partner, and it is among the partner's first k + 1 too. Each set
 enumerates these parts' projections as signatures under its own band and under
-the bands of smaller partners it can have. Parts of very common shingles come
-last in the order, so a passage that many texts share makes signatures only
-where a text has little else; which shingles count as common is found by
-counting and changes the work, never the result. A set with too few non-empty
-parts uses a second and a third hash, and at last one signature for all such
-sets of its band: the result is exact.
+the bands of smaller partners it can have.
+
+It is enough that one set of a pair has k + 1 non-empty parts. A set that has
+not goes on to the next of five partitions (``TIERS``), under whose signatures
+it meets all others that went on: coarse parts of the rarer shingles, finer
+parts, single rarer shingles, then coarse parts with those of common shingles
+last, and single shingles, of which every set has more than k. So a passage
+that many texts share makes signatures only where a text has little else.
+Which shingles count as common is found by counting; it changes the work, and
+never the result, which is exact.
 
 Sets are named by a 64-bit hash of their shingles, so exact copies are one
 set everywhere. Sets of one signature are first compared with the smallest of
@@ -48,9 +52,9 @@ PERCENT = 80
 #: upper over lower size of a band
 BAND = 1.4
 #: a shingle in this many sets of one task is reported as common
-LOCAL_COMMON = 8
+LOCAL_COMMON = 4
 #: common shingles that are sent to the tasks, at most (8 bytes each); the most frequent first
-MAX_COMMON = 200_000
+MAX_COMMON = 500_000
 #: counters that a task keeps while it looks for common shingles
 COUNTERS = 2_000_000
 
@@ -103,13 +107,25 @@ def fingerprints(key: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
     return size, name.view(np.int64)
 
 
-def _parts(key, owner, late, n, size, tag, bands):
-    """Projections on the first k + 1 non-empty parts. key: hashes in any order inside a text;
-    late: which are common. Returns (signature, text) and the texts with too few parts."""
-    m = bands[tag, 3][owner].astype(np.uint64)
-    part = ((key >> np.uint64(32)) * m) >> np.uint64(32)
-    part = part + np.where(late, m, np.uint64(0))
-    order = np.lexsort((part, owner))
+#: (parts as a multiple of the band's, None: a part for each shingle; whether common shingles take part)
+TIERS = ((1, False), (3, False), (None, False), (1, True), (None, True))
+
+
+def _parts(key, owner, late, n, tag, bands, tier: int):
+    """(signature, text) of the first k + 1 non-empty parts, and which texts have too few.
+
+    key: shingle hashes sorted inside a text; late: which of them are common.
+    """
+    times, with_common = TIERS[tier]
+    if not with_common:
+        key, owner, late = key[~late], owner[~late], late[~late]
+    if times is None:
+        part = key >> np.uint64(1)
+    else:
+        m = (times * bands[tag, 3][owner]).astype(np.uint64)
+        part = ((key >> np.uint64(32)) * m) >> np.uint64(32)
+    part = part | (late.astype(np.uint64) << np.uint64(63))
+    order = np.lexsort((part, owner)) if with_common else np.arange(len(part))
     p, o, v = part[order], owner[order], mix(key[order] + np.uint64(0xA5A5A5))
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
@@ -119,36 +135,31 @@ def _parts(key, owner, late, n, size, tag, bands):
     rank = np.arange(len(po)) - (np.cumsum(filled) - filled)[po]
     need = bands[tag, 2] + 1
     ok = rank < need[po]
-    sig = mix(total[ok] + mix(pp[ok] + (tag[po[ok]].astype(np.uint64) << np.uint64(40))))
-    return sig, po[ok], filled < need
+    name = mix(pp[ok]) + (tag[po[ok]].astype(np.uint64) << np.uint64(8)) + np.uint64(tier)
+    return mix(total[ok] + mix(name)), po[ok], filled < need
 
 
 def signatures(key, owner, n, size, common: np.ndarray, bands: np.ndarray):
     """(signature, text number) of all sets under all bands in which they can have partners."""
     sigs, docs = [], []
     own = np.searchsorted(bands[:, 0], size, "right") - 1
+    late = _member(key, common)
     back = 0
     while True:
         tag = own - back
-        wants = (size > 0) & (tag >= 0)
         safe = np.maximum(tag, 0)
-        wants &= (bands[safe, 2] > 0) & (size <= bands[safe, 4])
-        if not ((size > 0) & (tag >= 0) & (size <= bands[safe, 4])).any():
+        meets = (size > 0) & (tag >= 0) & (size <= bands[safe, 4])
+        if not meets.any():
             break
-        todo = wants
-        for seed in range(3):
+        todo = meets & (bands[safe, 2] > 0)  # with k = 0 only equal sets link, and these are one
+        for tier in range(len(TIERS)):
             at = todo[owner]
             if not at.any():
                 break
-            k, o = key[at], owner[at]
-            late = _member(k, common)
-            s, d, short = _parts(k if seed == 0 else mix(k + np.uint64(seed)), o, late, n, size, safe, bands)
-            sigs.append(s if seed == 0 else mix(s + np.uint64(seed)))
+            s, d, short = _parts(key[at], owner[at], late[at], n, safe, bands, tier)
+            sigs.append(s)
             docs.append(d)
             todo = todo & short
-        rest = np.flatnonzero(todo)
-        sigs.append(mix(safe[rest].astype(np.uint64) + np.uint64(0xFA11 << 48)))
-        docs.append(rest)
         back += 1
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
