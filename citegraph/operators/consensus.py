@@ -7,27 +7,22 @@ k-means parameter, not the data size.
 
 * subsampling (#128) is a hash ranking per permutation (reproducible under
   task retry);
-* clustering every (permutation, k) (#130, #131) is a grouped job: one
-  ``applyInPandas`` task per permutation clusters that permutation's
-  subsample of centroids for every k with numpy;
+* clustering every (permutation, k, restart) (#130, #131) is one job over all
+  of them: items are assigned to their nearest centre or medoid by a join and
+  a minimum, centres are updated by an aggregate;
 * the co-association matrix (#135) is built from pairs that share a
   (permutation, k, cluster) group and pairs that share a permutation, both
   through the skew-safe pairing helper, then aggregated;
 * PAC, CDF area, histogram, bimodality, dip (#136-#140) are aggregations
-  per k; the dip runs per k on the (value, count) table, and its bootstrap
-  is one row per (k, draw) processed by ``mapInPandas`` in parallel.
+  per k; the dip (``operators/dip.py``) runs per k on the (value, count) table.
 """
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from citegraph.functions.dip import dip_weighted
+from citegraph.operators.dip import dip_test  # noqa: F401
 from citegraph.operators.skew import pairs_within_groups
 
 # Fixed values of the reference: the k values of the consensus run and its defaults.
@@ -48,10 +43,46 @@ def normalise_rows(v: DataFrame, vec: str = "vec") -> DataFrame:
     return v.withColumn(vec, F.transform(vec, lambda x: x / F.when(norm > 0, norm).otherwise(F.lit(1.0))))
 
 
+# ------------------------------------------------------------- distances
+
+METRICS = ("cosine", "euclidean", "sqeuclidean", "correlation", "eta")
+
+
+def distance(a: str, b: str, metric: str) -> Column:
+    """Distance of two double arrays.
+
+    'cosine', 'euclidean', 'sqeuclidean', 'correlation' (negative correlations
+    set to 0 before 1 - r, as the reference) or 'eta' (1 - eta squared).
+    """
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + t)
+    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+    square = total(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)))
+    n = F.size(a).cast("double")
+    if metric == "cosine":
+        norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+        return F.when(norm > 0, 1 - dot(a, b) / norm).otherwise(F.lit(1.0))
+    if metric == "euclidean":
+        return F.sqrt(square)
+    if metric == "sqeuclidean":
+        return square
+    if metric == "correlation":
+        ma, mb = total(a) / n, total(b) / n
+        ca, cb = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
+        norm = F.sqrt(dot(ca, ca) * dot(cb, cb))
+        return F.when(norm > 0, 1 - F.greatest(dot(ca, cb) / norm, F.lit(0.0))).otherwise(F.lit(1.0))
+    if metric == "eta":
+        # within-pair over total variation; a pair's own variation is half its squared difference
+        mean = (total(a) + total(b)) / (2 * n)
+        dev = lambda c: total(F.transform(c, lambda x: (x - mean) * (x - mean)))
+        spread = dev(a) + dev(b)
+        return F.when(spread > 0, square / 2 / spread).otherwise(F.lit(0.0))
+    raise ValueError(f"unknown distance {metric}; one of {METRICS}")
+
+
 # -------------------------------------------------------------- #127, #77
 
 
-def kmeans_cosine(v: DataFrame, k: int, restarts: int = 3, max_iter: int = 50, seed: int = 42, id_col: str = "id", vec: str = "vec"):
+def kmeans_cosine(v: DataFrame, k: int, restarts: int = 20, max_iter: int = 1000, seed: int = 42, id_col: str = "id", vec: str = "vec"):
     """Spark ML k-means with cosine distance; the restart with the lowest cost is kept (#127).
 
     Returns (assignments (id, cluster), centroids (cluster, centroid)). The
@@ -61,13 +92,14 @@ def kmeans_cosine(v: DataFrame, k: int, restarts: int = 3, max_iter: int = 50, s
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = v.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features")).cache()
+    x = v.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features")).persist()
     best, best_cost = None, None
     for r in range(restarts):
         model = KMeans(k=k, distanceMeasure="cosine", maxIter=max_iter, seed=seed + r, featuresCol="features").fit(x)
         cost = model.summary.trainingCost
         if best_cost is None or cost < best_cost:
             best, best_cost = model, cost
+    x.unpersist()
     assign = best.transform(x).select(id_col, F.col("prediction").cast("int").alias("cluster"))
     from citegraph.operators.aggregates import vector_mean
 
@@ -79,40 +111,40 @@ def kmeans_cosine(v: DataFrame, k: int, restarts: int = 3, max_iter: int = 50, s
 # ----------------------------------------------------------------- #58, #142
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, id_col: str = "id", vec: str = "vec", max_values: int = 25_000_000) -> DataFrame:
-    """Every point -> the centroid at the smallest cosine distance (#58).
+def nearest_centroid(points: DataFrame, centroids: DataFrame, id_col: str = "id", vec: str = "vec", block_values: int = 4_000_000) -> DataFrame:
+    """Every point -> the centroid at the smallest cosine distance (#58), ties to the smaller cluster.
 
-    The centroid table is packed into one array row (its size, centroids x
-    dimensions, is checked against ``max_values``) and broadcast: the row is
-    shipped once per executor (a scalar literal would travel with every
-    task), joined to every point as its only row, and each point scans it
-    inside one expression, so no point x centroid rows are materialised.
+    The centroids are packed into blocks of at most ``block_values`` numbers
+    (one centroid at least), one array row each. A point meets every block
+    through an equi-join on the block number and scans it inside one
+    expression; the minimum over the blocks wins. A single block, whose size
+    is bounded by its definition, is broadcast.
     """
-    size = centroids.select(F.sum(F.size("centroid")).alias("n")).first().n or 0
-    if size > max_values:
-        raise ValueError(f"{size} centroid values exceed the broadcast bound {max_values}")
     c = normalise_rows(centroids.select("cluster", F.col("centroid").alias("vec")))
-    packed = c.agg(F.collect_list(F.struct("cluster", "vec")).alias("_cs"))
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    per = max(1, block_values // max(1, size.d or 1))
+    blocks = max(1, -(-size.n // per))
+    block = F.pmod(F.xxhash64("cluster"), F.lit(blocks)) if blocks > 1 else F.lit(0).cast("long")
+    packed = c.groupBy(block.alias("_b")).agg(F.collect_list(F.struct("cluster", "vec")).alias("_cs"))
     p = normalise_rows(points.select(id_col, F.col(vec).cast("array<double>").alias("vec")))
-    scored = p.crossJoin(F.broadcast(packed)).select(
-        id_col,
-        F.array_min(
-            F.transform(
-                "_cs",
-                lambda cc: F.struct(
-                    (F.lit(1.0) - F.aggregate(F.zip_with("vec", cc["vec"], lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)).alias("dist"),
-                    cc["cluster"].alias("cluster"),
-                ),
-            )
-        ).alias("_best"),
-    )
+    p = p.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    best = F.array_min(F.transform("_cs", lambda cc: F.struct((F.lit(1.0) - dot(F.col("vec"), cc["vec"])).alias("dist"), cc["cluster"].alias("cluster"))))
+    scored = p.join(F.broadcast(packed) if blocks == 1 else packed, "_b").select(id_col, best.alias("_best"))
+    if blocks > 1:
+        scored = scored.groupBy(id_col).agg(F.min("_best").alias("_best"))
     return scored.select(id_col, F.col("_best.cluster").alias("centroid"), F.col("_best.dist").alias("dist"))
 
 
 def assign_points(points: DataFrame, centroids: DataFrame, labels: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Final cluster of every item = label of its nearest centroid (#142)."""
+    """Final cluster of every item = label of its nearest centroid (#142).
+
+    Every centroid must have a label: a missing one raises when the row is read.
+    """
     nc = nearest_centroid(points, centroids, id_col, vec)
-    return nc.join(labels.select(F.col("cluster").alias("centroid"), "final_cluster"), "centroid")
+    got = nc.join(labels.select(F.col("cluster").alias("centroid"), F.col("final_cluster").alias("_f")), "centroid", "left")
+    final = F.when(F.col("_f").isNull(), F.raise_error(F.concat(F.lit("no label for centroid "), F.col("centroid").cast("string")))).otherwise(F.col("_f"))
+    return got.withColumn("final_cluster", final.cast(labels.schema["final_cluster"].dataType)).drop("_f")
 
 
 # ------------------------------------------------------------------- #128
@@ -152,133 +184,98 @@ def centre_scale(sv: DataFrame, group: str = "perm", id_col: str = "id", vec: st
 
 # ------------------------------------------------------------ #130, #131
 
+#: one clustering run: a permutation's subsample, a k, a restart
+RUN = ["perm", "k", "rep"]
+
+
+def _runs(sv: DataFrame, ks: list[int], reps: int, id_col: str) -> DataFrame:
+    """Items of every run; runs whose k exceeds their number of items do not exist."""
+    n = sv.groupBy("perm").agg(F.count(F.lit(1)).alias("_n"))
+    grid = n.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).filter("k <= _n").drop("_n")
+    grid = grid.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return sv.select("perm", id_col).join(grid, "perm")
+
+
+def _starts(runs: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """The k first items of every run by a hash of (item, run): (run, cluster, item)."""
+    from citegraph.functions.columns import stable_hash
+
+    key = F.concat_ws(":", F.col(id_col).cast("string"), *[F.col(c).cast("string") for c in RUN])
+    w = W.partitionBy(*RUN).orderBy(stable_hash(key, seed), F.col(id_col))
+    return runs.withColumn("cluster", F.row_number().over(w) - 1).filter("cluster < k")
 
-def _kmeans_np(X: np.ndarray, k: int, rng: np.random.Generator, max_iter: int, reps: int, cosine: bool) -> np.ndarray:
-    if cosine:
-        nrm = np.linalg.norm(X, axis=1, keepdims=True)
-        X = X / np.where(nrm > 0, nrm, 1.0)
-    n = len(X)
-    k = min(k, n)
-    best, best_cost = None, np.inf
-    for _ in range(reps):
-        # k-means++ seeding
-        c = [X[rng.integers(n)]]
-        for _ in range(1, k):
-            d2 = np.min(((X[:, None, :] - np.array(c)[None, :, :]) ** 2).sum(-1), axis=1)
-            tot = d2.sum()
-            c.append(X[rng.choice(n, p=d2 / tot)] if tot > 0 else X[rng.integers(n)])
-        C = np.array(c)
-        lab = None
-        for _ in range(max_iter):
-            if cosine:
-                cn = C / np.where(np.linalg.norm(C, axis=1, keepdims=True) > 0, np.linalg.norm(C, axis=1, keepdims=True), 1.0)
-                D = 1.0 - X @ cn.T
-            else:
-                D = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-            new = D.argmin(1)
-            if lab is not None and np.array_equal(new, lab):
-                break
-            lab = new
-            for j in range(k):
-                mem = X[lab == j]
-                if len(mem):
-                    C[j] = mem.mean(0)
-                else:  # empty cluster: move it to the point farthest from its centre
-                    far = D[np.arange(n), lab].argmax()
-                    C[j] = X[far]
-                    lab[far] = j
-        cost = D[np.arange(n), lab].sum()
-        if cost < best_cost:
-            best, best_cost = lab.copy(), cost
-    return best
-
-
-def _kmedoids_np(X: np.ndarray, k: int, rng: np.random.Generator, max_iter: int, reps: int, cosine: bool) -> np.ndarray:
-    if cosine:
-        nrm = np.linalg.norm(X, axis=1, keepdims=True)
-        Xn = X / np.where(nrm > 0, nrm, 1.0)
-        D = 1.0 - Xn @ Xn.T
-    else:
-        D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
-    n = len(X)
-    k = min(k, n)
-    best, best_cost = None, np.inf
-    for _ in range(reps):
-        med = rng.choice(n, size=k, replace=False)
-        for _ in range(max_iter):
-            lab = D[:, med].argmin(1)
-            new = med.copy()
-            for j in range(k):
-                mem = np.nonzero(lab == j)[0]
-                if len(mem):
-                    new[j] = mem[D[np.ix_(mem, mem)].sum(1).argmin()]
-            if np.array_equal(np.sort(new), np.sort(med)):
-                break
-            med = new
-        lab = D[:, med].argmin(1)
-        cost = D[np.arange(n), med[lab]].sum()
-        if cost < best_cost:
-            best, best_cost = lab.copy(), cost
-    return best
+
+def _nearest(pairs: DataFrame, id_col: str) -> DataFrame:
+    best = F.min(F.struct("dist", "cluster")).alias("_b")
+    return pairs.groupBy(*RUN, id_col).agg(best).select(*RUN, id_col, "_b.cluster", "_b.dist")
 
 
 def consensus_cluster(
     sv: DataFrame,
     ks: list[int],
     algo: str = "kmeans",
-    distance: str = "cosine",
-    max_iter: int = 100,
-    reps: int = 3,
+    metric: str = "cosine",
+    max_iter: int = 1000,
+    reps: int = 20,
     seed: int = 42,
     id_col: str = "id",
     vec: str = "vec",
-    ap_maxits: int = 500,
-    ap_convits: int = 50,
 ) -> DataFrame:
-    """Cluster every permutation's subsample for every k.
-
-    algo: 'kmeans' (#130), 'pam' k-medoids (#131), 'spectral' (#132),
-    'mod' Louvain modularity, one solution per permutation, k = 0 (#133),
-    'affinity' affinity propagation searched to exactly k (#134).
-    ``sv`` = (perm, id, vec). One task per permutation; output L(perm, k, id, cluster).
-    Random starts are seeded from (seed, perm, k), so a retried task repeats its result.
+    """Cluster every permutation's subsample for every k: L(perm, k, id, cluster).
+
+    algo 'kmeans' (#130): centres are means of their members; 'pam' (#131):
+    centres are the members with the smallest distance to the others. All
+    runs (permutation, k, restart) advance in the same jobs, each round
+    written once; a run is settled when its assignment repeats, all stop when
+    every run is settled or after ``max_iter`` rounds. The restart with the
+    lowest cost is kept, the first of equals. A centre without members keeps
+    its place. Unknown algorithms and metrics raise.
     """
-    from citegraph.functions import clustering_np as CN
-
-    cosine = distance == "cosine"
-    ks = [0] if algo == "mod" else list(ks)
-
-    def cluster(X, k, rng):
+    from citegraph.session import cut_lineage
+
+    if algo not in ("kmeans", "pam"):
+        raise ValueError(f"unknown algorithm {algo}")
+    distance("a", "a", metric)
+    items = cut_lineage(sv.select("perm", F.col(id_col), F.col(vec).cast("array<double>").alias("a")))
+    runs = cut_lineage(_runs(items, ks, reps, id_col))
+    centres = _starts(runs, id_col, seed)
+    whole = items.groupBy("perm", id_col).agg(F.first("a").alias("b"))
+    if algo == "kmeans":
+        centres = centres.join(whole, ["perm", id_col]).select(*RUN, "cluster", "b")
+    else:
+        vectors = items.dropDuplicates([id_col]).select(F.col(id_col).alias("i"), "a")
+        half = cut_lineage(pair_distance(vectors, metric, "i", "a"))
+        own = vectors.select("i", F.col("i").alias("j"), F.lit(0.0).alias("dist"))
+        table = cut_lineage(half.union(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist")).union(own))
+        centres = centres.select(*RUN, "cluster", F.col(id_col).alias("j"))
+    before, labels = None, None
+    for _ in range(max_iter):
         if algo == "kmeans":
-            return _kmeans_np(X, k, rng, max_iter, reps, cosine)
-        if algo == "pam":
-            return _kmedoids_np(X, k, rng, max_iter, reps, cosine)
-        if algo == "spectral":
-            return CN.spectral(X, k, rng, distance)
-        D = CN.distances(X, distance)
-        if algo == "mod":
-            # similarity: 1/(1+d) for euclidean distances, 1-d otherwise
-            W = 1.0 / (1.0 + D) if distance in ("euclidean", "sqeuclidean") else 1.0 - D
-            return CN.louvain(W, rng)
-        if algo == "affinity":
-            # affinity propagation maximises similarity: use -distance
-            lab = CN.ap_k(-D, k, rng, maxits=ap_maxits, convits=ap_convits)
-            return np.unique(lab, return_inverse=True)[1]
-        raise ValueError(algo)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        X = np.vstack(pdf[vec].to_numpy()).astype("float64")
-        perm = int(pdf["perm"].iloc[0])
-        out = []
-        for k in ks:
-            rng = np.random.default_rng([seed, perm, k])
-            lab = np.asarray(cluster(X, k, rng))
-            out.append(pd.DataFrame({"perm": perm, "k": k, id_col: pdf[id_col].to_numpy(), "cluster": lab.astype("int32")}))
-        return pd.concat(out, ignore_index=True)
-
-    id_type = dict(sv.dtypes)[id_col]
-    return sv.groupBy("perm").applyInPandas(run, f"perm int, k int, {id_col} {id_type}, cluster int")
+            met = runs.join(items, ["perm", id_col]).join(centres, RUN)
+            near = met.select(*RUN, id_col, "cluster", distance("a", "b", metric).alias("dist"))
+        else:
+            near = runs.join(centres, RUN).join(table.withColumnRenamed("i", id_col), [id_col, "j"]).select(*RUN, id_col, "cluster", "dist")
+        labels = cut_lineage(_nearest(near, id_col))
+        now = labels.agg(F.bit_xor(F.xxhash64(*RUN, id_col, "cluster"))).first()[0]
+        if now == before:
+            break
+        before = now
+        if algo == "kmeans":
+            from pyspark.ml.functions import array_to_vector, vector_to_array
+            from pyspark.ml.stat import Summarizer
+
+            mean = labels.join(items, ["perm", id_col]).groupBy(*RUN, "cluster").agg(Summarizer.mean(array_to_vector(F.col("a"))).alias("m"))
+            moved = mean.select(*RUN, "cluster", vector_to_array("m").alias("n"))
+            centres = cut_lineage(centres.join(moved, [*RUN, "cluster"], "left").select(*RUN, "cluster", F.coalesce("n", "b").alias("b")))
+        else:
+            left = labels.select(*RUN, "cluster", F.col(id_col).alias("i"))
+            right = labels.select(*RUN, "cluster", F.col(id_col).alias("j"))
+            cost = left.join(right, [*RUN, "cluster"]).join(table, ["i", "j"]).groupBy(*RUN, "cluster", "i").agg(F.sum("dist").alias("c"))
+            moved = cost.groupBy(*RUN, "cluster").agg(F.min(F.struct("c", "i")).alias("_m")).select(*RUN, "cluster", F.col("_m.i").alias("n"))
+            centres = cut_lineage(centres.join(moved, [*RUN, "cluster"], "left").select(*RUN, "cluster", F.coalesce("n", "j").alias("j")))
+    best = labels.groupBy(*RUN).agg(F.sum("dist").alias("c")).groupBy("perm", "k").agg(F.min(F.struct("c", "rep")).alias("_m"))
+    kept = best.select("perm", "k", F.col("_m.rep").alias("rep"))
+    return labels.join(kept, RUN).select("perm", "k", id_col, "cluster")
 
 
 # ------------------------------------------------------------------- #135
@@ -364,96 +361,14 @@ def bimodality_coefficient(df: DataFrame, group: str, v: str) -> DataFrame:
     return a.select(group, ((G1 * G1 + 1) / (K * d1)).alias("bc"))
 
 
-# ------------------------------------------------------------------- #140
-
-
-def dip_test(df: DataFrame, group: str, v: str, nboot: int = 5000, seed: int = 42) -> DataFrame:
-    """Hartigan dip per group and its p-value against uniform samples of equal size (#140).
-
-    1. Spark counts (group, value); 2. one task per group computes the dip on
-    its (value, count) table; 3. the bootstrap is one row per (group, draw),
-    each drawing a uniform sample on [min, max] of the group's size with a
-    seed from (seed, group, draw); 4. p = share of draws with a larger dip.
-    """
-    counts = df.filter(F.col(v).isNotNull()).groupBy(group, v).agg(F.count(F.lit(1)).alias("_c"))
-    gtype = dict(df.dtypes)[group]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = dip_weighted(pdf[v].to_numpy(), pdf["_c"].to_numpy())
-        return pd.DataFrame(
-            {group: [pdf[group].iloc[0]], "dip": [d], "n": [int(pdf["_c"].sum())], "lo": [float(pdf[v].min())], "hi": [float(pdf[v].max())]}
-        )
-
-    stats = counts.groupBy(group).applyInPandas(one, f"{group} {gtype}, dip double, n long, lo double, hi double")
-    stats = stats.cache()
-    if nboot <= 0:
-        return stats.select(group, "dip", F.lit(None).cast("double").alias("dip_p"))
-    draws = stats.select(group, "dip", "n", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(nboot - 1))).alias("b"))
-    draws = draws.repartition(max(1, min(nboot, 200)), group, "b")
-
-    def boot(it):
-        for pdf in it:
-            out = np.empty(len(pdf))
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                g = zlib.crc32(str(getattr(row, group)).encode())
-                rng = np.random.default_rng([seed, g, int(row.b)])
-                s = np.sort(rng.uniform(row.lo, row.hi, int(row.n)))
-                out[i] = dip_weighted(s, np.ones(len(s), dtype=np.int64))
-            yield pd.DataFrame({group: pdf[group], "greater": (out > pdf["dip"].to_numpy()).astype("int32")})
-
-    res = draws.mapInPandas(boot, f"{group} {gtype}, greater int")
-    p = res.groupBy(group).agg((F.sum("greater") / F.lit(float(nboot))).alias("dip_p"))
-    return stats.select(group, "dip").join(p, group)
-
-
 # ----------------------------------------------------------- #114, #99
 
 
 def pair_distance(v: DataFrame, metric: str = "cosine", id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Pairwise distances (i < j) of a bounded vector table (#114).
-
-    metric: 'cosine', 'euclidean', 'sqeuclidean', 'correlation' (negative
-    correlations set to 0 before 1 - r, as the reference) or 'eta'
-    (1 - eta², Cohen et al. 2010 form).
-    """
+    """Pairwise distances (i < j) of a bounded vector table (#114)."""
     a = v.select(F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("a"))
     b = v.select(F.col(id_col).alias("j"), F.col(vec).cast("array<double>").alias("b"))
-    pairs = a.join(b, F.col("i") < F.col("j"))
-
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-
-    def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda s, t: s + t)
-
-    n = F.size("a").cast("double")
-    if metric == "cosine":
-        d = 1 - dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-    elif metric == "euclidean":
-        d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-    elif metric == "sqeuclidean":
-        d = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
-    elif metric == "correlation":
-        ma, mb = total("a") / n, total("b") / n
-        ca = F.transform("a", lambda x: x - ma)
-        cb = F.transform("b", lambda x: x - mb)
-        r = dot(ca, cb) / F.sqrt(dot(ca, ca) * dot(cb, cb))
-        d = 1 - F.greatest(r, F.lit(0.0))
-    elif metric == "eta":
-        m = F.zip_with("a", "b", lambda p, q: (p + q) / 2)
-        mbar = total(m) / n
-        num = F.aggregate(
-            F.zip_with(F.zip_with("a", "b", lambda p, q: F.struct(p.alias("p"), q.alias("q"))), m, lambda pq, mm: (pq["p"] - mm) * (pq["p"] - mm) + (pq["q"] - mm) * (pq["q"] - mm)),
-            F.lit(0.0),
-            lambda s, t: s + t,
-        )
-        den = F.aggregate(
-            F.zip_with("a", "b", lambda p, q: (p - mbar) * (p - mbar) + (q - mbar) * (q - mbar)), F.lit(0.0), lambda s, t: s + t
-        )
-        d = num / den  # 1 - eta² = within / total
-    else:
-        raise ValueError(metric)
-    return pairs.select("i", "j", d.alias("dist"))
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", distance("a", "b", metric).alias("dist"))
 
 
 def pairwise_k_extreme(d: DataFrame, k: int, largest: bool = False) -> DataFrame:

@@ -26,6 +26,13 @@ N_CENTROIDS = 40
 PERMS = 40
 P_ITEM = 0.5
 KS = [2, 3, 4, 5, 6, 8, 10, 12]
+# restarts and rounds of each subsample's clustering (the operator's defaults are the reference's 20 and 1000)
+REPS, ROUNDS = 2, 30
+# rounds of affinity propagation at a preference (the operator's default is the reference's 2000)
+AP_ROUNDS = 60
+# bootstrap draws of the dip (the operator's default is the reference's 5000)
+DIP_DRAWS = 500
+
 
 def _stage(spark, d, name, build):
     return stage(spark, d, name, build)
@@ -54,7 +61,7 @@ def _sv(spark, d):
 
 
 def _labels(spark, d, algo="kmeans"):
-    return _stage(spark, d, f"labels_{algo}", lambda: cut_lineage(K.consensus_cluster(_sv(spark, d), KS, algo=algo)))
+    return _stage(spark, d, f"labels_{algo}", lambda: cut_lineage(K.consensus_cluster(_sv(spark, d), KS, algo=algo, reps=REPS, max_iter=ROUNDS)))
 
 
 def _coassoc(spark, d):
@@ -66,7 +73,7 @@ def _evaluation(spark, d):
         c = _coassoc(spark, d)
         pac = K.pac(c)
         bc = K.bimodality_coefficient(c, "k", "consensus")
-        dip = K.dip_test(c, "k", "consensus", nboot=100)
+        dip = K.dip_test(c, "k", "consensus", nboot=DIP_DRAWS)
         r = pac.join(bc, "k").join(dip, "k").withColumn("subject", F.lit("embeddings"))
         return cut_lineage(r)
 
@@ -83,15 +90,33 @@ def kmeans_cosine(spark, d):
     return assign
 
 
-@register("subsample_items")
+@register(
+    "subsample_items",
+    """WITH x AS (SELECT c_custkey AS id, perm, ROW_NUMBER() OVER (PARTITION BY perm ORDER BY
+  CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || ':' || CAST(perm AS VARCHAR) || ':42'), 1, 8)) AS BIGINT), c_custkey) AS r
+  FROM customer CROSS JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS perm))
+SELECT perm, id FROM x WHERE r <= (SELECT CAST(ROUND(COUNT(*) * 0.5) AS BIGINT) FROM customer)""",
+)
 def subsample_items(spark, d):
-    return _subsamples(spark, d)
+    """Half of all customers in each of five permutations."""
+    return K.subsample_items(S.table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 5, P_ITEM)
 
 
-@register("centre_scale")
+@register(
+    "centre_scale",
+    """WITH l AS (SELECT label AS perm, vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT perm, id, i, x - AVG(x) OVER (PARTITION BY perm, i) AS x FROM l),
+m AS (SELECT *, MAX(ABS(x)) OVER (PARTITION BY perm) AS mx FROM c)
+SELECT perm, id, COUNT(*) AS dims, ROUND(MAX(ABS(x / CASE WHEN mx > 0 THEN mx ELSE 1 END)), 6) AS max_abs,
+  ROUND(SUM(x / CASE WHEN mx > 0 THEN mx ELSE 1 END * i), 4) AS checksum FROM m GROUP BY 1, 2""",
+)
 def centre_scale(spark, d):
-    cs = K.centre_scale(_sv(spark, d))
-    return rounded(cs.select("perm", "id", F.size("vec").alias("dims"), F.array_max(F.transform("vec", F.abs)).alias("max_abs")))
+    """Embeddings centred and scaled inside each label."""
+    cs = K.centre_scale(S.vectors(spark, d).select(F.col("label").alias("perm"), "id", F.col("vec").cast("array<double>").alias("vec")))
+    weighted = F.aggregate(F.zip_with("vec", F.sequence(F.lit(1), F.size("vec")), lambda x, i: x * i), F.lit(0.0), lambda s, v: s + v)
+    from citegraph.plans.common import round_half_away
+
+    return cs.select("perm", "id", F.size("vec").cast("long").alias("dims"), round_half_away(F.array_max(F.transform("vec", F.abs)), 6).alias("max_abs"), round_half_away(weighted, 4).alias("checksum"))
 
 
 @register("consensus_cluster_kmeans")
@@ -117,8 +142,8 @@ def consensus_evaluation(spark, d):
 
 @register("dip_test")
 def dip_test(spark, d):
-    """Dip and bootstrap p-value of event values per event type."""
-    return rounded(K.dip_test(_values(spark, d), "g", "v", nboot=200))
+    """Dip and bootstrap p-value of the co-association values per k."""
+    return rounded(K.dip_test(_coassoc(spark, d), "k", "consensus", nboot=DIP_DRAWS))
 
 
 @register("solution_select")
@@ -135,17 +160,6 @@ def noise_variance(spark, d):
     return rounded(SEL.noise_variance(e, "cluster", "year", "n"))
 
 
-@register("assign_points")
-def assign_points(spark, d):
-    """Every embedding gets the consensus label of its nearest centroid (label = cluster at the chosen k, permutation 0)."""
-    _, cents = _centroids(spark, d)
-    lab = _labels(spark, d).filter((F.col("perm") == 0) & (F.col("k") == KS[len(KS) // 2])).select(
-        F.col("id").alias("cluster"), F.col("cluster").alias("final_cluster")
-    )
-    pts = S.vectors(spark, d)
-    return K.assign_points(pts, cents, lab)
-
-
 @register(
     "stratified_fold",
     """SELECT vec_id AS id, label, CAST((ROW_NUMBER() OVER (PARTITION BY label ORDER BY
@@ -323,34 +337,50 @@ def select_k_chart_data(spark, d):
     return ranges
 
 
-# ------------------------------------------------ other consensus algorithms
-
+# ------------------------------------------------ theme chain
 
-@register("consensus_cluster_spectral")
-def consensus_cluster_spectral(spark, d):
-    """Spectral clustering (locally scaled affinity) of every permutation's subsample for every k."""
-    return _labels(spark, d, "spectral")
 
+def _exemplars(spark, d):
+    """Exemplars of the consensus matrix of the k in the middle of KS: exactly k themes."""
 
-@register("consensus_cluster_modularity")
-def consensus_cluster_modularity(spark, d):
-    """Louvain modularity communities of every permutation's similarity graph (one solution, k = 0)."""
-    return _labels(spark, d, "mod")
+    def build():
+        from citegraph.operators.affinity import affinity_propagation_k as apk
 
+        k = KS[len(KS) // 2]
+        c = _coassoc(spark, d).filter(F.col("k") == k)
+        s = cut_lineage(c.select("i", "j", F.coalesce("consensus", F.lit(0.0)).alias("s")))
+        sim = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
+        return cut_lineage(apk(sim, k, stages=4, damping=0.7, maxits=AP_ROUNDS, convits=10))
 
-@register("consensus_cluster_affinity")
-def consensus_cluster_affinity(spark, d):
-    """Affinity propagation searched to exactly k on every permutation's subsample."""
-    return _labels(spark, d, "affinity")
+    return _stage(spark, d, "exemplars", build)
 
 
 @register("affinity_propagation_k")
 def affinity_propagation_k(spark, d):
-    """Exemplars of the consensus matrix at the middle k, by affinity propagation as DataFrame rounds."""
-    from citegraph.operators.affinity import affinity_propagation_k as apk
-
-    k = KS[len(KS) // 2]
-    c = _coassoc(spark, d).filter(F.col("k") == k)
-    s = c.select("i", "j", F.coalesce("consensus", F.lit(0.0)).alias("s"))
-    sim = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
-    return rounded(apk(sim, k, grid=8, stages=2, maxits=60, convits=30, check_every=10))
+    """Exactly k exemplars of the consensus matrix, by affinity propagation as DataFrame rounds."""
+    return rounded(_exemplars(spark, d))
+
+
+@register("theme_of_points")
+def theme_of_points(spark, d):
+    """The chain end to end: consensus matrix, k exemplars, nearest centroid, theme of every embedding."""
+    _, cents = _centroids(spark, d)
+    lab = _exemplars(spark, d).select(F.col("i").alias("cluster"), F.col("exemplar").alias("final_cluster"))
+    return K.assign_points(S.vectors(spark, d), cents, lab).select("id", "centroid", "final_cluster")
+
+
+@register(
+    "assign_points",
+    with_(LC)
+    + """, th AS (SELECT cluster, CAST(DENSE_RANK() OVER (ORDER BY cluster) % 3 AS BIGINT) AS final_cluster FROM lc)
+SELECT id, n.centroid, th.final_cluster FROM (SELECT lv.vec_id AS id, lc.cluster AS centroid,
+  ROW_NUMBER() OVER (PARTITION BY lv.vec_id ORDER BY 1 - list_cosine_similarity(lv.vec, lc.centroid), lc.cluster) AS r
+  FROM lv CROSS JOIN lc) n JOIN th ON th.cluster = n.centroid WHERE r = 1""",
+)
+def assign_points(spark, d):
+    """Every embedding gets the theme of its nearest label centroid; themes deal the labels into three."""
+    from pyspark.sql import Window as W
+
+    cents = _label_centroids(spark, d)
+    lab = cents.select("cluster", (F.dense_rank().over(W.orderBy("cluster")) % 3).cast("long").alias("final_cluster"))
+    return K.assign_points(S.vectors(spark, d), cents, lab).select("id", "centroid", "final_cluster")

@@ -169,7 +169,8 @@ def centred_cluster_tfidf(spark, d):
 
 @register(
     "top_words_matrix",
-    with_(T2, DOCS, CL_TFIDF, CENTRED)
+    # the centred table is read twice: its parts are computed once
+    with_(T2, DOCS, CL_TFIDF, CENTRED).replace(" AS (", " AS MATERIALIZED (")
     + """SELECT cluster, word, ROUND(score, 6) AS score FROM cen WHERE word IN (
   SELECT word FROM (SELECT word, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY score DESC, word) AS r FROM cen) WHERE r <= 500)""",
 )

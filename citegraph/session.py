@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,30 +36,34 @@ def get_spark(master: str | None = None, app: str = "citegraph", **conf) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment names a shared folder and it is used as is.
-    Only when the setting is missing (local tests) a fresh scratch folder is
-    created and registered.
+    On a cluster the deployment names a shared folder and it is used as is;
+    without one this raises, since a machine-local folder would not be seen
+    by other machines. Only a local session (tests) gets a scratch folder of
+    its own. The folder is registered for checkpoints once per session.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="citegraph-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    registered = sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or registered
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="citegraph-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if not registered:
+        sc.setCheckpointDir(path)
     return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Write ``df`` to the shared folder and read it back.
 
     Used by the iterative operators so that plans do not grow with the
-    iteration count; a reliable checkpoint survives executor loss (a local
-    checkpoint would not).
+    iteration count; the files survive executor loss. Unlike an eager
+    checkpoint, the last stage runs once.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
