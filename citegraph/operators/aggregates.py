@@ -83,17 +83,20 @@ def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1)
 
 
-def min_max_range(df: DataFrame, c: str, marks: int = 5, steps: int = 50) -> DataFrame:
-    """min, max, ``marks`` evenly spaced marks and a slider step (max-min)/steps (#76)."""
+def min_max_range(df: DataFrame, c: str, marks: int = 5, steps: int = 50, whole: bool = False) -> DataFrame:
+    """min, max, ``marks`` evenly spaced marks and a slider step (#76).
+
+    The step is 1 for whole-number metrics; else (max - min) / steps rounded
+    to 5 digits, 0.01 where all values are equal.
+    """
     mm = df.agg(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+    span = F.col("max") - F.col("min")
+    step = F.lit(1.0) if whole else F.when(span == 0, F.lit(0.01)).otherwise(F.round(span / F.lit(steps), 5))
     return mm.select(
         "min",
         "max",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(marks - 1)),
-            lambda i: F.col("min") + i * (F.col("max") - F.col("min")) / F.lit(marks - 1),
-        ).alias("marks"),
-        ((F.col("max") - F.col("min")) / F.lit(steps)).alias("step"),
+        F.transform(F.sequence(F.lit(0), F.lit(marks - 1)), lambda i: F.col("min") + i * span / F.lit(marks - 1)).alias("marks"),
+        step.alias("step"),
     )
 
 
@@ -107,13 +110,13 @@ def vector_mean(df: DataFrame, key: str, vec: str, out: str = "mean_vec") -> Dat
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Null count, min and max per column, as rows (#78); one scan."""
+    """Null count, min and max (as text) per column, as rows (#78); one scan."""
     aggs = []
     for c in df.columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.min(c).cast("string").alias(f"{c}__min"), F.max(c).cast("string").alias(f"{c}__max")]
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
-    stack = ", ".join(f"'{c}', `{c}__nulls`" for c in df.columns)
-    return row.selectExpr("__rows AS n_rows", f"stack({len(df.columns)}, {stack}) AS (column_name, n_null)")
+    stack = ", ".join(f"'{c}', `{c}__nulls`, `{c}__min`, `{c}__max`" for c in df.columns)
+    return row.selectExpr("__rows AS n_rows", f"stack({len(df.columns)}, {stack}) AS (column_name, n_null, min, max)")
 
 
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -176,7 +176,7 @@ def centre_scale(sv: DataFrame, group: str = "perm", id_col: str = "id", vec: st
         lng = lng.join(mu, [group, "dim"]).withColumn("x", F.col("x") - F.col("_mu")).drop("_mu")
     if scale:
         mx = lng.groupBy(group).agg(F.max(F.abs("x")).alias("_mx"))
-        lng = lng.join(F.broadcast(mx), group).withColumn("x", F.col("x") / F.when(F.col("_mx") > 0, F.col("_mx")).otherwise(1.0)).drop("_mx")
+        lng = lng.join(mx, group).withColumn("x", F.col("x") / F.when(F.col("_mx") > 0, F.col("_mx")).otherwise(1.0)).drop("_mx")
     return lng.groupBy(group, id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias(vec)
     )
@@ -342,7 +342,7 @@ def consensus_histogram(c: DataFrame, bins: int = 100, group: str = "k", v: str
     b = F.least(F.floor(F.col(v) * bins).cast("int"), F.lit(bins - 1))
     h = c.filter(F.col(v).isNotNull()).groupBy(group, b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     t = h.groupBy(group).agg(F.sum("_n").alias("_t"))
-    return h.join(F.broadcast(t), group).select(group, "bin", (F.col("_n") / F.col("_t")).alias("density"))
+    return h.join(t, group).select(group, "bin", (F.col("_n") / F.col("_t")).alias("density"))
 
 
 def bimodality_coefficient(df: DataFrame, group: str, v: str) -> DataFrame:

@@ -19,11 +19,6 @@ from citegraph.session import cut_lineage
 
 EDGE_COLS = ["year", "node1", "node2", "weight"]
 
-# Upper bound on rows of a per-graph scalar table that may be broadcast.
-# Such a table has one row per graph partition (year, level, country...).
-MAX_PARTITION_ROWS = 1_000_000
-
-
 def _by(by) -> list[str]:
     if by is None:
         return ["year"]
@@ -31,8 +26,8 @@ def _by(by) -> list[str]:
 
 
 def per_graph(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a per-graph scalar table (one row per graph)."""
-    return F.broadcast(df)
+    """A table with one row per graph; the optimiser broadcasts it by its measured size."""
+    return df
 
 
 # ---------------------------------------------------------------- building

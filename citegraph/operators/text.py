@@ -104,7 +104,7 @@ def class_tf(t: DataFrame) -> DataFrame:
     """
     n = cut_lineage(t.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n")))
     tot = n.groupBy("cluster").agg(F.sum("n").alias("_tot"))
-    return n.join(F.broadcast(tot), "cluster").withColumn("tf", F.col("n") / F.col("_tot")).drop("_tot")
+    return n.join(tot, "cluster").withColumn("tf", F.col("n") / F.col("_tot")).drop("_tot")
 
 
 def class_tfidf(t: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _smoothed_l2(counts: DataFrame, doc_key: list[str], scope: list[str], docs:
     ndocs = src.select(*scope, *doc_key).distinct().groupBy(*scope).agg(F.count(F.lit(1)).alias("_N"))
     dfw = counts.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("_df"))
     x = counts.join(dfw, [*scope, "word"])
-    x = x.join(F.broadcast(ndocs), scope) if scope else x.withColumn("_N", ndocs.select("_N").scalar())
+    x = x.join(ndocs, scope) if scope else x.withColumn("_N", ndocs.select("_N").scalar())
     x = x.withColumn("_v", F.col("n") * (F.log((1 + F.col("_N")) / (1 + F.col("_df"))) + 1))
     norm = x.groupBy(*scope, *doc_key).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
     return x.join(norm, [*scope, *doc_key]).withColumn("tfidf", F.col("_v") / F.col("_norm")).drop("_v", "_norm", "_N", "_df")

@@ -70,7 +70,7 @@ def dense_relabel(df: DataFrame, label: str, year: str, id_col: str, out: str =
     """Relabel clusters 1..n in order of first appearance by (year, id) (#87)."""
     first = df.groupBy(label).agg(F.min(F.struct(year, id_col)).alias("_first"))
     ranked = first.select(label, F.row_number().over(W.orderBy("_first", label)).alias(out))
-    return df.join(F.broadcast(ranked), label)
+    return df.join(ranked, label)
 
 
 def rescale_labels(df: DataFrame, c: str, lo: int, hi: int, out: str) -> DataFrame:
@@ -149,7 +149,7 @@ def ecdf(df: DataFrame, group: str, v: str) -> DataFrame:
     rn = row_number_global(x, [group, v], "_rn")
     ties = rn.groupBy(group, v).agg(F.max("_rn").alias("_last"))
     base = rn.groupBy(group).agg((F.min("_rn") - 1).alias("_base"), F.count(F.lit(1)).alias("_n"))
-    return ties.join(F.broadcast(base), group).select(group, v, ((F.col("_last") - F.col("_base")) / F.col("_n")).alias("F"))
+    return ties.join(base, group).select(group, v, ((F.col("_last") - F.col("_base")) / F.col("_n")).alias("F"))
 
 
 def local_peaks(df: DataFrame, series: str, x: str, y: str) -> DataFrame:

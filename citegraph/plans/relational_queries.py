@@ -599,7 +599,7 @@ FROM events GROUP BY 1""",
 )
 def pivot_matrix(spark, d):
     counts = A.group_size(S.theme_events(spark, d), ["year", "cluster"])
-    return A.pivot_matrix(counts, "year", "cluster", "count", ["click", "error", "purchase", "signup", "view"])
+    return A.pivot_matrix(counts, "year", "cluster", "count")
 
 
 @register(
@@ -625,16 +625,24 @@ def duplicate_report(spark, d):
 @register(
     "min_max_range",
     with_(OH, edges_sql("author"))
-    + """SELECT CAST(MIN(weight) AS DOUBLE) AS min, CAST(MAX(weight) AS DOUBLE) AS max,
-  ROUND((MAX(weight) - MIN(weight)) / 50.0, 6) AS step,
-  array_to_string(list_transform(range(5), lambda i: CAST(ROUND(MIN(weight) + i * (MAX(weight) - MIN(weight)) / 4.0, 6) AS VARCHAR)), ';') AS marks
-FROM e""",
+    + """, x AS (SELECT 'raw' AS metric, CAST(weight AS DOUBLE) AS v FROM e
+  UNION ALL SELECT 'share', CAST(weight AS DOUBLE) / (SELECT MAX(weight) FROM e) FROM e
+  UNION ALL SELECT 'constant', 2.0 FROM e)
+SELECT metric, ROUND(MIN(v), 6) AS min, ROUND(MAX(v), 6) AS max,
+  CASE WHEN metric = 'raw' THEN 1.0 WHEN MAX(v) = MIN(v) THEN 0.01 ELSE ROUND((MAX(v) - MIN(v)) / 50.0, 5) END AS step,
+  array_to_string(list_transform(range(5), lambda i: CAST(ROUND(MIN(v) + i * (MAX(v) - MIN(v)) / 4.0, 6) AS VARCHAR)), ';') AS marks
+FROM x GROUP BY metric""",
 )
 def min_max_range(spark, d):
-    r = A.min_max_range(edges(spark, d, "author"), "weight")
-    return rounded(
-        r.select("min", "max", "step", F.array_join(F.transform("marks", lambda m: F.round(m, 6).cast("string")), ";").alias("marks"))
-    )
+    """Slider ranges of the raw weight, its share of the largest, and a constant metric."""
+    e = edges(spark, d, "author").select("weight")
+    top = e.agg(F.max("weight").alias("top")).scalar()
+    parts = [("raw", F.col("weight"), True), ("share", F.col("weight").cast("double") / top, False), ("constant", F.lit(2.0), False)]
+    out = None
+    for name, value, whole in parts:
+        r = A.min_max_range(e.select(value.alias("v")), "v", whole=whole).withColumn("metric", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return rounded(out.select("metric", "min", "max", "step", F.array_join(F.transform("marks", lambda m: F.round(m, 6).cast("string")), ";").alias("marks")))
 
 
 @register(
@@ -650,9 +658,10 @@ def vector_mean(spark, d):
 
 @register(
     "null_profile",
-    "SELECT COUNT(*) AS n_rows, 'c_custkey' AS column_name, COUNT(*) FILTER (WHERE c_custkey IS NULL) AS n_null FROM customer "
-    "UNION ALL SELECT COUNT(*), 'c_name', COUNT(*) FILTER (WHERE c_name IS NULL) FROM customer "
-    "UNION ALL SELECT COUNT(*), 'c_acctbal', COUNT(*) FILTER (WHERE c_acctbal IS NULL) FROM customer",
+    " UNION ALL ".join(
+        f"SELECT COUNT(*) AS n_rows, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null, CAST(MIN({c}) AS VARCHAR) AS min, CAST(MAX({c}) AS VARCHAR) AS max FROM customer"
+        for c in ("c_custkey", "c_name", "c_acctbal")
+    ),
 )
 def null_profile(spark, d):
     c = S.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")

@@ -105,15 +105,18 @@ def scan_csv_typed(spark, d):
     return IO.scan_csv_shards(spark, f"{path}/*.csv", OH_SCHEMA)
 
 
-@register("scan_csv_encoding_fallback", "SELECT doc_id, lang, substr(text, 1, 40) AS head FROM documents WHERE lang IN ('fr', 'de', 'es')")
+@register(
+    "scan_csv_encoding_fallback",
+    "SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents",
+)
 def scan_csv_encoding_fallback(spark, d):
-    """Non-English document heads written as ISO-8859-1; the UTF-8 probe fails and the scan falls back."""
+    """Whole texts of all documents written as ISO-8859-1 in several shards; the UTF-8 probe fails and the scan falls back."""
     path = _folder(spark, "latin1")
-    docs = S.table(spark, d, "documents").filter(F.col("lang").isin("fr", "de", "es"))
-    docs.select("doc_id", "lang", F.substring("text", 1, 40).alias("head")).coalesce(1).write.option("header", True).option(
-        "encoding", "ISO-8859-1"
-    ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return IO.scan_csv_encoding_fallback(spark, f"{path}/*.csv", "doc_id BIGINT, lang STRING, head STRING")
+    docs = S.table(spark, d, "documents").select("doc_id", "lang", "text").repartition(4, "doc_id")
+    writer = docs.write.option("header", True).option("encoding", "ISO-8859-1").option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    got = IO.scan_csv_encoding_fallback(spark, f"{path}/*.csv", "doc_id BIGINT, lang STRING, text STRING")
+    return got.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def _year_dataset(spark, d):

@@ -80,12 +80,19 @@ def _lang_sql() -> str:
   SELECT doc_id, {cols} FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORD_RE}) AS tk FROM documents))"""
 
 
-@register("language_filter", _lang_sql())
-def language_filter(spark, d):
+@register("language_scores", _lang_sql())
+def language_scores(spark, d):
     """Detected language of every document (function-word scores, argmax)."""
     return X.language_scores(S.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "detected_lang")
 
 
+@register("language_filter", f"SELECT l.doc_id, CAST(length(d.text) AS BIGINT) AS n_chars FROM ({_lang_sql()}) l JOIN documents d USING (doc_id) WHERE detected_lang = 'en'")
+def language_filter(spark, d):
+    """Documents detected as English, whole texts kept."""
+    kept, _ = X.language_filter(S.table(spark, d, "documents").select("doc_id", "text"), "text")
+    return kept.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("word_count_by_cluster", with_(T) + "SELECT c.cluster, c.word, c.n, g.n_global FROM (SELECT cluster, word, COUNT(*) AS n FROM t GROUP BY 1, 2) c "
           "JOIN (SELECT word, COUNT(*) AS n_global FROM t GROUP BY 1) g USING (word)")
 def word_count_by_cluster(spark, d):
