@@ -12,6 +12,7 @@ from citegraph.functions.columns import clip_negative, numeric_or
 from citegraph.operators import aggregates as A
 from citegraph.operators import joins as J
 from citegraph.operators.windows import group_transform_nunique, minmax_normalise, row_number_global
+from citegraph.session import cut_lineage
 
 # Fixed values of the reference: impact-score weights per normalised component.
 IMPACT_WEIGHTS = {
@@ -59,27 +60,51 @@ def impact_score(author_rows: DataFrame, weights: dict[str, float] | None = None
     return x.withColumn("impact_score", score)
 
 
-def author_org_leaderboard(scored: DataFrame, author_org: DataFrame, n: int = 30, corrected: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Author and organisation totals and top-n lists (#150, with #52, #64, #65, #71, #97).
+def _leaderboard_rows(scored: DataFrame, author_org: DataFrame, corrected: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(author rows with their organisation, scores summed on the join keys, the join keys).
 
-    ``scored``: (publication_id, concatenated_name, impact_score) one row per
-    pair; ``author_org``: (author_name, highest_level_organization_name).
-    Faithful mode joins scores on the publication only (each author gets every
-    co-author's score); corrected joins on (publication, author).
+    The scores are summed before they meet the authors, so that a publication
+    of m authors gives m rows and not m x m.
     """
+    keys = ["publication_id", "concatenated_name"] if corrected else ["publication_id"]
     pairs = scored.select("publication_id", "concatenated_name").distinct()
     orgs = author_org.select(F.col("author_name").alias("concatenated_name"), "highest_level_organization_name")
-    with_org = pairs.join(orgs, "concatenated_name", "left")
     # first organisation per (publication, author): deterministic min
-    metrics = with_org.groupBy("publication_id", "concatenated_name").agg(
+    metrics = pairs.join(orgs, "concatenated_name", "left").groupBy("publication_id", "concatenated_name").agg(
         F.min("highest_level_organization_name").alias("highest_level_organization_name")
     )
-    impact = J.fanout_join(metrics, scored, "publication_id", "concatenated_name", corrected=corrected)
-    authors = A.sum_and_median(impact, "concatenated_name", "impact_score")
-    org_scores = A.ratio_of_aggregates(impact, "highest_level_organization_name", "impact_score", "concatenated_name")
-    top_a = authors.orderBy(F.col("total_impact_score").desc(), F.col("concatenated_name")).limit(n)
-    top_o = org_scores.orderBy(F.col("total_impact_score").desc(), F.col("highest_level_organization_name")).limit(n)
-    return top_a, top_o
+    return metrics, scored.groupBy(*keys).agg(F.sum("impact_score").alias("impact_score")), keys
+
+
+def author_leaderboard(scored: DataFrame, author_org: DataFrame, n: int = 30, corrected: bool = False) -> DataFrame:
+    """Top-n authors by total impact, with the median of their rows' scores (#150, #64).
+
+    Only the n authors' rows are joined score by score for the median.
+    """
+    metrics, sums, keys = _leaderboard_rows(scored, author_org, corrected)
+    totals = metrics.join(sums, keys, "left").groupBy("concatenated_name").agg(F.sum("impact_score").alias("total_impact_score"))
+    top = cut_lineage(totals.orderBy(F.col("total_impact_score").desc(), F.col("concatenated_name")).limit(n))
+    rows = metrics.join(F.broadcast(top.select("concatenated_name")), "concatenated_name")  # n rows
+    impact = J.fanout_join(rows, scored, "publication_id", "concatenated_name", corrected=corrected)
+    return top.join(A.exact_median(impact, "concatenated_name", "impact_score", "median_impact_score"), "concatenated_name", "left")
+
+
+def organization_leaderboard(scored: DataFrame, author_org: DataFrame, n: int = 30, corrected: bool = False) -> DataFrame:
+    """Top-n organisations by total impact, their authors and impact per author (#150, #65)."""
+    metrics, sums, keys = _leaderboard_rows(scored, author_org, corrected)
+    out = A.ratio_of_aggregates(metrics.join(sums, keys, "left"), "highest_level_organization_name", "impact_score", "concatenated_name")
+    return out.orderBy(F.col("total_impact_score").desc(), F.col("highest_level_organization_name")).limit(n)
+
+
+def author_org_leaderboard(scored: DataFrame, author_org: DataFrame, n: int = 30, corrected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Author and organisation top-n lists (#150, with #52, #64, #65, #71, #97).
+
+    ``scored``: (publication_id, concatenated_name, impact_score) one row per
+    pair; ``author_org``: (author_name, highest_level_organization_name).
+    Faithful mode joins scores on the publication only (each author gets every
+    co-author's score); corrected joins on (publication, author).
+    """
+    return author_leaderboard(scored, author_org, n, corrected), organization_leaderboard(scored, author_org, n, corrected)
 
 
 def residual(df: DataFrame, actual: str, pred: str, out: str = "Diff") -> DataFrame:

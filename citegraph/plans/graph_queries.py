@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegraph.operators import centrality as CE
 from citegraph.operators import graph as G
 from citegraph.plans import standins as S
 from citegraph.plans.common import rounded
@@ -326,40 +327,47 @@ def edge_metric_table(spark, d):
 
 
 # ------------------------------------------------------ iterative centralities
-# The author page restricts the network to its strongest nodes before any
-# metric (top-n subgraph), then weights, thresholds and builds the simple graph.
+# The metrics run on whole graphs; the author page's composition (the
+# strongest nodes first, then weights and the simple graph) has its own queries.
 TOP_AUTHORS = 50
 
 
-def _author_page_graph(spark, d):
-    from citegraph.operators import graph as Gr
+def _whole_graph(spark, d, level):
+    return G.undirected_simplify(G.cii(edges(spark, d, level)), "cii")
+
 
-    sub = Gr.top_n_subgraph(edges(spark, d, "author"), TOP_AUTHORS)
-    return Gr.undirected_simplify(Gr.cii(sub), "cii")
+def _author_page_graph(spark, d):
+    return G.undirected_simplify(G.cii(G.top_n_subgraph(edges(spark, d, "author"), TOP_AUTHORS)), "cii")
 
 
 @register("eigenvector_centrality")
 def eigenvector_centrality(spark, d):
-    """Power-iteration centrality of every year's author subgraph (checked against a Python oracle in tests)."""
-    from citegraph.operators.centrality import eigenvector_centrality as ev
-
-    return rounded(ev(_author_page_graph(spark, d)))
+    """Power-iteration centrality of every year's whole author graph (checked against a Python oracle in tests)."""
+    return rounded(CE.eigenvector_centrality(_whole_graph(spark, d, "author")))
 
 
 @register("closeness_centrality")
 def closeness_centrality(spark, d):
-    """Shortest-path closeness (edge CII as distance) of every year's author subgraph."""
-    from citegraph.operators.centrality import closeness_centrality as cl
-
-    return rounded(cl(_author_page_graph(spark, d)))
+    """Shortest-path closeness (edge CII as distance) of every year's whole organisation graph."""
+    return rounded(CE.closeness_centrality(_whole_graph(spark, d, "org")))
 
 
 @register("betweenness_centrality")
 def betweenness_centrality(spark, d):
-    """Brandes betweenness (edge CII as distance) of every year's author subgraph."""
-    from citegraph.operators.centrality import betweenness_centrality as bt
+    """Brandes betweenness (edge CII as distance) of every year's whole organisation graph."""
+    return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "org")))
+
+
+@register("closeness_author_page")
+def closeness_author_page(spark, d):
+    """Closeness of the author page's subgraph of the 50 strongest authors of a year."""
+    return rounded(CE.closeness_centrality(_author_page_graph(spark, d)))
+
 
-    return rounded(bt(_author_page_graph(spark, d)))
+@register("betweenness_author_page")
+def betweenness_author_page(spark, d):
+    """Betweenness of the author page's subgraph of the 50 strongest authors of a year."""
+    return rounded(CE.betweenness_centrality(_author_page_graph(spark, d)))
 
 
 @register(

@@ -93,8 +93,7 @@ FROM imp GROUP BY 1 ORDER BY SUM(impact_score) DESC, concatenated_name LIMIT 30"
 )
 def author_org_leaderboard(spark, d):
     """Top 30 authors by total impact (faithful publication-only join)."""
-    top_a, _ = SC.author_org_leaderboard(_scored(spark, d), _author_org(spark, d), 30)
-    return rounded(top_a)
+    return rounded(SC.author_leaderboard(_scored(spark, d), _author_org(spark, d), 30))
 
 
 @register(
@@ -109,8 +108,7 @@ FROM imp GROUP BY 1 ORDER BY SUM(impact_score) DESC, highest_level_organization_
 )
 def organization_leaderboard(spark, d):
     """Top 30 organisations by total impact, authors and impact per author."""
-    _, top_o = SC.author_org_leaderboard(_scored(spark, d), _author_org(spark, d), 30)
-    return rounded(top_o)
+    return rounded(SC.organization_leaderboard(_scored(spark, d), _author_org(spark, d), 30))
 
 
 @register(

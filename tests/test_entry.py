@@ -5,7 +5,11 @@ import __spark_entry__ as E
 from citegraph.plans.standins import TABLES
 from conftest import SF001
 
-SAMPLE = ["org_collab_cii", "unnest_outer_chain", "cii", "class_tfidf", "impact_score", "pac", "multi_left_join", "row_number_global"]
+SAMPLE = [
+    "org_collab_cii", "unnest_outer_chain", "cii", "class_tfidf", "impact_score", "pac", "multi_left_join", "row_number_global",
+    "assign_points", "subsample_items", "centre_scale", "top_words_matrix", "author_org_leaderboard", "organization_leaderboard",
+    "null_profile", "min_max_range", "pivot_matrix", "language_filter", "scan_csv_encoding_fallback",
+]
 
 
 def test_entry_smoke(spark):
