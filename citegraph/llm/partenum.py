@@ -26,7 +26,9 @@ Sets are named by a 64-bit hash of their shingles, so exact copies are one
 set everywhere. Sets of one signature are first compared with the smallest of
 them only; components of the links found are merged, and only sets of
 different components that share a signature are then compared pairwise.
-Comparisons count the common shingles of whole sets.
+A pair is first held against the parity bitmaps of its sets, whose differing
+bits are at most the sets' differences: too many rule the pair out for certain.
+The others are compared by the common shingles of whole sets.
 
 Edge cases: null and empty texts have no set, size 0 and link with nothing;
 repeated rows and repeated doc_ids are rows of their own; a null doc_id is
@@ -45,6 +47,7 @@ from pyspark.sql import functions as F
 
 from citegraph.llm.components import components
 from citegraph.llm.store import packed, text_key, unpacked, write_once
+from citegraph.llm.suffix_dedup import bit_table
 from citegraph.llm.textscan import Texts, chunks, mix, windows
 
 SHINGLE = 5
@@ -166,6 +169,27 @@ def signatures(key, owner, n, size, common: np.ndarray, bands: np.ndarray):
     return np.concatenate(sigs), np.concatenate(docs)
 
 
+def bitmaps(key: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: every shingle flips one of 2n or more bits (a power of two)."""
+    out, at = [], 0
+    for n in size.tolist():
+        bits = max(64, 1 << (2 * n - 1).bit_length()) if n else 64
+        hits = np.bincount((mix(key[at : at + n]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+        out.append(np.packbits((hits & 1).astype(np.uint8), bitorder="little").tobytes())
+        at += n
+    return out
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Differing bits of two parity bitmaps, the larger folded to the smaller: at most the sets' differences."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(keys), bool)
@@ -206,12 +230,12 @@ def _first_seen(names: np.ndarray, size: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(kind 0, doc_id, n, name, tie) of every row, and (kind 1, count, shingle) of locally common shingles."""
+    """(kind 0, doc_id, n, name, tie, bits) of every row, and (kind 1, count, shingle) of locally common shingles."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         counter, seen = _Counter(), set()
-        names = ["kind", "doc_id", "n", "name", "tie"]
+        names = ["kind", "doc_id", "n", "name", "tie", "bits"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
@@ -219,14 +243,14 @@ def _described(docs: DataFrame) -> DataFrame:
                 key, owner, n = shingles(part.column("text"))
                 size, name = fingerprints(key, owner, n)
                 counter.add(key[_first_seen(name, size, seen)[owner]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name), part.column("tie")], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name), part.column("tie"), pa.array(bitmaps(key, size), pa.binary())], names=names)
         if id_type is not None:
             counter.merge()
             hot = counter.counts >= LOCAL_COMMON
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.nulls(int(hot.sum()), id_type), pa.array(counter.counts[hot]), pa.array(counter.keys[hot].view(np.int64)), pa.nulls(int(hot.sum()), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.nulls(int(hot.sum()), id_type), pa.array(counter.counts[hot]), pa.array(counter.keys[hot].view(np.int64)), pa.nulls(int(hot.sum()), pa.int64()), pa.nulls(int(hot.sum()), pa.binary())], names=names)
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("tie"))
-    return rows.mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, name long, tie long")
+    return rows.mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, name long, tie long, bits binary")
 
 
 def _signed(docs: DataFrame, common: np.ndarray, largest: int, percent: int) -> DataFrame:
@@ -248,41 +272,64 @@ def _signed(docs: DataFrame, common: np.ndarray, largest: int, percent: int) ->
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, n, hashes): the sorted shingle hashes of the sets named in ``wanted`` (name, doc_id)."""
+    """(name, n, hashes): the sorted shingle hashes of the sets named in ``wanted`` (name, doc_id).
+
+    A bit table of the wanted doc_ids keeps other texts from being cut up; its
+    false hits fall away by name.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("doc_id").alias("key"))))
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
-            for part in chunks(batch):
+            at = (batch.column("key").to_numpy().view(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            for part in chunks(batch.filter(pa.array(hit.astype(bool)))):
                 key, owner, n = shingles(part.column("text"))
                 size, name = fingerprints(key, owner, n)
-                at = np.concatenate(([0], np.cumsum(size)))
-                ok = np.flatnonzero(name == part.column("name").to_numpy())
-                rows = [key[at[i] : at[i + 1]].tobytes() for i in ok]
-                yield pa.RecordBatch.from_arrays([pa.array(name[ok]), pa.array(size[ok].astype(np.int64)), pa.array(rows, pa.binary())], names=["name", "n", "hashes"])
-
-    w = wanted.select("name", F.col("doc_id").alias("_d"))
-    rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_d"))).select("name", "text")
-    return rows.mapInArrow(run, "name long, n long, hashes binary").dropDuplicates(["name"])
+                ends = np.cumsum(size)
+                rows = [key[e - k : e].tobytes() for e, k in zip(ends.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(size.astype(np.int64)), pa.array(rows, pa.binary())], names=["name", "n", "hashes"])
 
+    rows = docs.select("text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "name long, n long, hashes binary")
+    return rows.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of set names whose similarity is high enough."""
 
-    def run(batches):
-        for batch in batches:
-            u, v = batch.column("u"), batch.column("v")
-            ok = []
-            for x, y in zip(batch.column("hu"), batch.column("hv")):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
-
-    left = sets.select(F.col("name").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("hu"))
-    right = sets.select(F.col("name").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("hv"))
+def _both(pairs: DataFrame, table: DataFrame, value: str, percent: int) -> DataFrame:
+    """``pairs`` (u, v) with ``value`` of both sets as hu and hv, where their sizes allow a link."""
+    left = table.select(F.col("name").alias("u"), F.col("n").alias("nu"), F.col(value).alias("hu"))
+    right = table.select(F.col("name").alias("v"), F.col("n").alias("nv"), F.col(value).alias("hv"))
     met = pairs.join(left, "u").join(right, "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    return met.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
+    return met.select("u", "v", "nu", "nv", "hu", "hv")
+
+
+def _kept(batches, test):
+    for batch in batches:
+        cols = [batch.column(c) for c in ("nu", "nv", "hu", "hv")]
+        ok = [test(n, m, x.as_buffer(), y.as_buffer()) for n, m, x, y in zip(cols[0].to_pylist(), cols[1].to_pylist(), cols[2], cols[3])]
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+
+
+def _possible(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of set names that their parity bitmaps do not rule out."""
+    test = lambda n, m, x, y: least_difference(x, y) * (100 + percent) <= (n + m) * (100 - percent)
+    return _both(pairs, owners, "bits", percent).mapInArrow(lambda batches: _kept(batches, test), "u long, v long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of set names whose similarity is high enough, by whole sets."""
+    pairs = write_once(_possible(pairs, owners, percent), "possible-pairs")
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct().join(owners.select("name", "doc_id"), "name")
+    sets = write_once(_sets(docs, wanted), "shingle-sets")
+
+    def test(n, m, x, y):
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return 100 * both >= percent * (n + m - both)
+
+    return _both(pairs, sets, "hashes", percent).mapInArrow(lambda batches: _kept(batches, test), "u long, v long")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -292,7 +339,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     largest = rows.agg(F.max("n")).first()[0] or 1
     top = told.filter("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(MAX_COMMON)
     common = np.sort(np.array([r["name"] for r in top.select("name").collect()], np.int64).view(np.uint64))
-    owners = rows.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    by_name = told.filter("kind = 0 AND n > 0").groupBy("name")
+    owners = write_once(by_name.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("bits").alias("bits")), "owners")
 
     same = W.partitionBy("key").orderBy("name")
     signed = _signed(docs, common, largest, percent)
@@ -300,9 +348,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = write_once(seen.filter("name != first AND name != _before").select("key", "first", "name"), "shared-signatures")
 
     pairs = write_once(shared.select(F.col("first").alias("u"), F.col("name").alias("v")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct().join(owners, "name")
-    sets = write_once(_sets(docs, wanted), "shingle-sets")
-    links = write_once(_verified(pairs, sets, percent), "links")
+    links = write_once(_verified(pairs, docs, owners, percent), "links")
     roots = write_once(components(links), "roots")
 
     # sets that share a signature and are still in different components
@@ -315,7 +361,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = (F.col("root") < F.col("rv")) & (100 * F.least("n", "nv") >= percent * F.greatest("n", "nv"))
     rest = left.join(right, "key").filter(near).select(F.least("name", "v").alias("u"), F.greatest("name", "v").alias("v")).distinct()
     rest = write_once(rest.join(pairs, ["u", "v"], "left_anti"), "more-pairs")
-    more = write_once(_verified(rest, sets, percent), "more-links")
+    more = write_once(_verified(rest, docs, owners, percent), "more-links")
     if not more.isEmpty():
         roots = write_once(components(links.union(more)), "roots")
 

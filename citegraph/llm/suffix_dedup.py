@@ -235,7 +235,7 @@ def _repeated_anchors(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
 
 
-def _bit_table(keys: DataFrame) -> np.ndarray:
+def bit_table(keys: DataFrame) -> np.ndarray:
     """A bit for every hash, indexed by its low bits; at most 2 ** MOST_BITS bits."""
     n = keys.count()
     power = int(np.clip((16 * n).bit_length(), LEAST_BITS, MOST_BITS))
@@ -304,7 +304,7 @@ def _settled(rows: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame) -> DataFrame:
     """(did, tie, lo, hi): byte ranges of repeats; ranges of one text may overlap. docs: (did, tie, text)."""
-    table = _bit_table(write_once(_repeated_anchors(docs), "anchors"))
+    table = bit_table(write_once(_repeated_anchors(docs), "anchors"))
     first = write_once(_candidates(docs, table), "runs")
     sent = first.filter("key IS NOT NULL").repartition("key").sortWithinPartitions("key")
     return first.filter("key IS NULL").select("did", "tie", "lo", "hi").union(_settled(sent).select("did", "tie", "lo", "hi"))
