@@ -18,8 +18,8 @@ left in the negation's scope, reported, target seen, hit seen) and whose arcs
 carry the weights. Only clauses with a lexicon hit are run. A document's
 score is a logistic function of its best and its summed clause weights.
 
-Lexicon weights come from one half of the labelled sample; damping factors,
-bonus and logistic weights come from the other half. The sample has at most
+Lexicon weights come from three quarters of the labelled sample (part 0);
+damping factors, bonus and logistic weights from the rest. The sample has at most
 ``MAX_LABELLED`` labelled documents, by a hash of doc_id.
 
 Edge cases: null and empty texts match nothing and get the score of no match;
@@ -45,8 +45,9 @@ from citegraph.llm.textscan import Texts, chunks
 MAX_LABELLED = 30_000
 #: entries of the insult and threat lexicons, at most
 MAX_TERMS = 20_000
-MIN_TOXIC = 6
-MIN_WEIGHT = 2.5
+#: an entry is in this many toxic documents of its part, and in this share of them
+MIN_TOXIC, MIN_SHARE = 4, 0.015
+MIN_WEIGHT = 2.3
 PREFIXES = (4, 5, 6)
 SCOPE = 3
 THRESHOLD = 0.3
@@ -188,11 +189,11 @@ class Matcher:
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFrame:
-    """(text, toxic, half) of at most MAX_LABELLED labelled documents outside the held-out fold."""
+    """(text, toxic, part) of at most MAX_LABELLED labelled documents outside the held-out fold."""
     y = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), folds) != held)
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # MAX_LABELLED rows of 12 bytes
-    return rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half"))
+    return rows.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)) == 0).cast("int").alias("part"))
 
 
 def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -207,7 +208,7 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     ratio = F.log((F.col("t") + 0.5) / (n_t + 1)) - F.log((F.col("c") + 0.5) / (n_c + 1))
     top = (
         terms.groupBy("k.len", "k.term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("v", ratio)
-        .filter((F.col("t") >= MIN_TOXIC) & (F.col("v") >= MIN_WEIGHT)).orderBy(F.desc("t"), F.desc("v"), "len", "term").limit(MAX_TERMS).collect()
+        .filter((F.col("t") >= max(MIN_TOXIC, MIN_SHARE * n_t)) & (F.col("v") >= MIN_WEIGHT)).orderBy(F.desc("t"), F.desc("v"), "len", "term").limit(MAX_TERMS).collect()
     )
     prefixes, words_ = {}, {}
     for r in sorted(top, key=lambda r: (r["len"] == 0, r["len"])):
@@ -245,7 +246,7 @@ def calibrate(g: Grammar, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def learn(rows: DataFrame) -> Grammar:
-    g = Grammar(*lexicon(rows.filter("half = 0")))
+    g = Grammar(*lexicon(rows.filter("part = 0")))
 
     def run(batches):
         m = Matcher(g)
@@ -255,7 +256,7 @@ def learn(rows: DataFrame) -> Grammar:
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, k]) for k in range(4)]], names=["toxic", "a", "b", "c", "d"])
 
     # at most MAX_LABELLED rows of five numbers
-    got = rows.filter("half = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, a double, b double, c double, d double").toPandas()
+    got = rows.filter("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, a double, b double, c double, d double").toPandas()
     calibrate(g, got[["a", "b", "c", "d"]].to_numpy(float), (got["toxic"] == 1).to_numpy(float))
     return g
 
