@@ -180,7 +180,7 @@ def test_consensus_cluster_finds_planted_groups(spark, algo, metric):
     base = np.eye(3, 8) * 5
     sv = [(p, i, [float(v) for v in base[i % 3] + rng.normal(0, 0.1, 8)]) for p in range(2) for i in range(p, 15)]
     df = spark.createDataFrame(sv, "perm INT, id INT, vec ARRAY<DOUBLE>")
-    got = K.consensus_cluster(df, [1, 3, 99], algo, metric, reps=3, max_iter=20).collect()
+    got = K.consensus_cluster(df, [1, 3, 99], algo, metric, reps=12, max_iter=20).collect()
     assert {r.k for r in got} == {1, 3} and len(got) == 2 * (15 + 14)
     for p in range(2):
         lab = {r.id: r.cluster for r in got if r.perm == p and r.k == 3}
