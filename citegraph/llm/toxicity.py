@@ -3,9 +3,9 @@
 Words are runs of ASCII letters, apostrophes and non-ASCII characters (A-Z
 folded); clauses end at . ! ? ; and newlines. Transducers over a clause:
 
-- insult and threat lexicons map a word to its class and weight (log ratio of
-  its document rates in toxic and clean training texts; whole words, or
-  prefixes where a prefix says as much);
+- insult and threat lexicons map a word to its class and weight (lower
+  confidence bound of the log ratio of its document rates in toxic and clean
+  training texts; whole words, or prefixes where a prefix says as much);
 - the negation transducer is open for ``SCOPE`` words after a negator and
   damps insults and threats in its scope;
 - the reported-speech transducer opens at a reporting verb or quote and damps
@@ -45,8 +45,9 @@ from citegraph.llm.textscan import Texts, chunks
 MAX_LABELLED = 30_000
 #: entries of the insult and threat lexicons, at most
 MAX_TERMS = 20_000
-#: an entry is in this many toxic documents of its part, and in this share of them
-MIN_TOXIC, MIN_SHARE = 4, 0.015
+#: an entry is in this many toxic documents of its part; the lower bound of its log ratio, DEVIATIONS below
+#: the estimate, is MIN_WEIGHT at least (one toxic document in ten: six toxic and no clean ones do, in any sample)
+MIN_TOXIC, DEVIATIONS = 4, 1.64
 MIN_WEIGHT = 2.3
 PREFIXES = (4, 5, 6)
 SCOPE = 3
@@ -206,9 +207,10 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     keys = F.array(F.struct(F.lit(0).alias("len"), F.col("w").alias("term")), *[F.struct(F.lit(n).alias("len"), F.substring("w", 1, n).alias("term")) for n in PREFIXES])
     terms = per.filter(F.length("w") <= 64).select(F.explode(keys).alias("k"), "t", "c").filter("k.len = 0 OR length(k.term) = k.len")
     ratio = F.log((F.col("t") + 0.5) / (n_t + 1)) - F.log((F.col("c") + 0.5) / (n_c + 1))
+    bound = ratio - DEVIATIONS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     top = (
-        terms.groupBy("k.len", "k.term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("v", ratio)
-        .filter((F.col("t") >= max(MIN_TOXIC, MIN_SHARE * n_t)) & (F.col("v") >= MIN_WEIGHT)).orderBy(F.desc("t"), F.desc("v"), "len", "term").limit(MAX_TERMS).collect()
+        terms.groupBy("k.len", "k.term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("v", bound)
+        .filter((F.col("t") >= MIN_TOXIC) & (F.col("v") >= MIN_WEIGHT)).orderBy(F.desc("t"), F.desc("v"), "len", "term").limit(MAX_TERMS).collect()
     )
     prefixes, words_ = {}, {}
     for r in sorted(top, key=lambda r: (r["len"] == 0, r["len"])):

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,6 +206,16 @@ def test_grammar_damps_and_aims():
     assert w(target, hit) == 5 and w(hit, plain, target) == 5 and w(target, hit, target, hit) == 9
 
 
+def test_lexicon_keeps_the_long_tail(spark):
+    rng = random.Random(8)
+    insults = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(120)]
+    prose = lambda: " ".join(rng.choice(["the", "and", "thing", "white", "shore"]) for _ in range(12))
+    # ten documents of each insult: 0.8 % of the toxic ones
+    rows = [(f"{prose()} {x} {prose()}", 1) for x in insults for _ in range(10)] + [(prose(), 0) for _ in range(12_000)]
+    found = toxicity.Matcher(toxicity.Grammar(*toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int")))).features(pa.array(insults + ["the", "shore"]))
+    assert (found[:-2, 0] > 0).all() and (found[-2:, 0] == 0).all()
+
+
 def test_prior_estimate(labelled):
     docs, labels, truth = labelled
     x = pu_quality.features(docs)
