@@ -3,23 +3,25 @@
 Words are runs of ASCII letters, apostrophes and non-ASCII characters (A-Z
 folded); clauses end at . ! ? ; and newlines. Transducers over a clause:
 
-- insult and threat lexicons map a word to its class and weight (lower
-  confidence bound of the log ratio of its document rates in toxic and clean
-  training texts; whole words, or prefixes where a prefix says as much);
+- the insult lexicon maps a word to its weight (lower confidence bound of the
+  log ratio of its document rates in toxic and clean training texts; whole
+  words, or prefixes where a prefix says as much);
+- the threat lexicon maps the verbs of ``THREATS`` to the threat class, learned
+  weight or not; a threat adds its bonus once a personal target is seen too;
 - the negation transducer is open for ``SCOPE`` words after a negator and
   damps insults and threats in its scope;
 - the reported-speech transducer opens at a reporting verb or quote and damps
   what follows in the clause;
 - the target transducer remembers a personal target and adds its bonus once
-  an insult or threat has been seen.
+  an insult or a threat with a learned weight has been seen.
 
 Their composition runs over a clause as one automaton whose state is (words
-left in the negation's scope, reported, target seen, hit seen) and whose arcs
-carry the weights. Only clauses with a lexicon hit are run. A document's
+left in the negation's scope, reported, target seen, hit seen, threat seen) and
+whose arcs carry the weights. Only clauses with a lexicon hit are run. A document's
 score is a logistic function of its best and its summed clause weights.
 
 Lexicon weights come from three quarters of the labelled sample (part 0);
-damping factors, bonus and logistic weights from the rest. The sample has at most
+the factor of negation, that of reported speech, bonuses and logistic weights from the rest. The sample has at most
 ``MAX_LABELLED`` labelled documents, by a hash of doc_id.
 
 Edge cases: null and empty texts match nothing and get the score of no match;
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm.pu_quality import fold
-from citegraph.llm.store import ascii_lower
+from citegraph.llm.store import ascii_lower, write_once
 from citegraph.llm.textscan import Texts, chunks
 
 #: labelled documents that the grammar is learned from, at most
@@ -75,21 +77,31 @@ class Grammar:
     negated: float = 0.5
     reported: float = 0.5
     target: float = 0.5
+    #: of a threat with a target; until enough are seen, that of the weakest lexicon entry
+    threat: float = MIN_WEIGHT
     #: weights of (1, best clause, log of summed clauses); None: nothing learned
     logistic: tuple[float, float, float] | None = None
 
 
-def run_clause(symbols: list[tuple[int, float]], g: Grammar) -> tuple[float, bool, bool]:
-    """Weight of a clause under the composed transducers; whether a damped and a plain hit occurred."""
+#: what a clause's hits are: neither damped, negated, reported; and a threat composed with a target
+CLEAR, NEGATED, REPORTED, THREATENED = 1, 2, 4, 8
+
+
+def run_clause(symbols: list[tuple[int, float]], g: Grammar) -> tuple[float, int]:
+    """Weight of a clause under the composed transducers; flags of the hits that it holds."""
     scope, reported, target, hit, paid = 0, False, False, False, False
-    total, damped, plain = 0.0, False, False
+    total, flags = 0.0, 0
+    threat, threat_flags, threatened = 0.0, 0, False
     for kind, weight in symbols:
         if kind in (INSULT, THREAT):
             factor = (g.negated if scope else 1.0) * (g.reported if reported else 1.0)
-            total += weight * factor
-            hit = True
-            damped |= bool(scope or reported)
-            plain |= not (scope or reported)
+            seen = (NEGATED if scope else 0) | (REPORTED if reported else 0) or CLEAR
+            if weight > 0:
+                total += weight * factor
+                flags |= seen
+                hit = True
+            if kind == THREAT and factor > threat:
+                threat, threat_flags = factor, seen
         elif kind == TARGET:
             target = True
         elif kind == REPORT:
@@ -97,7 +109,10 @@ def run_clause(symbols: list[tuple[int, float]], g: Grammar) -> tuple[float, boo
         scope = SCOPE if kind == NEGATOR else max(0, scope - 1)
         if hit and target and not paid:
             total, paid = total + g.target, True
-    return total, damped, plain
+        threatened = threatened or (target and threat > 0)
+    if threatened:
+        total, flags = total + g.threat * threat, flags | threat_flags | THREATENED
+    return total, flags
 
 
 class Matcher:
@@ -111,6 +126,7 @@ class Matcher:
         for p, v in g.prefixes.items():
             self.prefixes.setdefault(len(p.encode()), {})[p.encode()] = v
         self.prefixes = {n: self._table(t) for n, t in sorted(self.prefixes.items())}
+        self.threats = self._table({w.encode(): 1.0 for w in THREATS})
 
     @staticmethod
     def _table(entries: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +153,8 @@ class Matcher:
         for n, table in self.prefixes.items():
             long = np.flatnonzero(end - start >= n)
             weight[long] = np.maximum(weight[long], self._look(table, t.hashes(start[long], start[long] + n)))
-        hits = np.flatnonzero(weight > 0)
+        threat = self._look(self.threats, t.hashes(start, end)) > 0
+        hits = np.flatnonzero((weight > 0) | threat)
         if not len(hits):
             return t.n, []
         ends = np.concatenate(([0], np.cumsum(_END[t.data])))[start]
@@ -155,9 +172,8 @@ class Matcher:
                 if (t.data[before : start[j]] == 34).any():
                     symbols.append((REPORT, 0.0))
                 before = end[j]
-                if weight[j] > 0:
-                    w = t.data[start[j] : end[j]].tobytes().decode("utf-8", "replace")
-                    symbols.append((THREAT if w in THREATS else INSULT, float(weight[j])))
+                if threat[j] or weight[j] > 0:
+                    symbols.append((THREAT if threat[j] else INSULT, float(weight[j])))
                 else:
                     word = t.data[start[j] : end[j]].tobytes().decode("utf-8", "replace") if end[j] - start[j] <= 16 else ""
                     symbols.append((self.closed.get(word, PLAIN), 0.0))
@@ -166,19 +182,18 @@ class Matcher:
         return t.n, out
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """(best clause, log(1 + sum), only damped hits, target seen) of each text."""
+        """(best clause, log(1 + sum), flags of all hits, target beside a lexicon entry, lexicon entry) of each text."""
         n, found = self.clauses(column)
-        out = np.zeros((n, 4))
-        plain_hit = np.zeros(n, bool)
+        out = np.zeros((n, 5))
         for d, symbols in found:
-            total, _, plain = run_clause(symbols, self.g)
+            total, flags = run_clause(symbols, self.g)
             out[d, 0] = max(out[d, 0], total)
             out[d, 1] += total
-            plain_hit[d] |= plain
-            out[d, 2] = 1
-            out[d, 3] = max(out[d, 3], float(any(k == TARGET for k, _ in symbols)))
+            out[d, 2] = int(out[d, 2]) | flags
+            entry = any(w > 0 for _, w in symbols)
+            out[d, 3] = max(out[d, 3], float(entry and any(k == TARGET for k, _ in symbols)))
+            out[d, 4] = max(out[d, 4], float(entry))
         out[:, 1] = np.log1p(out[:, 1])
-        out[:, 2] *= ~plain_hit
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -221,21 +236,32 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
 
 def calibrate(g: Grammar, x: np.ndarray, y: np.ndarray) -> None:
-    """Damping, target bonus and logistic weights from features (best, log sum, damped, target) of labelled texts."""
+    """Damping factors and bonuses from the features of labelled texts."""
     if not len(y) or y.min() == y.max():
         return
 
     def odds(mask):
         return np.log((y[mask].sum() + 0.5) / ((1 - y[mask]).sum() + 0.5))
 
-    hit, none = x[:, 0] > 0, x[:, 0] <= 0
-    plain, damped = hit & (x[:, 2] == 0), hit & (x[:, 2] == 1)
-    if damped.sum() >= 20 and plain.sum() >= 20:
-        share = (odds(damped) - odds(none)) / max(1e-9, odds(plain) - odds(none))
-        g.negated = g.reported = float(np.clip(share, 0.05, 1.0))
-    aimed = hit & (x[:, 3] == 1)
-    if aimed.sum() >= 20 and (hit & ~aimed).sum() >= 20:
-        g.target = float(np.clip(odds(aimed) - odds(hit & ~aimed), 0.0, 3.0))
+    flags, entry = x[:, 2].astype(int), x[:, 4] == 1
+    none, plain = flags == 0, flags & CLEAR > 0
+    for name, flag in (("negated", NEGATED), ("reported", REPORTED)):
+        damped = flags & ~THREATENED == flag
+        if damped.sum() >= 20 and plain.sum() >= 20:
+            share = (odds(damped) - odds(none)) / max(1e-9, odds(plain) - odds(none))
+            setattr(g, name, float(np.clip(share, 0.05, 1.0)))
+    aimed = entry & (x[:, 3] == 1)
+    if aimed.sum() >= 20 and (entry & ~aimed).sum() >= 20:
+        g.target = float(np.clip(odds(aimed) - odds(entry & ~aimed), 0.0, 3.0))
+    threatened = ~entry & plain & (flags & THREATENED > 0)
+    if threatened.sum() >= 20:
+        g.threat = float(np.clip(odds(threatened) - odds(none), 0.0, 10.0))
+
+
+def fit_logistic(g: Grammar, x: np.ndarray, y: np.ndarray) -> None:
+    """Logistic weights on (best, log sum) of labelled texts."""
+    if not len(y) or y.min() == y.max():
+        return
     d = np.column_stack([np.ones(len(y)), x[:, 0], x[:, 1]])
     w = np.zeros(3)
     for _ in range(30):
@@ -248,18 +274,22 @@ def calibrate(g: Grammar, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def learn(rows: DataFrame) -> Grammar:
+    rows = write_once(rows, "toxicity-sample")  # read four times
     g = Grammar(*lexicon(rows.filter("part = 0")))
+    rest = rows.filter("part = 1").select("text", F.col("toxic").cast("int").alias("toxic"))
+    names = [f"x{k}" for k in range(5)]
 
     def run(batches):
         m = Matcher(g)
         for batch in batches:
             for part in chunks(batch):
                 x = m.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, k]) for k in range(4)]], names=["toxic", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, k]) for k in range(5)]], names=["toxic", *names])
 
-    # at most MAX_LABELLED rows of five numbers
-    got = rows.filter("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, a double, b double, c double, d double").toPandas()
-    calibrate(g, got[["a", "b", "c", "d"]].to_numpy(float), (got["toxic"] == 1).to_numpy(float))
+    for fit in (calibrate, fit_logistic):  # the logistic weights see the fitted factors
+        # at most MAX_LABELLED rows of six numbers
+        got = rest.mapInArrow(run, "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas()
+        fit(g, got[names].to_numpy(float), (got["toxic"] == 1).to_numpy(float))
     return g
 
 

@@ -216,6 +216,37 @@ def test_lexicon_keeps_the_long_tail(spark):
     assert (found[:-2, 0] > 0).all() and (found[-2:, 0] == 0).all()
 
 
+def test_threat_needs_a_target(spark):
+    rng = random.Random(9)
+    prose = lambda: " ".join(rng.choice(["the", "and", "thing", "white", "shore"]) for _ in range(12))
+    rows = []
+    for i in range(2400):  # ordinary verbs: as frequent in clean documents as in toxic ones
+        toxic = i % 10 == 0
+        verb = rng.choice(toxicity.THREATS[:6])
+        rows.append((i, f"{prose()}. {f'i will {verb} you' if toxic else f'{verb} the fire. i will see you' if i % 3 else prose()}. {prose()}", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    held = [i for i in out if out[i]["held_out"]]
+    assert sum(i % 10 == 0 for i in held) > 20
+    assert all(out[i]["predicted"] == (i % 10 == 0) for i in held)
+    # each damping has a factor of its own, and a threat without a target weighs nothing
+    g = toxicity.Grammar(negated=0.2, reported=0.3, threat=3.0)
+    threat, target, no, said = ((k, 0.0) for k in (toxicity.THREAT, toxicity.TARGET, toxicity.NEGATOR, toxicity.REPORT))
+    w = lambda *s: round(toxicity.run_clause(list(s), g)[0], 6)
+    assert w(threat) == 0 and w(threat, target) == w(target, threat) == 3
+    assert w(no, threat, target) == 0.6 and w(said, threat, target) == 0.9
+
+
+def test_damping_factors_are_fitted_apart():
+    rows = [(toxicity.CLEAR, 1, 95), (toxicity.CLEAR, 0, 5), (toxicity.NEGATED, 1, 10), (toxicity.NEGATED, 0, 90)]
+    rows += [(toxicity.REPORTED, 1, 70), (toxicity.REPORTED, 0, 30), (0, 1, 10), (0, 0, 990)]
+    y = np.array([t for _, t, n in rows for _ in range(n)], float)
+    x = np.array([(4.0 * (f > 0), 1.0, f, 0, float(f > 0)) for f, _, n in rows for _ in range(n)])
+    g = toxicity.Grammar()
+    toxicity.calibrate(g, x, y)
+    assert g.negated < 0.4 < 0.6 < g.reported
+
+
 def test_prior_estimate(labelled):
     docs, labels, truth = labelled
     x = pu_quality.features(docs)
