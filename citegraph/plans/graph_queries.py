@@ -358,6 +358,18 @@ def betweenness_centrality(spark, d):
     return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "org")))
 
 
+@register("closeness_author")
+def closeness_author(spark, d):
+    """Shortest-path closeness of every year's whole author graph."""
+    return rounded(CE.closeness_centrality(_whole_graph(spark, d, "author")))
+
+
+@register("betweenness_author")
+def betweenness_author(spark, d):
+    """Brandes betweenness of every year's whole author graph."""
+    return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "author")))
+
+
 @register("closeness_author_page")
 def closeness_author_page(spark, d):
     """Closeness of the author page's subgraph of the 50 strongest authors of a year."""

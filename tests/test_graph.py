@@ -110,3 +110,17 @@ def test_densify_and_normalise(spark):
     assert rows[(1, "A", "B")] == (2, 1.0)
     assert rows[(2, "A", "C")] == (0, 0.0)  # year maximum 0: unchanged
     assert len(rows) == 6
+
+
+def test_author_level_of_the_path_centralities(spark):
+    import __spark_entry__ as E
+    from citegraph.plans.graph_queries import _whole_graph
+    from conftest import SF001
+
+    edges = {}
+    for r in _whole_graph(spark, SF001, "author").collect():
+        edges.setdefault(r["year"], []).append((r["u"], r["v"], r["w"]))
+    for name, column, oracle in (("closeness_author", "closeness", GO.closeness), ("betweenness_author", "betweenness", GO.betweenness)):
+        want = {(y, n): v for y, e in edges.items() for n, v in oracle(e).items()}
+        rows = {(r["year"], r["node"]): r[column] for r in E.queries()[name](spark, SF001).collect()}
+        assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-4 for k in want)
