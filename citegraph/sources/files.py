@@ -54,12 +54,17 @@ def scan_json_shards(spark: SparkSession, glob: str, schema: T.StructType | str,
 
 
 def scan_tolerant(spark: SparkSession, glob: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Split shards' lines into (good rows, bad lines) instead of failing the job (#2)."""
+    """Split shards' lines into (good rows, bad lines) instead of failing the job (#2).
+
+    A shard that cannot be read (a broken gzip file) gives the lines before the
+    break, none where there are none, and Spark logs its name.
+    """
     s = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     df = (
         spark.read.schema(s)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("ignoreCorruptFiles", "true")
         .json(glob)
         .withColumn("_file", F.input_file_name())
         .cache()

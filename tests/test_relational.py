@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citegraph.operators import aggregates as A
 from citegraph.operators import nested as N
@@ -126,3 +127,14 @@ def test_order_reconcile_reports_missing(spark):
     b = spark.createDataFrame([(1,), (3,)], "id INT")
     rows = J.order_reconcile(a, b, "id").collect()
     assert {(r.a_id, r.b_id) for r in rows} == {(2, 3), (3, None)}
+
+
+def test_unreadable_gzip_shard_gives_an_empty_part(spark, tmp_path):
+    import gzip
+
+    from citegraph.sources.files import scan_tolerant
+
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"x": 1}\n{"x": \n'))
+    (tmp_path / "b.json.gz").write_bytes(b"\x1f\x8b\x08\x00" + b"broken" * 20)
+    good, bad = scan_tolerant(spark, f"{tmp_path}/*.json.gz", T.StructType([T.StructField("x", T.LongType())]))
+    assert [r["x"] for r in good.collect()] == [1] and bad.count() == 1
