@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, language_crf, mixing, oracles, partenum, pu_quality, quality_rules, secret_scan, suffix_dedup, token_output, toxicity
+from citegraph.llm import decontaminate, language_crf, mixing, oracles, partenum, pu_quality, quality_rules, secret_scan, suffix_dedup, token_alignment, token_output, toxicity
 from citegraph.llm.store import documents, labels
 
 QUERIES: dict = {}
@@ -79,3 +79,11 @@ def op6_partenum(spark, sf_dir):
 def op7_suffix_dedup(spark, sf_dir):
     """Bytes that repeat a string of 100 bytes, and what is left."""
     return suffix_dedup.digest(documents(spark, sf_dir))
+
+
+@_query
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers' tokens, with corpus-wide counts of the id pairs."""
+    import public_tokenizers
+
+    return token_alignment.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
