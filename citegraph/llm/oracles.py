@@ -6,6 +6,7 @@ import re
 
 from citegraph.llm.decontaminate import WINDOW
 from citegraph.llm.mixing import MOST, SHARE, WEIGHTS
+from citegraph.llm.phrase_mining import KEEP, LEAST, OVERLAP
 from citegraph.llm.secret_scan import BASE_RULES, MORE_RULES
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,3 +70,20 @@ o AS (SELECT z.*, g.n AS source_size, g.target, floor(g.target) AS goal,
   coalesce(SUM(size) OVER (PARTITION BY z.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
   FROM z JOIN g ON g.source IS NOT DISTINCT FROM z.source)
 SELECT doc_id, size, source_size, target, CAST(GREATEST(0, LEAST(size, goal - c)) + GREATEST(0, LEAST(size, goal - c - source_size)) AS BIGINT) AS taken FROM o"""
+
+
+def phrase_mining() -> str:
+    score = "CAST(a AS HUGEINT) * a * 1000000 // (CAST({} AS HUGEINT) * {})".format
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ \\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+f AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, COUNT(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k) GROUP BY ALL HAVING COUNT(*) >= {LEAST}),
+c AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, x.a AS l, y.a AS r, {score('x.a', 'y.a').replace('CAST(a', 'CAST(c.a').replace('* a', '* c.a')} AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+low AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, phrase, MAX(a) AS longer FROM (SELECT lang, a, array_to_string(w[cut:cut + 1], ' ') AS phrase FROM c WHERE k = 3) GROUP BY 1, 2),
+r AS (SELECT low.*, ROW_NUMBER() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low LEFT JOIN inner_ i ON i.lang = low.lang AND i.phrase = low.phrase WHERE k = 3 OR i.longer IS NULL OR 100 * i.longer < {OVERLAP} * a)
+SELECT r.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r JOIN n ON n.lang = r.lang WHERE rank <= {KEEP}"""

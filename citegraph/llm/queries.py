@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, language_crf, mixing, oracles, partenum, pu_quality, quality_rules, secret_scan, suffix_dedup, token_alignment, token_output, toxicity
+from citegraph.llm import decontaminate, language_crf, license_scan, mixing, oracles, partenum, phrase_mining, pu_quality, quality_rules, secret_scan, suffix_dedup, token_alignment, token_output, toxicity
 from citegraph.llm.store import documents, labels
 
 QUERIES: dict = {}
@@ -11,6 +11,7 @@ ORACLE: dict[str, str] = {
     "op1_secret_scan": oracles.secret_scan(),
     "op8_decontaminate": oracles.decontaminate(),
     "op10_mixing": oracles.mixing(),
+    "op12_phrase_mining": oracles.phrase_mining(),
 }
 
 
@@ -87,3 +88,15 @@ def op11_token_alignment(spark, sf_dir):
     import public_tokenizers
 
     return token_alignment.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_phrase_mining(spark, sf_dir):
+    """The best collocations of each language, counted by FM-indexes."""
+    return phrase_mining.digest(documents(spark, sf_dir))
+
+
+@_query
+def op13_license_scan(spark, sf_dir):
+    """Licence notices in every whole text, by a positional index of rare words."""
+    return license_scan.digest(documents(spark, sf_dir))
