@@ -14,8 +14,10 @@ patterns end at ``MAX_WORDS`` words, rows need no deeper order than
 Counts are summed across shards, depth by depth. A phrase that occurs often
 enough has parts that do, so each depth extends only patterns whose parts are
 in the depth before: the frequent words, then the frequent pairs, as a bit
-table of bounded size (``suffix_dedup.MOST_BITS``). A false hit of the table
-makes a row that its sum removes; nothing that is frequent is missed.
+table of bounded size (``suffix_dedup.MOST_BITS``). To find those, patterns
+travel as 64-bit keys with counts, as arrays. The patterns in the tables are
+then counted as rows; a false hit of a table makes a row that its sum removes,
+nothing that is frequent is missed.
 
 Scores come from joins of the frequent phrases with their parts, in decimals
 (exact: products pass 64 bits). The result is the first ``keep`` phrases of a
@@ -37,7 +39,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,7 +50,9 @@ from citegraph.llm.textscan import BASE, Texts, chunks, mix
 LEAST, KEEP, OVERLAP = 10, 2000, 50
 MAX_WORDS = 3
 #: bytes of text of a shard, about 20 times as much memory while it is sorted
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: counts of a range of keys that one task adds, at most
+RANGE = 2_000_000
 #: parts that a language's candidates are ranked in before they meet
 PARTS = 64
 
@@ -102,10 +105,12 @@ class FMIndex:
     def _extend(self, before: np.ndarray, rows: np.ndarray, other: np.ndarray, width: np.ndarray, allowed: np.ndarray):
         """(pattern, symbol, its rows, the other index's rows, width) of the extensions by allowed symbols."""
         total = int(width.sum())
-        owner = np.repeat(np.arange(len(width)), width)
-        at = np.repeat(rows - (np.cumsum(width) - width), width) + np.arange(total)
-        symbol = before[at].astype(np.int64)
-        key = np.sort(owner << 32 | symbol)  # by pattern, then symbol
+        at = np.repeat(rows - (np.cumsum(width) - width), width)
+        at += np.arange(total)
+        key = np.repeat(np.arange(len(width)) << 32, width)
+        key |= before[at]
+        del at
+        key.sort()  # by pattern, then symbol
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if total else np.zeros(0, np.int64)
         n = np.diff(np.append(new, total))
         pattern, symbol = key[new] >> 32, key[new] & 0xFFFFFFFF
@@ -116,7 +121,9 @@ class FMIndex:
 
     def _rank(self, before: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """How often each symbol stands before the given row."""
-        order = np.sort(before.astype(np.int64) << 32 | np.arange(len(before)))
+        order = before.astype(np.int64) << 32
+        order |= np.arange(len(before))
+        order.sort()
         return np.searchsorted(order, symbol << 32 | rows) - self.first[symbol]
 
     def left(self, p: Intervals, allowed: np.ndarray) -> Intervals:
@@ -209,19 +216,45 @@ def pattern_key(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _keys(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(key) of every row (lang, hashes)."""
+def frequent_keys(shards: DataFrame, columns: list[str], counted, least: int, n: int, name: str) -> DataFrame:
+    """(key) of the patterns that ``counted`` finds ``least`` times in all shards together.
 
-    def run(batches):
-        for b in batches:
-            langs, out = b.column("lang"), np.zeros(b.num_rows, np.uint64)
-            hashes = [b.column(c).to_numpy().view(np.uint64) for c in columns]
-            for lang in pc.unique(langs).to_pylist():
-                at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
-                out[at] = pattern_key(lang, [h[at] for h in hashes])
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["key"])
-
-    return rows.select("lang", *columns).mapInArrow(run, "key long")
+    counted: a shard's row -> (keys, counts). They travel as arrays, one row for
+    each shard and range of keys; ``n`` bounds the counts of all shards and
+    gives the number of ranges, so that the counts of a range fit one task.
+    """
+    ranges = max(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+
+    def send(batches):
+        for row in _rows(batches):
+            keys, counts = counted(row)
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order].astype(np.uint32)
+            edge = np.searchsorted(keys, np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)).tolist() + [len(keys)]
+            full = [r for r in range(ranges) if edge[r] < edge[r + 1]]
+            parts = [[x[edge[r] : edge[r + 1]].tobytes() for r in full] for x in (keys, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["range", "keys", "counts"])
+
+    def add(table):
+        keys, counts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("keys", np.uint64), ("counts", np.uint32)))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return pa.table({"key": keys[first[np.add.reduceat(counts, first) >= least]].view(np.int64)})
+
+    sent = shards.select(*columns).mapInArrow(send, "range int, keys binary, counts binary")
+    return write_once(sent.groupBy("range").applyInArrow(add, "key long"), name)
+
+
+def _rows(batches):
+    """Rows one by one as dicts; binary values stay buffers, lists stay Arrow arrays."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {}
+            for name, column in zip(batch.schema.names, batch.columns):
+                kind, value = column.type, column[k]
+                row[name] = value.as_buffer() if pa.types.is_binary(kind) else value.values if pa.types.is_list(kind) else value.as_py()
+            yield row
 
 
 class _Bits:
@@ -238,42 +271,44 @@ def _loaded(row: dict) -> tuple[str, np.ndarray, FMIndex]:
     return row["lang"], h, FMIndex(len(h), *(np.frombuffer(row[c], np.uint32) for c in ("forward", "backward")))
 
 
-def _pairs_of(h: np.ndarray, lang: str, index: FMIndex, words: _Bits) -> Intervals:
-    """Pairs of words that are both frequent."""
+def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a shard's words."""
+    return pattern_key(row["lang"], [np.frombuffer(row["hashes"], np.uint64)]), row["counts"].to_numpy()
+
+
+def _pairs(row: dict, words: _Bits) -> tuple[str, np.ndarray, FMIndex, np.ndarray, Intervals, np.ndarray]:
+    """(lang, hashes, index, frequent words, pairs of them, the pairs' keys) of a shard."""
+    lang, h, index = _loaded(row)
     allowed = np.concatenate(([False], words.has(pattern_key(lang, [h]))))
-    return index.left(index.words().only(allowed[1:]), allowed)
+    pairs = index.left(index.words().only(allowed[1:]), allowed)
+    return lang, h, index, allowed, pairs, pattern_key(lang, [h[pairs.words[:, 0] - 1], h[pairs.words[:, 1] - 1]])
 
 
-def _counted(shards: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """Counts in each shard of the patterns one word longer than the last table's: (lang, h1, h2[, h3], n)."""
-    shared, size = shards.sparkSession.sparkContext.broadcast(tables), len(tables) + 1
-    names = ["lang", *(f"h{k + 1}" for k in range(size)), "n"]
+def _patterns(shards: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(lang, h1, h2, h3, word, n): each shard's words, pairs and triples whose parts are in the tables."""
+    shared = shards.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
-        words, *pairs = (_Bits(b) for b in shared.value)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                lang, h, index = _loaded(batch.slice(k, 1).to_pylist()[0])
-                got = _pairs_of(h, lang, index, words)
-                patterns, n = got.words, got.width
-                if pairs:
-                    frequent = pairs[0].has(pattern_key(lang, [h[patterns[:, 0] - 1], h[patterns[:, 1] - 1]]))
-                    allowed = np.zeros(len(h) + 1, bool)
-                    allowed[patterns[frequent, 1]] = True
-                    patterns, n = index.count_right(got.only(frequent), allowed)
-                    ok = pairs[0].has(pattern_key(lang, [h[patterns[:, 1] - 1], h[patterns[:, 2] - 1]]))
-                    patterns, n = patterns[ok], n[ok]
-                for a in range(0, len(n), 1 << 18):
-                    part = patterns[a : a + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *(pa.array(h[part[:, j] - 1].view(np.int64)) for j in range(size)), pa.array(n[a : a + (1 << 18)].astype(np.int64))], names=names)
-
-    schema = ", ".join(f"{c} {'string' if c == 'lang' else 'long'}" for c in names)
-    return shards.select("lang", "hashes", "forward", "backward").mapInArrow(run, schema)
-
-
-def _frequent(rows: DataFrame, least: int, name: str, *more: Column) -> DataFrame:
-    by = [c for c in rows.columns if c == "lang" or c.startswith("h")]
-    return write_once(rows.groupBy(*by).agg(F.sum("n").alias("n"), *more).filter(F.col("n") >= least), name)
+        words, frequent = (_Bits(b) for b in shared.value)
+        for row in _rows(batches):
+            lang, h, index, allowed, pairs, keys = _pairs(row, words)
+            one = np.flatnonzero(allowed)
+            yield _found(lang, [h[one - 1]], index.counts[one], row["words"].take(pa.array(one - 1)))
+            pairs = pairs.only(frequent.has(keys))
+            yield _found(lang, [h[pairs.words[:, j] - 1] for j in range(2)], pairs.width)
+            last = np.zeros(len(h) + 1, bool)
+            last[pairs.words[:, 1]] = True
+            triples, n = index.count_right(pairs, last)
+            ok = frequent.has(pattern_key(lang, [h[triples[:, j] - 1] for j in (1, 2)]))
+            yield _found(lang, [h[triples[ok, j] - 1] for j in range(3)], n[ok])
+
+    return shards.select("lang", "hashes", "words", "forward", "backward").mapInArrow(run, "lang string, h1 long, h2 long, h3 long, word string, n long")
+
+
+def _found(lang: str, hashes: list[np.ndarray], n: np.ndarray, word: pa.Array | None = None) -> pa.RecordBatch:
+    columns = [pa.array(h.view(np.int64)) for h in hashes] + [pa.nulls(len(n), pa.int64())] * (MAX_WORDS - len(hashes))
+    word = pa.nulls(len(n), pa.string()) if word is None else word
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, word, pa.array(n.astype(np.int64))], names=["lang", "h1", "h2", "h3", "word", "n"])
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -291,27 +326,21 @@ class Phrases:
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
         shards = index_shards(docs)
-        self.sizes = shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
-        self.words = _frequent(self._vocabulary(shards), least, "words", F.min("word").alias("word"))
-        tables = [bit_table(_keys(self.words, ["h1"]))]
-        self.pairs = _frequent(_counted(shards, tables), least, "pairs")
-        tables.append(bit_table(_keys(self.pairs, ["h1", "h2"])))
-        self.triples = _frequent(_counted(shards, tables), least, "triples")
-
-    @staticmethod
-    def _vocabulary(shards: DataFrame) -> DataFrame:
-        """(lang, h1, word, n) of each shard."""
-
-        def run(batches):
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    h = np.frombuffer(batch.column("hashes")[k].as_buffer(), np.int64)
-                    words, counts = (batch.column(c)[k].values for c in ("words", "counts"))
-                    for a in range(0, len(h), 1 << 18):
-                        b = min(len(h), a + (1 << 18))
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[k].as_py()] * (b - a)), pa.array(h[a:b]), words[a:b], counts[a:b].cast(pa.int64())], names=["lang", "h1", "word", "n"])
-
-        return shards.select("lang", "hashes", "words", "counts").mapInArrow(run, "lang string, h1 long, word string, n long")
+        self.sizes = write_once(shards.groupBy("lang").agg(F.sum("n_words").alias("total")), "sizes")
+        n = self.sizes.agg(F.sum("total")).first()[0] or 0
+        words = bit_table(frequent_keys(shards, ["lang", "hashes", "counts"], _words, least, n, "words"))
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def pairs(row):
+            *_, found, keys = _pairs(row, _Bits(shared.value))
+            return keys, found.width
+
+        tables = words, bit_table(frequent_keys(shards, ["lang", "hashes", "forward", "backward"], pairs, least, n, "pairs"))
+        rows = _patterns(shards, tables).groupBy("lang", "h1", "h2", "h3", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        found = write_once(rows, "phrases")
+        self.words = found.filter("h2 IS NULL").select("lang", "h1", "n", "word")
+        self.pairs = found.filter("h2 IS NOT NULL AND h3 IS NULL").select("lang", "h1", "h2", "n")
+        self.triples = found.filter("h3 IS NOT NULL").select("lang", "h1", "h2", "h3", "n")
 
     def candidates(self) -> DataFrame:
         """(lang, phrase, n_words, a, l, r, score): phrases with the lower cut's parts and score."""
