@@ -14,10 +14,10 @@ patterns end at ``MAX_WORDS`` words, rows need no deeper order than
 Counts are summed across shards, depth by depth. A phrase that occurs often
 enough has parts that do, so each depth extends only patterns whose parts are
 in the depth before: the frequent words, then the frequent pairs, as a bit
-table of bounded size (``suffix_dedup.MOST_BITS``). To find those, patterns
-travel as 64-bit keys with counts, as arrays. The patterns in the tables are
-then counted as rows; a false hit of a table makes a row that its sum removes,
-nothing that is frequent is missed.
+table of bounded size (``suffix_dedup.MOST_BITS``). A false hit of the table
+makes a count that its sum removes; nothing that is frequent is missed. Counts
+travel as arrays, one row for each shard and range of pattern keys, and a task
+adds those of a range; a pattern that is everywhere is one number a shard.
 
 Scores come from joins of the frequent phrases with their parts, in decimals
 (exact: products pass 64 bits). The result is the first ``keep`` phrases of a
@@ -216,34 +216,53 @@ def pattern_key(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def frequent_keys(shards: DataFrame, columns: list[str], counted, least: int, n: int, name: str) -> DataFrame:
-    """(key) of the patterns that ``counted`` finds ``least`` times in all shards together.
+def summed(found: DataFrame, size: int, least: int, name: str) -> DataFrame:
+    """(lang, h1, ..., n, word, key): the patterns of ``size`` words that all shards together hold ``least`` times.
 
-    counted: a shard's row -> (keys, counts). They travel as arrays, one row for
-    each shard and range of keys; ``n`` bounds the counts of all shards and
-    gives the number of ranges, so that the counts of a range fit one task.
+    found: rows of ``_sent``, one for each shard and range of keys. A range's
+    rows meet in one task, which adds its counts.
     """
-    ranges = max(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
-
-    def send(batches):
-        for row in _rows(batches):
-            keys, counts = counted(row)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            edge = np.searchsorted(keys, np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)).tolist() + [len(keys)]
-            full = [r for r in range(ranges) if edge[r] < edge[r + 1]]
-            parts = [[x[edge[r] : edge[r + 1]].tobytes() for r in full] for x in (keys, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["range", "keys", "counts"])
 
     def add(table):
-        keys, counts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("keys", np.uint64), ("counts", np.uint32)))
+        hashes, keys = [[] for _ in range(size)], []
+        for row in _rows(table.to_batches()):
+            parts = [np.frombuffer(x, np.uint64) for x in np.split(np.frombuffer(row["hashes"], np.uint64), size)]
+            keys.append(pattern_key(row["lang"], parts))
+            for x, part in zip(hashes, parts):
+                x.append(part)
+        sent = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        keys, counts = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return pa.table({"key": keys[first[np.add.reduceat(counts, first) >= least]].view(np.int64)})
+        n = np.add.reduceat(counts, first)
+        at = order[first[n >= least]]
+        words = pc.list_flatten(pc.split_pattern(table.column("words").combine_chunks(), "\n")).take(pa.array(at)) if size == 1 else pa.nulls(len(at), pa.string())
+        columns = [pa.array(np.concatenate(x)[at].view(np.int64)) for x in hashes]
+        return pa.table([table.column("lang").combine_chunks().take(pa.array(sent[at])), *columns, pa.array(n[n >= least]), words, pa.array(keys[first[n >= least]].view(np.int64))], names=names)
 
-    sent = shards.select(*columns).mapInArrow(send, "range int, keys binary, counts binary")
-    return write_once(sent.groupBy("range").applyInArrow(add, "key long"), name)
+    names = ["lang", *(f"h{k + 1}" for k in range(size)), "n", "word", "key"]
+    schema = ", ".join(f"{c} {'string' if c in ('lang', 'word') else 'long'}" for c in names)
+    return write_once(found.groupBy("range").applyInArrow(add, schema), name)
+
+
+SENT = "range int, lang string, hashes binary, counts binary, words string"
+
+
+def _sent(ranges: int, lang: str, hashes: list[np.ndarray], counts: np.ndarray, words: pa.Array | None = None) -> pa.RecordBatch:
+    """A shard's patterns as one row for each range of keys: word hashes column by column, counts, spelled words."""
+    where = ((pattern_key(lang, hashes) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((hashes[0], where))
+    full, start = np.unique(where[order], return_index=True)
+    parts = np.split(order, start[1:]) if len(order) else []
+    columns = [
+        pa.array(full, pa.int32()),
+        pa.array([lang] * len(full), pa.string()),
+        pa.array([b"".join(h[p].tobytes() for h in hashes) for p in parts], pa.binary()),
+        pa.array([counts[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
+        pa.array(["\n".join(words.take(pa.array(p)).to_pylist()) if words is not None else None for p in parts], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SENT.split(", ")])
 
 
 def _rows(batches):
@@ -271,44 +290,15 @@ def _loaded(row: dict) -> tuple[str, np.ndarray, FMIndex]:
     return row["lang"], h, FMIndex(len(h), *(np.frombuffer(row[c], np.uint32) for c in ("forward", "backward")))
 
 
-def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a shard's words."""
-    return pattern_key(row["lang"], [np.frombuffer(row["hashes"], np.uint64)]), row["counts"].to_numpy()
-
-
-def _pairs(row: dict, words: _Bits) -> tuple[str, np.ndarray, FMIndex, np.ndarray, Intervals, np.ndarray]:
-    """(lang, hashes, index, frequent words, pairs of them, the pairs' keys) of a shard."""
+def _pairs(row: dict, words: _Bits) -> tuple[str, np.ndarray, FMIndex, Intervals]:
+    """(lang, hashes, index, pairs of frequent words) of a shard."""
     lang, h, index = _loaded(row)
     allowed = np.concatenate(([False], words.has(pattern_key(lang, [h]))))
-    pairs = index.left(index.words().only(allowed[1:]), allowed)
-    return lang, h, index, allowed, pairs, pattern_key(lang, [h[pairs.words[:, 0] - 1], h[pairs.words[:, 1] - 1]])
+    return lang, h, index, index.left(index.words().only(allowed[1:]), allowed)
 
 
-def _patterns(shards: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(lang, h1, h2, h3, word, n): each shard's words, pairs and triples whose parts are in the tables."""
-    shared = shards.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches):
-        words, frequent = (_Bits(b) for b in shared.value)
-        for row in _rows(batches):
-            lang, h, index, allowed, pairs, keys = _pairs(row, words)
-            one = np.flatnonzero(allowed)
-            yield _found(lang, [h[one - 1]], index.counts[one], row["words"].take(pa.array(one - 1)))
-            pairs = pairs.only(frequent.has(keys))
-            yield _found(lang, [h[pairs.words[:, j] - 1] for j in range(2)], pairs.width)
-            last = np.zeros(len(h) + 1, bool)
-            last[pairs.words[:, 1]] = True
-            triples, n = index.count_right(pairs, last)
-            ok = frequent.has(pattern_key(lang, [h[triples[:, j] - 1] for j in (1, 2)]))
-            yield _found(lang, [h[triples[ok, j] - 1] for j in range(3)], n[ok])
-
-    return shards.select("lang", "hashes", "words", "forward", "backward").mapInArrow(run, "lang string, h1 long, h2 long, h3 long, word string, n long")
-
-
-def _found(lang: str, hashes: list[np.ndarray], n: np.ndarray, word: pa.Array | None = None) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)) for h in hashes] + [pa.nulls(len(n), pa.int64())] * (MAX_WORDS - len(hashes))
-    word = pa.nulls(len(n), pa.string()) if word is None else word
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, word, pa.array(n.astype(np.int64))], names=["lang", "h1", "h2", "h3", "word", "n"])
+def _hashes(h: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    return [h[words[:, j] - 1] for j in range(words.shape[1])]
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -320,27 +310,47 @@ def score(a: str, left: str, right: str) -> Column:
 class Phrases:
     """Frequent words, pairs and triples of the documents, by language.
 
-    ``words``: (lang, h1, n, word); ``pairs``: (lang, h1, h2, n); ``triples``:
-    (lang, h1, h2, h3, n); ``sizes``: (lang, total) with all words' occurrences.
+    ``words``: (lang, h1, n, word, key); ``pairs``: (lang, h1, h2, n, ...);
+    ``triples``: (lang, h1, h2, h3, n, ...); ``sizes``: (lang, total) with all
+    words' occurrences.
     """
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
+        spark = docs.sparkSession
         shards = index_shards(docs)
         self.sizes = write_once(shards.groupBy("lang").agg(F.sum("n_words").alias("total")), "sizes")
         n = self.sizes.agg(F.sum("total")).first()[0] or 0
-        words = bit_table(frequent_keys(shards, ["lang", "hashes", "counts"], _words, least, n, "words"))
-        shared = docs.sparkSession.sparkContext.broadcast(words)
-
-        def pairs(row):
-            *_, found, keys = _pairs(row, _Bits(shared.value))
-            return keys, found.width
-
-        tables = words, bit_table(frequent_keys(shards, ["lang", "hashes", "forward", "backward"], pairs, least, n, "pairs"))
-        rows = _patterns(shards, tables).groupBy("lang", "h1", "h2", "h3", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        found = write_once(rows, "phrases")
-        self.words = found.filter("h2 IS NULL").select("lang", "h1", "n", "word")
-        self.pairs = found.filter("h2 IS NOT NULL AND h3 IS NULL").select("lang", "h1", "h2", "n")
-        self.triples = found.filter("h3 IS NOT NULL").select("lang", "h1", "h2", "h3", "n")
+        # a depth has no more counts than words
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+
+        def one(batches):
+            for row in _rows(batches):
+                yield _sent(ranges, row["lang"], [np.frombuffer(row["hashes"], np.uint64)], row["counts"].to_numpy(), row["words"])
+
+        self.words = summed(shards.select("lang", "hashes", "counts", "words").mapInArrow(one, SENT), 1, least, "words")
+        index = shards.select("lang", "hashes", "forward", "backward")
+        tables = spark.sparkContext.broadcast([bit_table(self.words.select("key"))])
+
+        def two(batches, shared=tables):
+            for row in _rows(batches):
+                lang, h, _, pairs = _pairs(row, _Bits(shared.value[0]))
+                yield _sent(ranges, lang, _hashes(h, pairs.words), pairs.width)
+
+        self.pairs = summed(index.mapInArrow(two, SENT), 2, least, "pairs")
+        tables = spark.sparkContext.broadcast([*tables.value, bit_table(self.pairs.select("key"))])
+
+        def three(batches, shared=tables):
+            words, frequent = (_Bits(b) for b in shared.value)
+            for row in _rows(batches):
+                lang, h, index, pairs = _pairs(row, words)
+                pairs = pairs.only(frequent.has(pattern_key(lang, _hashes(h, pairs.words))))
+                last = np.zeros(len(h) + 1, bool)
+                last[pairs.words[:, 1]] = True
+                triples, n = index.count_right(pairs, last)
+                ok = frequent.has(pattern_key(lang, _hashes(h, triples[:, 1:])))
+                yield _sent(ranges, lang, _hashes(h, triples[ok]), n[ok])
+
+        self.triples = summed(index.mapInArrow(three, SENT), 3, least, "triples")
 
     def candidates(self) -> DataFrame:
         """(lang, phrase, n_words, a, l, r, score): phrases with the lower cut's parts and score."""
@@ -348,7 +358,7 @@ class Phrases:
         pair = lambda x, y: self.pairs.select("lang", F.col("h1").alias(f"h{x}"), F.col("h2").alias(f"h{y}"), F.col("n").alias(f"f{x}{y}"))
         two = pair(1, 2).join(word(1), ["lang", "h1"]).join(word(2), ["lang", "h2"]).withColumn("a", F.col("f12"))
         two = two.select("lang", "h1", "h2", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("n_words"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score("a", "f1", "f2").alias("score"))
-        three = self.triples.withColumnRenamed("n", "a").join(pair(1, 2), ["lang", "h1", "h2"]).join(pair(2, 3), ["lang", "h2", "h3"])
+        three = self.triples.select("lang", "h1", "h2", "h3", F.col("n").alias("a")).join(pair(1, 2), ["lang", "h1", "h2"]).join(pair(2, 3), ["lang", "h2", "h3"])
         for k in (1, 2, 3):
             three = three.join(word(k), ["lang", f"h{k}"])
         first, second = score("a", "f1", "f23"), score("a", "f12", "f3")
