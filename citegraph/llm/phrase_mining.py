@@ -50,7 +50,7 @@ from citegraph.llm.textscan import BASE, Texts, chunks, mix
 LEAST, KEEP, OVERLAP = 10, 2000, 50
 MAX_WORDS = 3
 #: bytes of text of a shard, about 20 times as much memory while it is sorted
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: counts of a range of keys that one task adds, at most
 RANGE = 2_000_000
 #: parts that a language's candidates are ranked in before they meet
