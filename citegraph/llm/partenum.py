@@ -7,28 +7,34 @@ their symmetric difference is at most (a + b) (100 - percent) / (100 + percent).
 
 Signatures. Sizes fall into bands; a pair is found under the band t of its
 smaller set, where the difference is at most k(t). The feature domain is cut
-into parts by hash; at most k parts can differ, so among the first k + 1
-parts, in a fixed order, that are not empty in a set, at least one is equal in
-every partner, and it is among the partner's first k + 1 too. Each set
-enumerates these parts' projections as signatures under its own band and under
-the bands of smaller partners it can have.
-
-It is enough that one set of a pair has k + 1 non-empty parts. A set that has
-not goes on to the next of five partitions (``TIERS``), under whose signatures
-it meets all others that went on: coarse parts of the rarer shingles, finer
-parts, single rarer shingles, then coarse parts with those of common shingles
-last, and single shingles, of which every set has more than k. So a passage
-that many texts share makes signatures only where a text has little else.
-Which shingles count as common is found by counting; it changes the work, and
-never the result, which is exact.
+by hash on two levels: into parts, and each part into three cells. Of the
+parts in their order a set takes as many as it needs: a part with shingles in
+two cells or more is spoilt by two differences at least, one with shingles in
+one cell by one, and a set takes parts until spoiling them all would need
+k + 1 differences. So in the shorter of two linked sets' lists some part has
+one difference at most, and both lists hold it; of its three cells two are
+equal, and not both empty. Each set enumerates the subsets of two cells of its
+parts; a subset's projection is a signature, under the set's own band and the
+bands of smaller partners it can have.
+
+It is enough that one set of a pair has parts enough. A set that has not goes
+on to the next of five partitions (``TIERS``), under whose signatures it meets
+all others that went on: coarse parts of the rarer shingles, finer parts,
+single rarer shingles, then coarse parts with those of common shingles last,
+and single shingles, of which every set has more than k. So a passage that
+many texts share makes signatures only where a text has little else. Which
+shingles count as common is found by counting; it changes the work, and never
+the result, which is exact.
 
 Sets are named by a 64-bit hash of their shingles, so exact copies are one
-set everywhere. Sets of one signature are first compared with the smallest of
-them only; components of the links found are merged, and only sets of
-different components that share a signature are then compared pairwise.
-A pair is first held against the parity bitmaps of its sets, whose differing
-bits are at most the sets' differences: too many rule the pair out for certain.
-The others are compared by the common shingles of whole sets.
+set everywhere. The sets of a signature are not paired with each other: all
+are compared with its centre, the one that shares most signatures with others
+(the text that near copies were made from), and components of the links found
+are merged. Only sets of one centre that are then in different components are
+compared pairwise, each pair once a centre, and inside that join parity
+bitmaps hold it back: two sets' bitmaps differ in at most as many bits as the
+sets in shingles, so too many rule the pair out for certain. What is left is
+compared by whole sets.
 
 Edge cases: null and empty texts have no set, size 0 and link with nothing;
 repeated rows and repeated doc_ids are rows of their own; a null doc_id is
@@ -41,7 +47,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,7 +75,7 @@ def band_table(largest: int, percent: int = PERCENT) -> np.ndarray:
         high = max(low, int(low * BAND))
         partner = 100 * high // percent
         k = (high + partner) * (100 - percent) // (100 + percent)
-        out.append((low, high, k, -(-13 * k // 10) + 3, partner))
+        out.append((low, high, k, 1 + 6 * (k + 1) // 10, partner))
         low = high + 1
     return np.array(out, np.int64)
 
@@ -112,10 +118,13 @@ def fingerprints(key: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
 
 #: (parts as a multiple of the band's, None: a part for each shingle; whether common shingles take part)
 TIERS = ((1, False), (3, False), (None, False), (1, True), (None, True))
+#: cells of a part, and the subsets of them that are enumerated
+CELLS = 3
+SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
-def _parts(key, owner, late, n, tag, bands, tier: int):
-    """(signature, text) of the first k + 1 non-empty parts, and which texts have too few.
+def _subsets(key, owner, late, n, tag, bands, tier: int):
+    """(signature, text) of the parts that a set needs, and which texts have too few.
 
     key: shingle hashes sorted inside a text; late: which of them are common.
     """
@@ -123,23 +132,33 @@ def _parts(key, owner, late, n, tag, bands, tier: int):
     if not with_common:
         key, owner, late = key[~late], owner[~late], late[~late]
     if times is None:
-        part = key >> np.uint64(1)
+        part, cell = key >> np.uint64(1), np.zeros(len(key), np.uint64)
     else:
         m = (times * bands[tag, 3][owner]).astype(np.uint64)
-        part = ((key >> np.uint64(32)) * m) >> np.uint64(32)
+        part, cell = ((key >> np.uint64(32)) * m) >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)) % np.uint64(CELLS)
     part = part | (late.astype(np.uint64) << np.uint64(63))
     order = np.lexsort((part, owner)) if with_common else np.arange(len(part))
-    p, o, v = part[order], owner[order], mix(key[order] + np.uint64(0xA5A5A5))
+    p, o, c, v = part[order], owner[order], cell[order], mix(key[order] + np.uint64(0xA5A5A5))
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
     first = np.flatnonzero(new)
-    total, po, pp = _sums(v, first), o[first], p[first]
-    filled = np.bincount(po, minlength=n)
-    rank = np.arange(len(po)) - (np.cumsum(filled) - filled)[po]
+    po, pp = o[first], p[first]
+    sums = [_sums(np.where(c == j, v, np.uint64(0)), first) for j in range(CELLS)]
+    filled = [_sums((c == j).astype(np.int64), first) > 0 for j in range(CELLS)]
+    # differences that it takes to leave a part without an equal subset
+    holds = np.minimum(CELLS - len(SUBSETS[0]) + 1, sum(x.astype(np.int64) for x in filled))
+    total = np.bincount(po, holds, minlength=n).astype(np.int64)
+    before = np.cumsum(holds) - holds
+    before -= (np.cumsum(total) - total)[po]
     need = bands[tag, 2] + 1
-    ok = rank < need[po]
-    name = mix(pp[ok]) + (tag[po[ok]].astype(np.uint64) << np.uint64(8)) + np.uint64(tier)
-    return mix(total[ok] + mix(name)), po[ok], filled < need
+    taken = before < need[po]
+    name = mix(pp) + (tag[po].astype(np.uint64) << np.uint64(8)) + np.uint64(tier)
+    sigs, docs = [], []
+    for j, subset in enumerate(SUBSETS if times is not None else SUBSETS[:1]):
+        ok = np.flatnonzero(taken & np.logical_or.reduce([filled[i] for i in subset]))
+        sigs.append(mix(sum(sums[i][ok] for i in subset) + mix(name[ok] + (np.uint64(j) << np.uint64(4)))))
+        docs.append(po[ok])
+    return np.concatenate(sigs), np.concatenate(docs), total < need
 
 
 def signatures(key, owner, n, size, common: np.ndarray, bands: np.ndarray):
@@ -159,7 +178,7 @@ def signatures(key, owner, n, size, common: np.ndarray, bands: np.ndarray):
             at = todo[owner]
             if not at.any():
                 break
-            s, d, short = _parts(key[at], owner[at], late[at], n, safe, bands, tier)
+            s, d, short = _subsets(key[at], owner[at], late[at], n, safe, bands, tier)
             sigs.append(s)
             docs.append(d)
             todo = todo & short
@@ -169,6 +188,10 @@ def signatures(key, owner, n, size, common: np.ndarray, bands: np.ndarray):
     return np.concatenate(sigs), np.concatenate(docs)
 
 
+#: words of 64 bits of the short parity bitmap that the pairing join tests
+PARITY = 32
+
+
 def bitmaps(key: np.ndarray, size: np.ndarray) -> list[bytes]:
     """Parity bitmap of each set: every shingle flips one of 2n or more bits (a power of two)."""
     out, at = [], 0
@@ -180,6 +203,14 @@ def bitmaps(key: np.ndarray, size: np.ndarray) -> list[bytes]:
     return out
 
 
+def parities(key: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """PARITY words of each set: every shingle flips one of their bits."""
+    bit = mix(key) & np.uint64(64 * PARITY - 1)
+    rows = np.zeros(n * PARITY, np.uint64)
+    np.bitwise_xor.at(rows, owner * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int64)), PARITY).cast(pa.list_(pa.int64()))
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Differing bits of two parity bitmaps, the larger folded to the smaller: at most the sets' differences."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -230,12 +261,12 @@ def _first_seen(names: np.ndarray, size: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(kind 0, doc_id, n, name, tie, bits) of every row, and (kind 1, count, shingle) of locally common shingles."""
+    """(kind 0, doc_id, n, name, tie, bits, parity) of every row, and (kind 1, count, shingle) of locally common shingles."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         counter, seen = _Counter(), set()
-        names = ["kind", "doc_id", "n", "name", "tie", "bits"]
+        names = ["kind", "doc_id", "n", "name", "tie", "bits", "parity"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
@@ -243,14 +274,14 @@ def _described(docs: DataFrame) -> DataFrame:
                 key, owner, n = shingles(part.column("text"))
                 size, name = fingerprints(key, owner, n)
                 counter.add(key[_first_seen(name, size, seen)[owner]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name), part.column("tie"), pa.array(bitmaps(key, size), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name), part.column("tie"), pa.array(bitmaps(key, size), pa.binary()), parities(key, owner, n)], names=names)
         if id_type is not None:
             counter.merge()
             hot = counter.counts >= LOCAL_COMMON
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.nulls(int(hot.sum()), id_type), pa.array(counter.counts[hot]), pa.array(counter.keys[hot].view(np.int64)), pa.nulls(int(hot.sum()), pa.int64()), pa.nulls(int(hot.sum()), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.nulls(int(hot.sum()), id_type), pa.array(counter.counts[hot]), pa.array(counter.keys[hot].view(np.int64)), pa.nulls(int(hot.sum()), pa.int64()), pa.nulls(int(hot.sum()), pa.binary()), pa.nulls(int(hot.sum()), pa.list_(pa.int64()))], names=names)
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("tie"))
-    return rows.mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, name long, tie long, bits binary")
+    return rows.mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, n long, name long, tie long, bits binary, parity array<long>")
 
 
 def _signed(docs: DataFrame, common: np.ndarray, largest: int, percent: int) -> DataFrame:
@@ -303,6 +334,13 @@ def _both(pairs: DataFrame, table: DataFrame, value: str, percent: int) -> DataF
     return met.select("u", "v", "nu", "nv", "hu", "hv")
 
 
+def _may_link(n: str, m: str, x: str, y: str, percent: int) -> Column:
+    """Whether sizes and parity words of two sets leave a link possible."""
+    differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(PARITY))
+    sizes = f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+    return F.expr(f"{sizes} AND ({differ}) * {100 + percent} <= ({n} + {m}) * {100 - percent}")
+
+
 def _kept(batches, test):
     for batch in batches:
         cols = [batch.column(c) for c in ("nu", "nv", "hu", "hv")]
@@ -332,6 +370,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, percent: int
     return _both(pairs, sets, "hashes", percent).mapInArrow(lambda batches: _kept(batches, test), "u long, v long")
 
 
+def _stars(signed: DataFrame) -> DataFrame:
+    """(center, name): each set with the centres of its signatures; a signature of one set alone is none."""
+    same = W.partitionBy("key").orderBy("name")
+    seen = signed.select("key", "name", F.lead("name").over(same).alias("_next"), F.first("name").over(same.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_first"))
+    # the last row of each name, where there is another name
+    seen = seen.filter("(_next IS NULL AND _first != name) OR _next != name").select("key", "name")
+    shared = write_once(seen.withColumn("others", F.count(F.lit(1)).over(W.partitionBy("key")) - 1), "shared-signatures")
+    weight = shared.groupBy("name").agg(F.sum("others").alias("weight"))
+    center = shared.join(weight, "name").groupBy("key").agg(F.max(F.struct("weight", "name"))["name"].alias("center"))
+    return shared.join(center, "key").select("center", "name").distinct()
+
+
+def _near(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of set names that sizes and parity words do not rule out."""
+    left = owners.select(F.col("name").alias("u"), "n", "parity")
+    right = owners.select(F.col("name").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+    met = pairs.join(left, "u").withColumnRenamed("v", "w").join(right, F.expr("v = w") & _may_link("n", "nv", "parity", "pv", percent))
+    return met.select("u", "v")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tie, n_shingles, component_id, root) of every row of ``docs``; tie is the text's hash."""
     told = write_once(_described(docs), "sets")
@@ -340,27 +398,21 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     top = told.filter("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(MAX_COMMON)
     common = np.sort(np.array([r["name"] for r in top.select("name").collect()], np.int64).view(np.uint64))
     by_name = told.filter("kind = 0 AND n > 0").groupBy("name")
-    owners = write_once(by_name.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("bits").alias("bits")), "owners")
-
-    same = W.partitionBy("key").orderBy("name")
-    signed = _signed(docs, common, largest, percent)
-    seen = signed.select("key", "name", F.lag("name").over(same).alias("_before"), F.first("name").over(same.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("first"))
-    shared = write_once(seen.filter("name != first AND name != _before").select("key", "first", "name"), "shared-signatures")
+    owners = write_once(by_name.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("bits").alias("bits"), F.min("parity").alias("parity")), "owners")
 
-    pairs = write_once(shared.select(F.col("first").alias("u"), F.col("name").alias("v")).distinct(), "pairs")
-    links = write_once(_verified(pairs, docs, owners, percent), "links")
+    stars = write_once(_stars(_signed(docs, common, largest, percent)), "stars")
+    pairs = stars.filter("center != name").select(F.col("center").alias("u"), F.col("name").alias("v"))
+    links = write_once(_verified(_near(pairs, owners, percent), docs, owners, percent), "links")
     roots = write_once(components(links), "roots")
 
-    # sets that share a signature and are still in different components
-    members = shared.select("key", "name").union(shared.select("key", F.col("first").alias("name")).distinct())
-    members = members.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    members = write_once(members.join(owners.select("name", "n"), "name"), "members")
-    split = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    left = members.join(split, "key")
-    right = left.select("key", F.col("name").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-    near = (F.col("root") < F.col("rv")) & (100 * F.least("n", "nv") >= percent * F.greatest("n", "nv"))
-    rest = left.join(right, "key").filter(near).select(F.least("name", "v").alias("u"), F.greatest("name", "v").alias("v")).distinct()
-    rest = write_once(rest.join(pairs, ["u", "v"], "left_anti"), "more-pairs")
+    # sets of one centre that are still in different components
+    known = owners.select("name", "n", "parity").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    members = write_once(stars.join(known, "name"), "members")
+    split = members.groupBy("center").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("center")
+    left = members.filter("center != name").join(split, "center")
+    right = left.select(F.col("center").alias("c"), F.col("name").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+    near = F.expr("center = c AND root < rv") & _may_link("n", "nv", "parity", "pv", percent)
+    rest = left.join(right, near).select(F.least("name", "v").alias("u"), F.greatest("name", "v").alias("v")).distinct()
     more = write_once(_verified(rest, docs, owners, percent), "more-links")
     if not more.isEmpty():
         roots = write_once(components(links.union(more)), "roots")
