@@ -12,9 +12,12 @@ prefix, so that a source with a third of all rows is spread over all tasks.
 
 Schedule: slot i has the point frac(i * golden ratio) in 31-bit integers; the
 source whose part of the cumulated weights holds the point owns the slot, and
-its r-th slot plays its r-th block. Blocks that find no slot follow at the
-end, slots past a source's last block stay unused. The last block of a source
-is cut at its target, so each source's words meet its target to the word.
+its r-th slot plays its r-th block. What a source gives to the mix are the
+blocks that win a slot, and nothing else. Slots go on until each source's
+share of them covers its blocks and ``SPARE`` more, which is past what the
+sequence's discrepancy can take from it; slots past a source's last block stay
+unused. That block is cut at the target, so words meet targets to the word
+(but for sources below about a millionth of the mix, see ``MOST_SLOTS``).
 
 Edge cases: null texts and texts without words have size 0 and are not
 played; a null source is a source; rows with equal doc_ids are ordered by
@@ -37,6 +40,9 @@ MOST = 2.0
 #: slots of the schedule; a block has 1 / SLOTS of all words to play, and 64 words at least
 SLOTS = 1 << 16
 LEAST_BLOCK = 64
+#: slots that a source's share of the schedule has beyond its blocks, and the bound of a schedule
+SPARE = 16
+MOST_SLOTS = 1 << 24
 #: golden-ratio step and modulus of the schedule's points
 GOLDEN, MODULUS = 1_327_217_885, 1 << 31
 #: rows that one (source, md5 prefix) cell holds on average, at most
@@ -101,16 +107,22 @@ def block_words(goals: DataFrame, slots: int = SLOTS) -> int:
     return max(LEAST_BLOCK, -(-int(total) // slots))
 
 
+def n_slots(total: int, least: int, block: int) -> int:
+    """Slots of the schedule of ``total`` words whose smallest source gives ``least``."""
+    need = -(-total // block)
+    return need + min(MOST_SLOTS, SPARE * -(-total // max(1, least))) if need else 0
+
+
 def schedule(goals: DataFrame, block: int) -> DataFrame:
-    """(source, block_no, position): where each source's block is played; position null: after all slots."""
+    """(source, block_no, position): the slot of each source's blocks."""
     plays = goals.withColumn("_goal", F.floor("target")).filter("_goal > 0")
-    total = plays.agg(F.sum("_goal")).first()[0] or 0
+    total, least = plays.agg(F.coalesce(F.sum("_goal"), F.lit(0)), F.coalesce(F.min("_goal"), F.lit(1))).first()
     spark = goals.sparkSession
     order = W.orderBy(F.col("source").asc_nulls_last())
     high = F.sum("_goal").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     scale = float(MODULUS) / max(1, total)
     parts = plays.withColumn("_hi", F.floor(high * scale)).withColumn("_lo", F.coalesce(F.lag("_hi").over(order), F.lit(0)))
-    n = -(-int(total) // block)
+    n = n_slots(int(total), int(least), block)
     # a point meets its source in an equi-join over 4,096 buckets of the unit interval
     shift = MODULUS >> 12
     bucket = parts.select(F.col("source").alias("_s"), "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / shift), F.floor(F.greatest(F.col("_hi") - 1, "_lo") / shift))).alias("_b"))
@@ -126,7 +138,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
         "_rank", F.col("_base") + F.row_number().over(W.partitionBy("_s", "_k").orderBy("id")) - 1
     )
     blocks = plays.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_goal") - 1) / block))).alias("block_no"))
-    return blocks.join(ranked, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_rank")), "left").select("source", "block_no", F.col("id").alias("position"))
+    return blocks.join(ranked, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_rank"))).select("source", "block_no", F.col("id").alias("position"))
 
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:
@@ -155,36 +167,41 @@ def manifest(docs: DataFrame) -> DataFrame:
     return cut.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_b"))).select("position", "source", "block_no", "epoch", "doc_id", "_t", "start", "n_words")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def _played(docs: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``placed``, what the slots play of them, summed ``by``: _taken words, first _position)."""
     sized = write_once(sizes(docs), "sizes")
     goals = write_once(targets(sized), "targets")
     block = block_words(goals)
     rows = placed(sized, goals)
-    plan = schedule(goals, block).select(F.col("source").alias("_s"), F.col("block_no").alias("_b"))
-    cut = pieces(rows, block)
-    played = cut.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_b")))
-    taken = played.groupBy("_k", "_t", "offset").agg(F.sum("n_words").alias("_taken"))
+    plan = schedule(goals, block).select(F.col("source").alias("_s"), F.col("block_no").alias("_b"), "position")
+    played = pieces(rows, block).join(plan, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_b")))
+    return rows, played.groupBy(*by).agg(F.sum("n_words").alias("_taken"), F.min("position").alias("_position"))
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position): words that the slots take of every row, and the first such slot."""
+    rows, taken = _played(docs, "_k", "_t", "offset")
     out = rows.join(taken, ["_k", "_t", "offset"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.col("_position").alias("position"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as the mix plays them: one row per document and epoch, its text cut
-    after the words taken where the source's target ends inside it."""
-    sized = write_once(sizes(docs), "sizes")
-    goals = write_once(targets(sized), "targets")
-    block = block_words(goals)
-    plan = schedule(goals, block).select(F.col("source").alias("_s"), F.col("block_no").alias("_b"))
-    cut = pieces(placed(sized, goals), block)
-    played = cut.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("block_no") == F.col("_b")))
-    got = played.groupBy("_k", "_t", "offset", "epoch").agg(F.sum("n_words").alias("_taken"))
+def mixed_documents(docs: DataFrame, position: str | None = None) -> DataFrame:
+    """Rows of ``docs`` as the mix plays them, in the order of their first slots: one row per document
+    and epoch, its text cut after the words taken where the source's target ends inside it.
+
+    position: name of a column that gets the slot.
+    """
+    _, got = _played(docs, "_k", "_t", "offset", "epoch")
     # exact repeats of a row are told apart by number
-    got = got.withColumn("_no", F.dense_rank().over(W.partitionBy("_k", "_t").orderBy("offset"))).select("_k", "_t", "_no", "_taken")
+    got = got.withColumn("_nth", F.dense_rank().over(W.partitionBy("_k", "_t").orderBy("offset"))).select("_k", "_t", "_nth", "_taken", "_position")
     whole = packed(docs).withColumn("_t", F.xxhash64("_row.text")).withColumn("_k", F.xxhash64("_row.doc_id", "_t", "_row.source"))
     whole = whole.withColumn("_nth", F.row_number().over(W.partitionBy("_k", "_t").orderBy("_k")))
-    out = whole.join(got, ["_k", "_t"]).filter("_no = _nth")
+    out = whole.join(got, ["_k", "_t", "_nth"])
     text, take = F.col("_row.text"), F.col("_taken").cast("int")
     words, gaps = F.regexp_extract_all(text, F.lit(WORD), 0), F.split(text, WORD, -1)
     lead = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), take), F.slice(words, F.lit(1), take), lambda g, w: F.concat(g, w)), "")
     text = F.when(take < F.regexp_count(text, F.lit(WORD)), lead).otherwise(text)
-    return unpacked(out.withColumn("_row", F.col("_row").withField("text", text)))
+    out = out.withColumn("_row", F.col("_row").withField("text", text)).select("_row", "_position")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartitionByRange(n, "_position").sortWithinPartitions("_position")
+    return unpacked(out) if position is None else out.select("_row.*", F.col("_position").alias(position))

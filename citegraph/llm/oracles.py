@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from citegraph.llm.decontaminate import WINDOW
-from citegraph.llm.mixing import MOST, SHARE, WEIGHTS
+from citegraph.llm.mixing import GOLDEN, LEAST_BLOCK, MODULUS, MOST, MOST_SLOTS, SHARE, SLOTS, SPARE, WEIGHTS
 from citegraph.llm.phrase_mining import KEEP, LEAST, OVERLAP
 from citegraph.llm.secret_scan import BASE_RULES, MORE_RULES
 
@@ -68,8 +68,19 @@ l AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cap / wt, source NULLS LAST) AS no,
 g AS (SELECT source, n, LEAST(wt * coalesce((SELECT arg_min(lv, no) FROM l WHERE lv * wt <= cap), (SELECT arg_max(lv, no) FROM l)), cap) AS target FROM l),
 o AS (SELECT z.*, g.n AS source_size, g.target, floor(g.target) AS goal,
   coalesce(SUM(size) OVER (PARTITION BY z.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-  FROM z JOIN g ON g.source IS NOT DISTINCT FROM z.source)
-SELECT doc_id, size, source_size, target, CAST(GREATEST(0, LEAST(size, goal - c)) + GREATEST(0, LEAST(size, goal - c - source_size)) AS BIGINT) AS taken FROM o"""
+  FROM z JOIN g ON g.source IS NOT DISTINCT FROM z.source),
+h AS (SELECT source, CAST(floor(target) AS BIGINT) AS goal FROM g WHERE floor(target) > 0),
+t AS (SELECT CAST(SUM(goal) AS BIGINT) AS total, MIN(goal) AS least, GREATEST({LEAST_BLOCK}, -(-SUM(goal) // {SLOTS})) AS block FROM h),
+b AS (SELECT source, floor(SUM(goal) OVER w * ({float(MODULUS)}::DOUBLE / total::DOUBLE)) AS hi,
+  floor(coalesce(SUM(goal) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * ({float(MODULUS)}::DOUBLE / total::DOUBLE)) AS lo
+  FROM h, t WINDOW w AS (ORDER BY source NULLS LAST)),
+i AS (SELECT unnest(range(CAST(ceil(total / block) + LEAST({MOST_SLOTS}, {SPARE} * ceil(total / least)) AS BIGINT))) AS i FROM t),
+slot AS (SELECT source, i, ROW_NUMBER() OVER (PARTITION BY source ORDER BY i) - 1 AS r FROM i JOIN b ON i * {GOLDEN} % {MODULUS} >= lo AND i * {GOLDEN} % {MODULUS} < hi),
+won AS (SELECT source, COUNT(*) * MIN(block) AS words FROM slot, t GROUP BY 1),
+k AS (SELECT o.*, LEAST(goal, coalesce(words, 0)) AS gives, block FROM o LEFT JOIN won ON won.source IS NOT DISTINCT FROM o.source, t),
+y AS (SELECT *, CAST(GREATEST(0, LEAST(size, gives - c)) + GREATEST(0, LEAST(size, gives - c - source_size)) AS BIGINT) AS taken FROM k)
+SELECT doc_id, size, source_size, target, taken, i AS position
+FROM y LEFT JOIN slot ON taken > 0 AND slot.source IS NOT DISTINCT FROM y.source AND slot.r = c // block"""
 
 
 def phrase_mining() -> str:

@@ -189,10 +189,19 @@ def learn(labelled: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray) ->
     return rules
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_y"))
+
+
+def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that rules are learned from: those of at most MAX_LABELLED labelled doc_ids, by hash."""
+    ids = docs.select("doc_id").join(_labels(labels).select("doc_id"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")  # MAX_LABELLED ids
+
+
 def learned_rules(stats: DataFrame, labels: DataFrame) -> list[tuple[Condition, ...]]:
     """Rules from at most MAX_LABELLED labelled rows of ``stats`` (doc_id, _q)."""
-    y = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    rows = stats.join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    rows = stats.join(_labels(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     got = rows.select("_y", (F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0).alias("_grow"), *[F.col("_q")[f].cast("double").alias(f) for f in FEATURES]).toPandas()
     if not len(got):
         return []
@@ -221,7 +230,7 @@ def describe(rules) -> list[str]:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
-    rules = learned_rules(statistics(docs, ["doc_id"]), labels)
+    rules = learned_rules(write_once(statistics(labelled_documents(docs, labels), ["doc_id"]), "labelled-statistics"), labels)
     return unpacked(statistics(packed(docs), ["_row"], "_row.text").filter(verdict(rules)))
 
 

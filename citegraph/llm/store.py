@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,22 @@ from citegraph.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: bytes of an Arrow batch that goes to a Python worker, at most
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, where it is above.
+
+    Workers and the JVM keep buffers as large as the largest batch; by rows
+    alone a batch of long texts takes hundreds of megabytes.
+    """
+    digits, unit = re.fullmatch(r"(\d+)\s*([kmg]?)b?", spark.conf.get(_BATCH).lower()).groups()
+    if int(digits) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -49,6 +66,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
