@@ -1,7 +1,15 @@
 """Corpus pipeline: quality rules, near duplicates, decontamination, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``. The
+mixing stage writes its rows in the order of their slots, so reading the files
+in order plays the mix.
+
+Edge cases: each stage keeps its operator's. Texts that are null or empty fail
+the base rules and go in the first stage; of rows that repeat a doc_id and its
+text one stays after the second; a null doc_id is carried through; empty
+tables give empty results; extra columns, also with names that operators use
+inside, are passed through up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,18 +18,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from citegraph.llm import decontaminate, mixing, partenum, quality_rules, token_output
-from citegraph.llm.store import write_once
+from citegraph.llm.store import bounded_batches, write_once
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned decision list reject."""
+    bounded_batches(spark)
     return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the 5-word, 0.8 Jaccard links."""
+    bounded_batches(spark)
     return partenum.one_of_each(docs)
 
 
@@ -37,6 +47,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written as binary blocks; start, length and checksum of each document, read back."""
+    bounded_batches(spark)
     return token_output.write_and_read(docs, public_tokenizers.path(TOKENIZER))
 
 
