@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citegraph.llm.store import WORD, packed, unpacked, write_once
 
@@ -49,11 +50,21 @@ GOLDEN, MODULUS = 1_327_217_885, 1 << 31
 CELL = 20_000
 
 
+def _hashable(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return not isinstance(kind, (T.MapType, T.VariantType)) and all(map(_hashable, inner))
+
+
+def _name(docs: DataFrame, of: str = "") -> Column:
+    """Hash of a row's columns; rows that share it are taken as equal (columns with maps are not looked at)."""
+    return F.xxhash64(*[F.col(f"{of}`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)])
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, _h, _t, _k): words of each row, its place in the shuffled order, its name."""
     return docs.select(
         "doc_id",
-        F.xxhash64("doc_id", F.xxhash64("text"), "source").alias("_k"),
+        _name(docs).alias("_k"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_h"),
@@ -191,17 +202,18 @@ def mixed_documents(docs: DataFrame, position: str | None = None) -> DataFrame:
 
     position: name of a column that gets the slot.
     """
-    _, got = _played(docs, "_k", "_t", "offset", "epoch")
-    # exact repeats of a row are told apart by number
-    got = got.withColumn("_nth", F.dense_rank().over(W.partitionBy("_k", "_t").orderBy("offset"))).select("_k", "_t", "_nth", "_taken", "_position")
-    whole = packed(docs).withColumn("_t", F.xxhash64("_row.text")).withColumn("_k", F.xxhash64("_row.doc_id", "_t", "_row.source"))
-    whole = whole.withColumn("_nth", F.row_number().over(W.partitionBy("_k", "_t").orderBy("_k")))
-    out = whole.join(got, ["_k", "_t", "_nth"])
+    got = write_once(_played(docs, "_k", "_t", "offset", "epoch")[1], "played")
+    # of equal rows one is read, and played as often as their places say
+    whole = packed(docs).withColumn("_t", F.xxhash64("_row.text")).withColumn("_k", _name(docs, "_row."))
+    whole = whole.withColumn("_nth", F.row_number().over(W.partitionBy("_k", "_t").orderBy("_k"))).filter("_nth = 1")
+    out = whole.join(got, ["_k", "_t"])
     text, take = F.col("_row.text"), F.col("_taken").cast("int")
     words, gaps = F.regexp_extract_all(text, F.lit(WORD), 0), F.split(text, WORD, -1)
     lead = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), take), F.slice(words, F.lit(1), take), lambda g, w: F.concat(g, w)), "")
     text = F.when(take < F.regexp_count(text, F.lit(WORD)), lead).otherwise(text)
     out = out.withColumn("_row", F.col("_row").withField("text", text)).select("_row", "_position")
+    # slots are dealt evenly, so equal ranges of them hold about equal words
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(n, "_position").sortWithinPartitions("_position")
+    last = got.agg(F.max("_position")).first()[0] or 0
+    out = out.repartitionById(n, F.floor(F.col("_position") * n / (last + 1)).cast("int")).sortWithinPartitions("_position")
     return unpacked(out) if position is None else out.select("_row.*", F.col("_position").alias(position))
