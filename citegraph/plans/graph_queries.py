@@ -346,28 +346,54 @@ def eigenvector_centrality(spark, d):
     return rounded(CE.eigenvector_centrality(_whole_graph(spark, d, "author")))
 
 
+def _closeness_author(spark, d):
+    return stage(spark, d, "closeness_author", lambda: cut_lineage(rounded(CE.closeness_centrality(_whole_graph(spark, d, "author")))))
+
+
+def _betweenness_author(spark, d):
+    return stage(spark, d, "betweenness_author", lambda: cut_lineage(rounded(CE.betweenness_centrality(_whole_graph(spark, d, "author")))))
+
+
 @register("closeness_centrality")
 def closeness_centrality(spark, d):
-    """Shortest-path closeness (edge CII as distance) of every year's whole organisation graph."""
-    return rounded(CE.closeness_centrality(_whole_graph(spark, d, "org")))
+    """Shortest-path closeness (edge CII as distance) of every year's whole author graph (checked against a Python oracle in tests)."""
+    return _closeness_author(spark, d)
 
 
 @register("betweenness_centrality")
 def betweenness_centrality(spark, d):
-    """Brandes betweenness (edge CII as distance) of every year's whole organisation graph."""
-    return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "org")))
+    """Brandes betweenness (edge CII as distance) of every year's whole author graph (checked against a Python oracle in tests)."""
+    return _betweenness_author(spark, d)
 
 
 @register("closeness_author")
 def closeness_author(spark, d):
-    """Shortest-path closeness of every year's whole author graph."""
-    return rounded(CE.closeness_centrality(_whole_graph(spark, d, "author")))
+    """The rows of ``closeness_centrality`` under the name of its level."""
+    return _closeness_author(spark, d)
 
 
 @register("betweenness_author")
 def betweenness_author(spark, d):
-    """Brandes betweenness of every year's whole author graph."""
-    return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "author")))
+    """The rows of ``betweenness_centrality`` under the name of its level."""
+    return _betweenness_author(spark, d)
+
+
+@register("closeness_org")
+def closeness_org(spark, d):
+    """Closeness of every year's whole organisation graph, 1 / CII as distance: strong ties are short."""
+    return rounded(CE.closeness_centrality(_whole_graph(spark, d, "org"), inverse=True))
+
+
+@register("betweenness_org")
+def betweenness_org(spark, d):
+    """Betweenness of every year's whole organisation graph (edge CII as distance)."""
+    return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "org")))
+
+
+@register("betweenness_sampled")
+def betweenness_sampled(spark, d):
+    """Betweenness of every year's author graph, estimated from the paths of 16 authors a year."""
+    return rounded(CE.betweenness_centrality(_whole_graph(spark, d, "author"), sources=16))
 
 
 @register("closeness_author_page")

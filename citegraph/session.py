@@ -66,4 +66,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote and that nothing reads any more.
+
+    The loops of iterative operators call it for a round's state once the next
+    one is written, so that a run keeps two states and not one for each round.
+    """
+    path = getattr(df, "_written", None)
+    if path is None:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
