@@ -21,28 +21,54 @@ def group_by_many(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return df.groupBy(key).agg(*[F.any_value(c).alias(c) for c in cols])
 
 
-def exact_median(df: DataFrame, key: str, c: str, out: str = "median") -> DataFrame:
-    """Exact median per key without buffering a key's values in one task.
-
-    Values are numbered globally in (key, value) order (distributed
-    numbering); the median is the mean of the one or two middle positions
-    of each key. NULL values are ignored.
+def exact_median(df: DataFrame, key: str, c: str, out: str = "median", bins: int = 1024, small: int = 10_000) -> DataFrame:
+    """Exact median per key, without a sort of the values and without a key's values in one task.
+
+    Values are counted in ``bins`` ranges between a key's smallest and largest
+    one; the range that holds the middle positions becomes the next interval,
+    with the number of values below it carried along, until at most ``small``
+    values are left, which are ranked. Where the two middle values lie in
+    different ranges they are the largest of the one and the smallest of the
+    other. Keys with few values are ranked at once. NULL values are ignored.
     """
-    from citegraph.operators.windows import row_number_global
-
-    x = df.select(key, c).filter(F.col(c).isNotNull())
-    rn = row_number_global(x, [key, c], "_rn")
-    base = rn.groupBy(key).agg((F.min("_rn") - 1).alias("_base"), F.count(F.lit(1)).alias("_n"))
-    pos = F.col("_rn") - F.col("_base")
-    mid = rn.join(base, key).filter((pos == F.floor((F.col("_n") + 1) / 2)) | (pos == F.ceil((F.col("_n") + 1) / 2)))
-    return mid.groupBy(key).agg(F.avg(c).alias(out))
+    from pyspark.sql import Window as W
+
+    from citegraph.session import cut_lineage
+
+    x = cut_lineage(df.select(F.col(key).alias("_k"), F.col(c).cast("double").alias("_v")).filter("_v IS NOT NULL"))
+    n = F.count(F.lit(1))
+    todo = x.groupBy("_k").agg(n.alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.lit(0).cast("long").alias("below"), F.floor((n + 1) / 2).alias("r1"), F.ceil((n + 1) / 2).alias("r2"))
+    found = None
+    while True:
+        todo = cut_lineage(todo)
+        held = x.withColumnRenamed("_k", "_key").join(todo, F.col("_key").eqNullSafe(F.col("_k"))).filter("_v BETWEEN lo AND hi").drop("_key")
+        flat = todo.filter("lo = hi").select("_k", F.col("lo").alias("_m"))
+        rank = F.col("below") + F.row_number().over(W.partitionBy("_k").orderBy("_v"))
+        few = held.filter(f"lo < hi AND n <= {small}").withColumn("_r", rank).filter("_r = r1 OR _r = r2").groupBy("_k").agg(F.avg("_v").alias("_m"))
+        got = cut_lineage(flat.union(few))
+        found = got if found is None else found.union(got)
+        if todo.filter(f"lo < hi AND n > {small}").isEmpty():
+            return found.select(F.col("_k").alias(key), F.col("_m").alias(out))
+        at = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counted = held.filter(f"lo < hi AND n > {small}").groupBy("_k", "below", "r1", "r2", at.alias("bin")).agg(n.alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+        # one row a range: bins rows a key
+        upto = F.sum("n").over(W.partitionBy("_k").orderBy("bin"))
+        hit = cut_lineage(counted.withColumn("upto", F.col("below") + upto).filter("upto - n < r2 AND upto >= r1"))
+        per = hit.groupBy("_k").agg(F.count(F.lit(1)).alias("_hits"), F.min("mx").alias("_a"), F.max("mn").alias("_b"))
+        between = cut_lineage(per.filter("_hits = 2").select("_k", ((F.col("_a") + F.col("_b")) / 2).alias("_m")))
+        found = found.union(between)
+        one = per.filter("_hits = 1").select(F.col("_k").alias("_key"))
+        todo = hit.join(one, F.col("_k").eqNullSafe(F.col("_key"))).select("_k", "n", F.col("mn").alias("lo"), F.col("mx").alias("hi"), (F.col("upto") - F.col("n")).alias("below"), "r1", "r2")
 
 
 def sum_and_median(df: DataFrame, key: str, c: str) -> DataFrame:
-    """Total and exact median per key (#64); the median is distributed (``exact_median``)."""
-    tot = df.groupBy(key).agg(F.sum(c).alias("total_impact_score"))
-    med = exact_median(df, key, c, "median_impact_score")
-    return tot.join(med, key, "left")
+    """Total and exact median per key (#64); the rows are written once for both."""
+    from citegraph.session import cut_lineage
+
+    rows = cut_lineage(df.select(key, c))
+    tot = rows.groupBy(key).agg(F.sum(c).alias("total_impact_score"))
+    med = exact_median(rows, key, c, "median_impact_score").withColumnRenamed(key, "_key")
+    return tot.join(med, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def ratio_of_aggregates(df: DataFrame, key: str, num: str, distinct: str) -> DataFrame:

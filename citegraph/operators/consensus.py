@@ -10,9 +10,10 @@ k-means parameter, not the data size.
 * clustering every (permutation, k, restart) (#130, #131) is one job over all
   of them: items are assigned to their nearest centre or medoid by a join and
   a minimum, centres are updated by an aggregate;
-* the co-association matrix (#135) is built from pairs that share a
-  (permutation, k, cluster) group and pairs that share a permutation, both
-  through the skew-safe pairing helper, then aggregated;
+* spectral (#132) and modularity (#133) clustering work on the distances of
+  each subsample's items;
+* the co-association matrix (#135) compares two items' bits over all
+  permutations at once; items meet in a grid of blocks;
 * PAC, CDF area, histogram, bimodality, dip (#136-#140) are aggregations
   per k; the dip (``operators/dip.py``) runs per k on the (value, count) table.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from citegraph.operators.dip import dip_test  # noqa: F401
-from citegraph.operators.skew import pairs_within_groups
 
 # Fixed values of the reference: the k values of the consensus run and its defaults.
 REFERENCE_K_RANGE = [2, 4, 6, 8, 10, 12, 14, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90, 100, 110, 120, 130, 140, 150, 160, 170, 180, 190, 200]
@@ -48,7 +48,7 @@ def normalise_rows(v: DataFrame, vec: str = "vec") -> DataFrame:
 METRICS = ("cosine", "euclidean", "sqeuclidean", "correlation", "eta")
 
 
-def distance(a: str, b: str, metric: str) -> Column:
+def distance(a: str | Column, b: str | Column, metric: str) -> Column:
     """Distance of two double arrays.
 
     'cosine', 'euclidean', 'sqeuclidean', 'correlation' (negative correlations
@@ -82,30 +82,108 @@ def distance(a: str, b: str, metric: str) -> Column:
 # -------------------------------------------------------------- #127, #77
 
 
-def kmeans_cosine(v: DataFrame, k: int, restarts: int = 20, max_iter: int = 1000, seed: int = 42, id_col: str = "id", vec: str = "vec"):
-    """Spark ML k-means with cosine distance; the restart with the lowest cost is kept (#127).
+def _start_centres(x: DataFrame, k: int, restarts: int, seed: int):
+    """(restart, cluster, unit vector) as one array: k-means|| for the first restart, distinct points by hash for the others."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from citegraph.functions.columns import stable_hash
+
+    first = np.array(KMeans(k=k, distanceMeasure="cosine", maxIter=0, seed=seed, featuresCol="f").fit(x.select(array_to_vector("vec").alias("f"))).clusterCenters())
+    k = len(first)  # fewer distinct points than asked for
+    out = np.zeros((restarts, k, len(first[0])))
+    out[0] = first
+    for r in range(1, restarts):  # k rows each, a parameter
+        rows = x.orderBy(stable_hash(F.col("id").cast("string"), seed + r), "id").limit(k).select("vec").collect()
+        out[r, : len(rows)] = [row["vec"] for row in rows]
+        out[r, len(rows) :] = first[len(rows) :]
+    norm = np.linalg.norm(out, axis=2, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
+def _lloyd_round(x: DataFrame, centres) -> DataFrame:
+    """(restart, cluster, n, cost, total): one scan that assigns every point under all restarts and adds up the members."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    shared = x.sparkSession.sparkContext.broadcast(centres)  # restarts x k vectors, parameters
+
+    def run(batches):
+        c = shared.value
+        restarts, k, dim = c.shape
+        total, n, cost = np.zeros(c.shape), np.zeros((restarts, k)), np.zeros((restarts, k))
+        for batch in batches:
+            v = np.array(batch.column("vec").flatten()).reshape(-1, dim)
+            for r in range(restarts):
+                dots = v @ c[r].T
+                best = dots.argmax(1)
+                np.add.at(total[r], best, v)
+                n[r] += np.bincount(best, minlength=k)
+                cost[r] += np.bincount(best, 1 - dots[np.arange(len(v)), best], minlength=k)
+        r, j = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(j, pa.int32()), pa.array(n[r, j]), pa.array(cost[r, j]), pa.array(list(total[r, j]), pa.list_(pa.float64()))], names=["restart", "cluster", "n", "cost", "total"])
+
+    rows = x.select("vec").mapInArrow(run, "restart int, cluster int, n double, cost double, total array<double>")
+    summed = rows.groupBy("restart", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("total")).alias("t"))
+    return summed.select("restart", "cluster", "n", "cost", vector_to_array("t").alias("total"))
+
+
+def kmeans_cosine(v: DataFrame, k: int, restarts: int = 20, max_iter: int = 1000, seed: int = 42, id_col: str = "id", vec: str = "vec", tol: float = 1e-4):
+    """Spherical k-means with cosine distance; the restart with the lowest cost is kept (#127).
+
+    All restarts advance in the same scan of a round: tasks add up the members
+    of restarts x k centres, the driver gets those sums (parameters, not
+    data) and moves the centres. The first restart starts where Spark ML's
+    k-means would, so the cost kept is not above that of its fit. Rounds end
+    when no centre moves by ``tol``, or after ``max_iter``; a centre without
+    members keeps its place.
 
     Returns (assignments (id, cluster), centroids (cluster, centroid)). The
     centroid is the mean of the member vectors (#77), as the reference
     recomputes it.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    import numpy as np
+    import pyarrow as pa
 
-    x = v.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features")).persist()
-    best, best_cost = None, None
-    for r in range(restarts):
-        model = KMeans(k=k, distanceMeasure="cosine", maxIter=max_iter, seed=seed + r, featuresCol="features").fit(x)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    x.unpersist()
-    assign = best.transform(x).select(id_col, F.col("prediction").cast("int").alias("cluster"))
     from citegraph.operators.aggregates import vector_mean
+    from citegraph.session import cut_lineage
+
+    raw = v.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    x = cut_lineage(normalise_rows(raw, "vec"))
+    centres = _start_centres(x, k, restarts, seed)
+    cost = np.full(len(centres), np.inf)
+    best, open_ = centres.copy(), np.arange(len(centres))
+    for _ in range(max_iter):
+        rows = _lloyd_round(x, centres[open_]).collect()
+        now, moved = np.zeros(len(open_)), centres[open_].copy()
+        for r in rows:
+            now[r["restart"]] += r["cost"]
+            t = np.array(r["total"])
+            norm = np.linalg.norm(t)
+            if norm > 0:
+                moved[r["restart"], r["cluster"]] = t / norm
+        better = now < cost[open_]
+        cost[open_[better]], best[open_[better]] = now[better], centres[open_[better]]
+        shift = np.linalg.norm(moved - centres[open_], axis=2).max(1)
+        centres[open_] = moved
+        open_ = open_[shift > tol]
+        if not len(open_):
+            break
+    kept = v.sparkSession.sparkContext.broadcast(best[int(np.argmin(cost))])
+
+    def nearest(batches):
+        c = kept.value
+        for batch in batches:
+            vectors = np.array(batch.column("vec").flatten()).reshape(-1, c.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((vectors @ c.T).argmax(1), pa.int32())], names=["id", "cluster"])
 
-    members = assign.join(v.select(id_col, F.col(vec).cast("array<double>").alias("vec")), id_col)
-    cents = vector_mean(members, "cluster", "vec", "centroid")
-    return assign, cents
+    kind = raw.schema["id"].dataType.simpleString()
+    assign = x.select("id", "vec").mapInArrow(nearest, f"id {kind}, cluster int").select(F.col("id").alias(id_col), "cluster")
+    members = assign.join(raw.withColumnRenamed("id", id_col), id_col)
+    return assign, vector_mean(members, "cluster", "vec", "centroid")
 
 
 # ----------------------------------------------------------------- #58, #142
@@ -224,19 +302,30 @@ def consensus_cluster(
     """Cluster every permutation's subsample for every k: L(perm, k, id, cluster).
 
     algo 'kmeans' (#130): centres are means of their members; 'pam' (#131):
-    centres are the members with the smallest distance to the others. All
+    centres are the members with the smallest distance to the others;
+    'spectral' (#132) and 'modularity' (#133): see ``spectral_cluster`` and
+    ``modularity_cluster``. All
     runs (permutation, k, restart) advance in the same jobs, each round
     written once; a run is settled when its assignment repeats, all stop when
     every run is settled or after ``max_iter`` rounds. The restart with the
     lowest cost is kept, the first of equals. A centre without members keeps
     its place. Unknown algorithms and metrics raise.
     """
-    from citegraph.session import cut_lineage
+    from citegraph.session import cut_lineage, discard
 
+    if algo == "spectral":
+        return spectral_cluster(sv, ks, metric, seed=seed, id_col=id_col, vec=vec)
+    if algo == "modularity":
+        return modularity_cluster(sv, metric, max_iter, id_col, vec)
     if algo not in ("kmeans", "pam"):
         raise ValueError(f"unknown algorithm {algo}")
     distance("a", "a", metric)
-    items = cut_lineage(sv.select("perm", F.col(id_col), F.col(vec).cast("array<double>").alias("a")))
+    items = sv.select("perm", F.col(id_col), F.col(vec).cast("array<double>").alias("a"))
+    # cosine: unit vectors on both sides, so that a distance is one dot product
+    unit = lambda v: normalise_rows(v.withColumn("u", F.col("a")), "u") if metric == "cosine" else v.withColumn("u", F.col("a"))
+    items = cut_lineage(unit(items))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    apart = (lambda x, y: 1 - dot(x, y)) if metric == "cosine" else (lambda x, y: distance(x, y, metric))
     runs = cut_lineage(_runs(items, ks, reps, id_col))
     centres = _starts(runs, id_col, seed)
     whole = items.groupBy("perm", id_col).agg(F.first("a").alias("b"))
@@ -251,11 +340,16 @@ def consensus_cluster(
     before, labels = None, None
     for _ in range(max_iter):
         if algo == "kmeans":
-            met = runs.join(items, ["perm", id_col]).join(centres, RUN)
-            near = met.select(*RUN, id_col, "cluster", distance("a", "b", metric).alias("dist"))
+            # one row for each (run, item): a run's centres lie packed in one row
+            packed = unit(centres.select(*RUN, "cluster", F.col("b").alias("a"))).groupBy(*RUN).agg(F.collect_list(F.struct("cluster", "u")).alias("cs"))
+            met = runs.join(items.select("perm", id_col, "u"), ["perm", id_col]).join(packed, RUN)
+            best = F.array_min(F.transform("cs", lambda c: F.struct(apart(F.col("u"), c["u"]).alias("dist"), c["cluster"].alias("cluster"))))
+            near = met.select(*RUN, id_col, best.alias("_b")).select(*RUN, id_col, "_b.cluster", "_b.dist")
         else:
-            near = runs.join(centres, RUN).join(table.withColumnRenamed("i", id_col), [id_col, "j"]).select(*RUN, id_col, "cluster", "dist")
-        labels = cut_lineage(_nearest(near, id_col))
+            near = _nearest(runs.join(centres, RUN).join(table.withColumnRenamed("i", id_col), [id_col, "j"]).select(*RUN, id_col, "cluster", "dist"), id_col)
+        if labels is not None:
+            discard(labels)
+        labels = cut_lineage(near)
         now = labels.agg(F.bit_xor(F.xxhash64(*RUN, id_col, "cluster"))).first()[0]
         if now == before:
             break
@@ -278,24 +372,145 @@ def consensus_cluster(
     return labels.join(kept, RUN).select("perm", "k", id_col, "cluster")
 
 
+# ------------------------------------------------------------ #132, #133
+
+
+def subsample_distances(sv: DataFrame, metric: str, id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """(perm, i, j, dist): distances of the items of each subsample, every pair once.
+
+    Distances come from one table of all items' pairs; a subsample takes the
+    pairs whose both items it holds.
+    """
+    from citegraph.session import cut_lineage
+
+    vectors = sv.dropDuplicates([id_col]).select(F.col(id_col).alias("id"), vec)
+    table = cut_lineage(pair_distance(vectors, metric, "id", vec))
+    has = lambda c: sv.select("perm", F.col(id_col).alias(c))
+    return table.join(has("i"), "i").join(has("j"), ["perm", "j"]).select("perm", "i", "j", "dist")
+
+
+def scaled_affinity(dist: DataFrame, neighbour: int = 7) -> DataFrame:
+    """(perm, i, j, w) with w = exp(-d^2 / (s_i s_j)), s the distance to an item's ``neighbour``-th nearest one (#132).
+
+    An item with fewer neighbours takes its farthest; where a scale is 0, equal
+    items have 1 and others 0.
+    """
+    both = dist.select("perm", "i", "j", "dist").union(dist.select("perm", F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    w = W.partitionBy("perm", "i").orderBy("dist", "j")
+    scale = both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= neighbour).groupBy("perm", "i").agg(F.max("dist").alias("s"))
+    s = lambda c: scale.select("perm", F.col("i").alias(c), F.col("s").alias(f"s{c}"))
+    x = dist.join(s("i"), ["perm", "i"]).join(s("j"), ["perm", "j"])
+    unit = F.col("si") * F.col("sj")
+    value = F.when(unit > 0, F.exp(-F.col("dist") * F.col("dist") / unit)).otherwise((F.col("dist") == 0).cast("double"))
+    return x.select("perm", "i", "j", value.alias("w"))
+
+
+def spectral_cluster(sv: DataFrame, ks: list[int], metric: str = "cosine", neighbour: int = 7, max_iter: int = 20, seed: int = 42, parallelism: int = 4, id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """L(perm, k, id, cluster) by power iteration clustering of the locally scaled affinity (#132).
+
+    Each (permutation, k) is one ``PowerIterationClustering`` job, a few of them
+    at a time; k above a subsample's items is left out. Items without any
+    affinity join cluster 0. An unknown metric raises.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    from citegraph.session import cut_lineage
+
+    distance("a", "a", metric)
+    items = cut_lineage(sv.select("perm", F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec")))
+    affinity = cut_lineage(scaled_affinity(cut_lineage(subsample_distances(items, metric)), neighbour).filter("w > 0"))
+    # the library wants ids that are longs: places in the order of the items
+    from citegraph.operators.windows import row_number_global
+
+    place = cut_lineage(row_number_global(items.select("id").distinct(), ["id"], "n"))
+    number = lambda c, out: place.select(F.col("id").alias(c), F.col("n").alias(out))
+    numbered = cut_lineage(affinity.join(number("i", "src"), "i").join(number("j", "dst"), "j").select("perm", "src", "dst", "w"))
+    sizes = {r["perm"]: r["n"] for r in items.groupBy("perm").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a permutation
+
+    def one(run):
+        perm, k = run
+        part = numbered.filter(F.col("perm") == perm).drop("perm")
+        pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode="random", srcCol="src", dstCol="dst", weightCol="w")
+        got = pic.assignClusters(part).select(F.col("id").alias("n"), "cluster")
+        own = items.filter(F.col("perm") == perm).join(place, "id").join(got, "n", "left")
+        return cut_lineage(own.select("perm", F.lit(int(k)).alias("k"), F.col("id").alias(id_col), F.coalesce("cluster", F.lit(0)).alias("cluster")))
+
+    runs = [(p, k) for p in sorted(sizes) for k in ks if k <= sizes[p]]
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(one, runs))
+    out = None
+    for part in parts:
+        out = part if out is None else out.union(part)
+    return out if out is not None else items.limit(0).select("perm", F.lit(0).alias("k"), F.col("id").alias(id_col), F.lit(0).alias("cluster"))
+
+
+def similarity(dist: DataFrame, metric: str) -> DataFrame:
+    """Distances as weights of a similarity graph: 1 / (1 + d) for euclidean ones, else 1 - d, 0 at least (#133)."""
+    w = 1 / (1 + F.col("dist")) if metric in ("euclidean", "sqeuclidean") else F.greatest(1 - F.col("dist"), F.lit(0.0))
+    return dist.select("perm", "i", "j", w.alias("w"))
+
+
+def modularity_cluster(sv: DataFrame, metric: str = "correlation", max_iter: int = 1000, id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """L(perm, k, id, cluster): modularity communities of every subsample's similarity graph (#133).
+
+    The method finds the number of clusters itself; ``k`` is the number found,
+    clusters are numbered from 0 in the order of their smallest item.
+    """
+    from citegraph.operators.communities import modularity_communities
+    from citegraph.session import cut_lineage
+
+    graph = similarity(subsample_distances(sv, metric, id_col, vec), metric)
+    found = cut_lineage(modularity_communities(graph, "perm", max_rounds=max_iter))
+    names = found.select("perm", "community").distinct()
+    names = names.withColumn("cluster", F.row_number().over(W.partitionBy("perm").orderBy("community")) - 1)
+    k = names.groupBy("perm").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    return found.join(names, ["perm", "community"]).join(k, "perm").select("perm", "k", F.col("node").alias(id_col), F.col("cluster").cast("int").alias("cluster"))
+
+
 # ------------------------------------------------------------------- #135
 
 
-def coassociation_matrix(labels: DataFrame, sampled: DataFrame, ks: list[int], id_col: str = "id") -> DataFrame:
+def _words(rows: DataFrame, by: list[str], width: int, planes: list[Column], out: str) -> DataFrame:
+    """(by, out): for every word of 64 permutations the OR of each plane, one array of longs."""
+    words = rows.groupBy(*by, F.floor(F.col("perm") / 64).cast("int").alias("_w")).agg(*[F.bit_or(p).alias(f"_p{i}") for i, p in enumerate(planes)])
+    packed = words.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_w", F.array(*[f"_p{i}" for i in range(len(planes))])))).alias("_m"))
+    none = F.array(*[F.lit(0).cast("long")] * len(planes))
+    return packed.select(*by, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda w: F.coalesce(F.element_at("_m", w), none))).alias(out))
+
+
+def coassociation_matrix(labels: DataFrame, sampled: DataFrame, ks: list[int], id_col: str = "id", rows_per_block: int = 256) -> DataFrame:
     """consensus(k, i, j) = #perms with i, j in one cluster / #perms with both sampled, i < j (#135).
 
-    Pairs that share a (perm, k, cluster) group and pairs that share a
-    permutation are produced by the skew-safe pairing and aggregated with a
-    partial (map-side) count.
+    labels: (perm, k, id, cluster); sampled: (perm, id); permutations count
+    from 0. An item has a bit for each permutation that holds it, and for each
+    k a bit plane for each binary digit of its cluster; two items are together
+    where all planes agree, so a pair is counted by a few operations on words
+    of 64 permutations. Items meet in a grid of blocks, each pair once; there
+    are no rows for a pair's permutations. Pairs of all items that occur, null
+    where they were never sampled together.
     """
-    same = pairs_within_groups(labels.select("perm", "k", "cluster", id_col), ["perm", "k", "cluster"], id_col, [id_col], [id_col])
-    num = same.groupBy("k", F.col(f"l_{id_col}").alias("i"), F.col(f"r_{id_col}").alias("j")).agg(F.count(F.lit(1)).alias("together"))
-    both = pairs_within_groups(sampled.select("perm", id_col), ["perm"], id_col, [id_col], [id_col])
-    den = both.groupBy(F.col(f"l_{id_col}").alias("i"), F.col(f"r_{id_col}").alias("j")).agg(F.count(F.lit(1)).alias("sampled"))
-    grid = den.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
-    return grid.join(num, ["k", "i", "j"], "left").select(
-        "k", "i", "j", (F.coalesce(F.col("together"), F.lit(0)) / F.col("sampled")).alias("consensus")
-    )
+    from citegraph.session import cut_lineage
+
+    bit = F.expr("shiftleft(1L, CAST(perm % 64 AS INT))")
+    top = sampled.agg(F.max("perm").alias("p")).first()["p"]
+    if top is None:
+        return sampled.select(F.lit(0).alias("k"), F.col(id_col).alias("i"), F.col(id_col).alias("j"), F.lit(None).cast("double").alias("consensus")).limit(0)
+    width = int(top) // 64 + 1
+    digits = max(1, int(labels.agg(F.coalesce(F.max("cluster"), F.lit(0))).first()[0]).bit_length())
+    mine = _words(sampled.select("perm", F.col(id_col).alias("id")).distinct(), ["id"], width, [bit], "held")
+    planes = [bit, *[F.when(F.expr(f"(cluster & {1 << p}) != 0"), bit).otherwise(F.lit(0).cast("long")) for p in range(digits)]]
+    own = _words(labels.select("perm", "k", F.col(id_col).alias("id"), F.col("cluster").cast("int").alias("cluster")), ["k", "id"], width, planes, "bits")
+    grid = mine.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    zero = F.array_repeat(F.lit(0).cast("long"), width * (digits + 1))
+    table = cut_lineage(grid.join(own, ["k", "id"], "left").select("k", "id", "held", F.coalesce("bits", zero).alias("bits")))
+    met = block_pairs(table, "id", rows_per_block, ["k"], mine.count())
+    n = digits + 1
+    differ = " | ".join(f"(l_bits[w * {n} + {p}] ^ r_bits[w * {n} + {p}])" for p in range(1, n))
+    together = F.expr(f"aggregate(sequence(0, {width - 1}), 0L, (s, w) -> s + bit_count(l_bits[w * {n}] & r_bits[w * {n}] & ~({differ})))")
+    both = F.expr("aggregate(zip_with(l_held, r_held, (a, b) -> bit_count(a & b)), 0L, (s, x) -> s + x)")
+    return met.select("k", "i", "j", together.alias("_t"), both.alias("_b")).select("k", "i", "j", F.when(F.col("_b") > 0, F.col("_t") / F.col("_b")).alias("consensus"))
 
 
 # -------------------------------------------------------- #136-#139, #94
@@ -364,11 +579,33 @@ def bimodality_coefficient(df: DataFrame, group: str, v: str) -> DataFrame:
 # ----------------------------------------------------------- #114, #99
 
 
-def pair_distance(v: DataFrame, metric: str = "cosine", id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Pairwise distances (i < j) of a bounded vector table (#114)."""
-    a = v.select(F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("a"))
-    b = v.select(F.col(id_col).alias("j"), F.col(vec).cast("array<double>").alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", distance("a", "b", metric).alias("dist"))
+def block_pairs(df: DataFrame, id_col: str, rows_per_block: int = 256, by: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """Every pair i < j of the rows of ``df`` (of one ``by`` group) once: (by, i, j, l_..., r_...).
+
+    Rows are dealt by hash into blocks of about ``rows_per_block``; each pair of
+    blocks is a key, under which the left rows come from one block and the
+    right ones from the other. A row is copied once for each block, and a
+    task compares two blocks, whatever the table's size.
+    """
+    by = by or []
+    blocks = max(1, -(-(df.count() if n is None else n) // rows_per_block))
+    rest = [c for c in df.columns if c not in (id_col, *by)]
+    dealt = df.withColumn("_x", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = dealt.filter("_x <= _y").select(*by, "_x", "_y", F.col(id_col).alias("_i"), *[F.col(c).alias(f"l_{c}") for c in rest])
+    right = dealt.filter("_y <= _x").select(*by, F.col("_y").alias("_x"), F.col("_x").alias("_y"), F.col(id_col).alias("_j"), *[F.col(c).alias(f"r_{c}") for c in rest])
+    met = left.join(right, [*by, "_x", "_y"]).filter((F.col("_x") < F.col("_y")) | (F.col("_i") < F.col("_j")))
+    swap = F.col("_i") > F.col("_j")
+    sides = [F.when(swap, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}") for c in rest for a, b in (("l", "r"), ("r", "l"))]
+    return met.select(*by, F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), *sides)
+
+
+def pair_distance(v: DataFrame, metric: str | list[str] = "cosine", id_col: str = "id", vec: str = "vec", rows_per_block: int = 256) -> DataFrame:
+    """Pairwise distances (i < j, dist) of a vector table (#114); a list of metrics gives a column of each name."""
+    x = v.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    met = block_pairs(x, "id", rows_per_block)
+    if isinstance(metric, str):
+        return met.select("i", "j", distance("l_vec", "r_vec", metric).alias("dist"))
+    return met.select("i", "j", *[distance("l_vec", "r_vec", m).alias(m) for m in metric])
 
 
 def pairwise_k_extreme(d: DataFrame, k: int, largest: bool = False) -> DataFrame:

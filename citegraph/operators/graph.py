@@ -280,18 +280,27 @@ def edge_metric_table(
     node_metric_col: str,
     threshold,
     by=None,
+    mapping: DataFrame | None = None,
 ) -> DataFrame:
-    """For one node: neighbour, edge metric, neighbour's node metric (#112).
+    """For one node: neighbour, edge metric, neighbour's node metric, the strongest edge first (#112).
 
     ``edges`` carries the metric column; it is thresholded, the neighbour's
     value is looked up in ``node_metric`` (``by + node``), 0 when absent.
+    ``mapping`` (node, ...) adds its columns for the neighbour, such as an
+    author's organisation and country; one row a node.
     """
     keys = _by(by)
     inc = incident_edges(weight_threshold(edges, metric, threshold), node, metric)
     nm = node_metric.select(*keys, F.col("node").alias("neighbour"), F.col(node_metric_col).alias("node_metric"))
-    return inc.join(nm, [*keys, "neighbour"], "left").select(
+    out, more = inc.join(nm, [*keys, "neighbour"], "left"), []
+    if mapping is not None:
+        more = [c for c in mapping.columns if c != "node"]
+        out = out.join(mapping.withColumnRenamed("node", "neighbour"), "neighbour", "left")
+    out = out.select(
         *keys,
         "neighbour",
+        *more,
         F.col(metric).alias("edge_metric"),
         F.coalesce(F.col("node_metric"), F.lit(0.0)).cast("double").alias("node_metric"),
     )
+    return out.orderBy(*keys, F.col("edge_metric").desc(), "neighbour")

@@ -123,10 +123,7 @@ def one_hot_drop_first(df: DataFrame, c: str, prefix: str | None = None) -> Data
     model = StringIndexer(inputCol=c, outputCol="_idx", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
     labels = list(model.labels)
     p = prefix or c
-    out = df
-    for lab in labels[1:]:
-        out = out.withColumn(f"{p}_{lab}", (F.col(c) == F.lit(lab)).cast("int"))
-    return out.drop(c)
+    return df.select("*", *[(F.col(c) == F.lit(lab)).cast("int").alias(f"{p}_{lab}") for lab in labels[1:]]).drop(c)
 
 
 def date_parse_coerce(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd") -> DataFrame:
@@ -155,10 +152,8 @@ def feature_table(pw: DataFrame, drop: list[str] | None = None) -> DataFrame:
     x = x.withColumn("num_unique_country_codes", token_distinct_count("research_org_country_codes"))
     x = x.withColumn("num_unique_state_codes", token_distinct_count("research_org_state_codes"))
     x = one_hot_drop_first(x, "publication_type")
-    return x.drop(
-        "clinical_trial_ids", "field", "funding_details", "unique_org_ids", "research_org_city_ids",
-        "research_org_country_codes", "research_org_state_codes",
-    )
+    x = one_hot_drop_first(x.withColumn("research_org_state_codes", F.coalesce(F.nullif("research_org_state_codes", F.lit("")), F.lit("Unknown"))), "research_org_state_codes")
+    return x.drop("clinical_trial_ids", "field", "funding_details", "unique_org_ids", "research_org_city_ids", "research_org_country_codes")
 
 
 def standard_scale(train: DataFrame, test: DataFrame, cols: list[str], suffix: str = "_z") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -221,29 +216,36 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def gbt_regression(train: DataFrame, features: list[str], target: str, params: dict | None = None):
-    """Gradient-boosted trees with missing values imputed (+ missing indicators) (#158)."""
+def _with_indicators(df: DataFrame, features: list[str]) -> DataFrame:
+    x = df
+    for c in features:
+        x = x.withColumn(f"{c}__missing", (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double")).withColumn(c, F.col(c).cast("double"))
+    return x
+
+
+def feature_pipeline(train: DataFrame, features: list[str]):
+    """Missing values imputed by the training median, with an indicator for each feature, as one vector column."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, VectorAssembler
+
+    imp = Imputer(inputCols=features, outputCols=[f"{c}__imp" for c in features], strategy="median")
+    va = VectorAssembler(inputCols=[f"{c}__imp" for c in features] + [f"{c}__missing" for c in features], outputCol="features")
+    return Pipeline(stages=[imp, va]).fit(_with_indicators(train, features))
+
+
+def gbt_regression(train: DataFrame, features: list[str], target: str, params: dict | None = None):
+    """Gradient-boosted trees with missing values imputed (+ missing indicators) (#158)."""
     from pyspark.ml.regression import GBTRegressor
 
     p = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "seed": 42, **(params or {})}
-    ind = [f"{c}__missing" for c in features]
-    x = train
-    for c, i in zip(features, ind):
-        x = x.withColumn(i, F.col(c).isNull().cast("double")).withColumn(c, F.col(c).cast("double"))
-    imp = Imputer(inputCols=features, outputCols=[f"{c}__imp" for c in features], strategy="median")
-    va = VectorAssembler(inputCols=[f"{c}__imp" for c in features] + ind, outputCol="features")
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, **p)
-    return Pipeline(stages=[imp, va, gbt]).fit(x), ind
+    prepared = feature_pipeline(train, features)
+    x = prepared.transform(_with_indicators(train, features)).select("features", F.col(target).cast("double").alias(target))
+    return prepared, GBTRegressor(featuresCol="features", labelCol=target, **p).fit(x)
 
 
-def gbt_predict(model_ind, df: DataFrame, features: list[str]) -> DataFrame:
-    model, ind = model_ind
-    x = df
-    for c, i in zip(features, ind):
-        x = x.withColumn(i, F.col(c).isNull().cast("double")).withColumn(c, F.col(c).cast("double"))
-    return model.transform(x)
+def gbt_predict(model, df: DataFrame, features: list[str]) -> DataFrame:
+    prepared, trees = model
+    return trees.transform(prepared.transform(_with_indicators(df, features)))
 
 
 def draw_params(draws: int, seed: int = 42) -> list[dict]:
@@ -265,64 +267,76 @@ def draw_params(draws: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def hyperparameter_search(train: DataFrame, features: list[str], target: str, fold_col: str, space: list[dict], parallelism: int = 4):
-    """Cross-validated search over parameter draws with a group fold column (#159); score -MSE."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
+def hyperparameter_search(
+    train: DataFrame, features: list[str], target: str, fold_col: str, space: list[dict], rungs: tuple[int, ...] = (25, 100, 400), keep: float = 1 / 3, max_trees: int | None = None, parallelism: int = 4,
+):
+    """Search over parameter draws with a group fold column, by successive halving over trees (#159).
+
+    Features are imputed and assembled once. Every draw is fitted with the
+    first rung's number of trees on all folds but one and scored on that one
+    (mean squared error over the folds); the best ``keep`` share goes on to the
+    next rung. A draw never gets more trees than its own ``maxIter``. The
+    best of the last rung is fitted again on all rows, with its ``maxIter``
+    trees or ``max_trees``.
+
+    Returns (model for ``gbt_predict``, best draw, rows (candidate, rung,
+    trees, mse)).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, seed=42)
-    grid = []
-    for p in space:
-        b = ParamGridBuilder()
-        for k, v in p.items():
-            b = b.addGrid(getattr(gbt, k), [v])
-        grid += b.build()
-    x = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(
-        train.fillna(0.0, subset=features)
-    )
-    cv = CrossValidator(
-        estimator=gbt,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=target, metricName="mse"),
-        foldCol=fold_col,
-        parallelism=parallelism,
-        seed=42,
-    )
-    return cv.fit(x)
+
+    prepared = feature_pipeline(train, features)
+    x = prepared.transform(_with_indicators(train, features)).select("features", F.col(target).cast("double").alias(target), F.col(fold_col).alias("_fold"))
+    x = cut_lineage(x.filter(F.col(target).isNotNull()))
+    folds = sorted(r[0] for r in x.select("_fold").distinct().collect())
+
+    def error(job):
+        candidate, trees, fold = job
+        p = {**space[candidate], "maxIter": trees}
+        fit = GBTRegressor(featuresCol="features", labelCol=target, seed=42, **p).fit(x.filter(F.col("_fold") != fold))
+        d = fit.transform(x.filter(F.col("_fold") == fold))
+        return d.agg(F.avg((F.col("prediction") - F.col(target)) ** 2)).first()[0]
+
+    alive, rows = list(range(len(space))), []
+    for rung, most in enumerate(rungs):
+        jobs = [(c, min(most, space[c].get("maxIter", most)), f) for c in alive for f in folds]
+        with ThreadPoolExecutor(parallelism) as pool:
+            errors = list(pool.map(error, jobs))
+        mse = {c: sum(e for (j, _, _), e in zip(jobs, errors) if j == c) / len(folds) for c in alive}
+        rows += [(c, rung, min(most, space[c].get("maxIter", most)), float(mse[c])) for c in alive]
+        alive = sorted(alive, key=lambda c: (mse[c], c))[: max(1, math.ceil(len(alive) * keep))]
+    best = space[alive[0]]
+    trees = best.get("maxIter", rungs[-1]) if max_trees is None else min(max_trees, best.get("maxIter", max_trees))
+    model = GBTRegressor(featuresCol="features", labelCol=target, seed=42, **{**best, "maxIter": trees}).fit(x)
+    return (prepared, model), best, rows
 
 
 def nested_cv_predict(
     df: DataFrame, features: list[str], target: str, key: str, order: list[str], group: str,
-    n_outer: int = 4, n_inner: int = 3, space: list[dict] | None = None,
+    n_outer: int = 4, n_inner: int = 3, space: list[dict] | None = None, **search,
 ) -> DataFrame:
     """Outer forward-chaining folds -> leakage filter -> scaling -> inner group-fold
-    search -> prediction (#160). Returns (fold, key, actual, predicted)."""
-    from pyspark.ml.feature import VectorAssembler
+    search -> prediction (#160). Returns (fold, key, actual, predicted).
 
-    space = space or draw_params(2)
-    blocks = forward_chain_blocks(df, order, n_outer).cache()
-    outs = []
+    ``search`` goes to ``hyperparameter_search``.
+    """
+    space = space or draw_params(80)
+    blocks = cut_lineage(forward_chain_blocks(df, order, n_outer))
+    res = None
     for f in range(1, n_outer + 1):
         test = blocks.filter(F.col("block") == f)
         train = J.anti_join_leakage(blocks.filter(F.col("block") < f), test, group)
         tr, te, _ = standard_scale(train, test, features + [target])
         zf = [f"{c}_z" for c in features]
-        tr = group_folds(tr, group, n_inner, "_fold")
-        cv = hyperparameter_search(tr, zf, f"{target}_z", "_fold", space)
+        tr = cut_lineage(group_folds(tr, group, n_inner, "_fold"))
+        model, _, _ = hyperparameter_search(tr, zf, f"{target}_z", "_fold", space, **search)
         stats = train.agg(F.struct(F.avg(target).alias("mu"), F.stddev_pop(target).alias("sd")).alias("s")).scalar()
-        pred = cv.bestModel.transform(
-            VectorAssembler(inputCols=zf, outputCol="features", handleInvalid="keep").transform(te.fillna(0.0, subset=zf))
-        )
-        pred = pred.select(
+        pred = gbt_predict(model, te, zf).select(
             F.lit(f).alias("fold"),
             F.col(key),
             F.col(target).alias("actual"),
             (F.col("prediction") * F.when(stats["sd"] > 0, stats["sd"]).otherwise(1.0) + stats["mu"]).alias("predicted"),
         )
-        outs.append(pred)
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
+        res = pred if res is None else res.unionByName(pred)
     return res

@@ -27,8 +27,8 @@ def tokenise(df: DataFrame, text: str, out: str = "tokens", min_len: int = 1) ->
 
 def remove_stopwords(df: DataFrame, tokens_col: str = "tokens", stop: list[str] | None = None, out: str | None = None) -> DataFrame:
     """Drop stop words from a token array (#116)."""
-    stop_arr = F.array(*[F.lit(w) for w in (stop or ENGLISH)])
-    return df.withColumn(out or tokens_col, F.filter(col(tokens_col), lambda t: ~F.array_contains(stop_arr, t)))
+    words = list(stop or ENGLISH)  # a hash lookup in the plan
+    return df.withColumn(out or tokens_col, F.filter(col(tokens_col), lambda t: ~t.isin(words)))
 
 
 def stopword_table(spark, stop: list[str] | None = None) -> DataFrame:
@@ -53,16 +53,13 @@ def language_scores(df: DataFrame, text: str, out: str = "detected_lang") -> Dat
 
     Scores are computed on the row's token array (no shuffle).
     """
-    toks = tokens(text)
-    best = None
-    scores = []
-    for lang, words in FUNCTION_WORDS.items():
-        arr = F.array(*[F.lit(w) for w in words])
-        scores.append((lang, F.size(F.filter(toks, lambda t: F.array_contains(arr, t)))))
+    df = df.withColumn("_tokens", tokens(text))  # cut once for all languages
+    hits = lambda words: F.size(F.filter("_tokens", lambda t: t.isin(*words)))
+    scores = [(lang, hits(words)) for lang, words in FUNCTION_WORDS.items()]
     # argmax with ties resolved by dict order: build a struct (score, -rank, lang) and take the max
     structs = [F.struct(s.alias("s"), F.lit(-i).alias("r"), F.lit(lang).alias("lang")) for i, (lang, s) in enumerate(scores)]
     best = F.greatest(*structs)
-    return df.withColumn(out, F.when(best["s"] > 0, best["lang"]))
+    return df.withColumn(out, F.when(best["s"] > 0, best["lang"])).drop("_tokens")
 
 
 def language_filter(df: DataFrame, text: str, keep: str = "en", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -182,46 +179,67 @@ def chunk_tokens(df: DataFrame, id_col: str, tokens_col: str, n: int = 512) -> D
     return df.select(F.col(id_col), F.posexplode(chunks).alias("chunk", "tokens")).filter(F.size("tokens") > 0)
 
 
-def embed_texts(df: DataFrame, id_col: str, text: str, dim: int = 64, chunk: int = 512, encoder=None) -> DataFrame:
-    """Chunk, encode, mean-pool per text (#126, #77).
+def _hashed(tok, dim: int, hasher: str):
+    """(bucket, sign) of a token: 'xxhash64', or 'md5' (32-bit parts of it, which other engines have too)."""
+    if hasher == "xxhash64":
+        h = F.xxhash64(tok)
+        return F.pmod(h, F.lit(dim)).cast("int"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    if hasher == "md5":
+        part = lambda at: F.conv(F.substring(F.md5(tok), at, 8), 16, 10).cast("bigint")
+        return (part(1) % dim).cast("int"), F.when(part(9) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    raise ValueError(f"unknown hasher {hasher}")
 
-    ``encoder`` is an optional pandas function ``list[list[str]] -> ndarray[b, dim]``
-    applied batch-wise with ``mapInPandas`` (a pluggable model); the default
-    encoder is signed feature hashing computed with Spark expressions.
-    """
-    ch = chunk_tokens(tokenise(df.select(id_col, text), text), id_col, "tokens", chunk)
-    if encoder is None:
-        t = ch.select(id_col, "chunk", F.explode("tokens").alias("tok"))
-        h = F.xxhash64("tok")
-        t = t.select(
-            id_col,
-            "chunk",
-            F.pmod(h, F.lit(dim)).cast("int").alias("b"),
-            F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sgn"),
-        )
-        v = t.groupBy(id_col, "chunk", "b").agg(F.sum("sgn").alias("x"))
-        norm = v.groupBy(id_col, "chunk").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
-        v = v.join(norm, [id_col, "chunk"]).withColumn("x", F.try_divide(F.col("x"), F.col("_n")))
-        n_chunks = ch.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c"))
-        pooled = v.groupBy(id_col, "b").agg(F.sum(F.coalesce("x", F.lit(0.0))).alias("_s")).join(n_chunks, id_col)
-        pooled = pooled.withColumn("_m", F.col("_s") / F.col("_c"))
-        dense = pooled.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "_m"))).alias("_mp"))
-        return dense.select(
-            id_col,
-            F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_mp", i), F.lit(0.0))).alias(
-                "embedding"
-            ),
-        )
 
+def _pooled(x: DataFrame, id_col: str, dim: int, chunk: int) -> DataFrame:
+    """(id, embedding) of rows (id, _codes): a code is twice a place of the vector, plus 1 for a negative sign."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            codes = batch.column("_codes")
+            n = np.diff(codes.offsets.to_numpy())
+            values = codes.flatten().to_numpy()
+            chunks = -(-n // chunk)
+            first = np.cumsum(chunks) - chunks
+            at = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            place = (np.repeat(first, n) + at // chunk) * dim + values // 2
+            raw = np.bincount(place, 1.0 - 2 * (values % 2), minlength=int(chunks.sum()) * dim).reshape(-1, dim)
+            norm = np.sqrt((raw * raw).sum(1, keepdims=True))
+            unit = raw / np.where(norm > 0, norm, 1)
+            out, has = np.zeros((len(n), dim)), np.flatnonzero(chunks)
+            if len(has):
+                out[has] = np.add.reduceat(unit, first[has], axis=0) / chunks[has][:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(list(out), pa.list_(pa.float64()))], names=[id_col, "embedding"])
+
+    return x.select(id_col, "_codes").mapInArrow(run, f"{id_col} {dict(x.dtypes)[id_col]}, embedding array<double>")
+
+
+def embed_texts(df: DataFrame, id_col: str, text: str, dim: int = 64, chunk: int = 512, encoder=None, hasher: str = "xxhash64", batch_size: int = 64) -> DataFrame:
+    """Chunk, encode, mean-pool per text (#126, #77): (id, embedding); a text without tokens gets zeros.
+
+    The default encoder is signed feature hashing: a chunk's tokens add 1 or -1
+    to one of ``dim`` places, and the chunk is scaled to unit length. Tokens are
+    hashed by expressions, chunks pooled inside the row's own task: no shuffle. ``encoder`` plugs a model in: a
+    function without arguments that a worker calls once, for a function from
+    an array of chunk texts (tokens joined by spaces) to an array (chunks, dim);
+    it runs in batches through ``predict_batch_udf``.
+    """
+    x = tokenise(df.select(id_col, text), text, "_tokens").drop(text).withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>")))
+    if encoder is None:
+        code = lambda t: (lambda b, sign: b * 2 + F.when(sign < 0, F.lit(1)).otherwise(F.lit(0)))(*_hashed(t, dim, hasher))
+        return _pooled(x.withColumn("_codes", F.transform("_tokens", code)), id_col, dim, chunk)
 
-    def run(it):
-        for pdf in it:
-            vecs = np.asarray(encoder([list(t) for t in pdf["tokens"]]), dtype="float64")
-            yield pd.DataFrame({id_col: pdf[id_col], "chunk": pdf["chunk"], "vec": list(vecs)})
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
 
-    enc = ch.mapInPandas(run, f"{id_col} {dict(ch.dtypes)[id_col]}, chunk int, vec array<double>")
     from citegraph.operators.aggregates import vector_mean
 
-    return vector_mean(enc, id_col, "vec", "embedding")
+    predict = predict_batch_udf(encoder, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    x = cut_lineage(x)
+    n = F.size("_tokens")
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+    chunks = x.select(id_col, F.explode(F.transform(starts, lambda s: F.array_join(F.slice("_tokens", s, chunk), " "))).alias("_text"))
+    pooled = vector_mean(chunks.select(id_col, predict("_text").alias("vec")), id_col, "vec", "_e")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return x.select(id_col).join(pooled, id_col, "left").select(id_col, F.coalesce("_e", zeros).alias("embedding"))

@@ -69,7 +69,7 @@ def trend_slope(df: DataFrame, key: str, x: str, y: str, out: str = "slope") ->
 def dense_relabel(df: DataFrame, label: str, year: str, id_col: str, out: str = "label_rank") -> DataFrame:
     """Relabel clusters 1..n in order of first appearance by (year, id) (#87)."""
     first = df.groupBy(label).agg(F.min(F.struct(year, id_col)).alias("_first"))
-    ranked = first.select(label, F.row_number().over(W.orderBy("_first", label)).alias(out))
+    ranked = row_number_global(first, ["_first", label], out).select(label, F.col(out).cast("int").alias(out))
     return df.join(ranked, label)
 
 

@@ -10,6 +10,9 @@ the group - and compared with DuckDB.
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from citegraph.operators import consensus as K
@@ -20,18 +23,16 @@ from citegraph.plans.registry import register, stage
 from citegraph.plans.sqlparts import with_
 from citegraph.session import cut_lineage
 
-# chain parameters for the test tables (the reference's run: 1000 centroids,
-# 1000 permutations, p = 0.5, k in REFERENCE_K_RANGE)
-N_CENTROIDS = 40
-PERMS = 40
+# chain parameters (the reference's run: 1000 centroids, 1000 permutations, p = 0.5);
+# of the reference's k all that a subsample can have
+N_CENTROIDS = 100
+PERMS = 64
 P_ITEM = 0.5
-KS = [2, 3, 4, 5, 6, 8, 10, 12]
-# restarts and rounds of each subsample's clustering (the operator's defaults are the reference's 20 and 1000)
-REPS, ROUNDS = 2, 30
+KS = [k for k in K.REFERENCE_K_RANGE if k < N_CENTROIDS * P_ITEM]
+# restarts of each subsample's clustering (the operator's default is the reference's 20); rounds go on until nothing moves
+REPS = 4
 # rounds of affinity propagation at a preference (the operator's default is the reference's 2000)
 AP_ROUNDS = 60
-# bootstrap draws of the dip (the operator's default is the reference's 5000)
-DIP_DRAWS = 500
 
 
 def _stage(spark, d, name, build):
@@ -40,7 +41,7 @@ def _stage(spark, d, name, build):
 
 def _centroids(spark, d):
     def build():
-        assign, cents = K.kmeans_cosine(S.vectors(spark, d), N_CENTROIDS, restarts=2, max_iter=30)
+        assign, cents = K.kmeans_cosine(S.vectors(spark, d), N_CENTROIDS)
         return cut_lineage(assign), cut_lineage(cents)
 
     return _stage(spark, d, "centroids", build)
@@ -61,7 +62,7 @@ def _sv(spark, d):
 
 
 def _labels(spark, d, algo="kmeans"):
-    return _stage(spark, d, f"labels_{algo}", lambda: cut_lineage(K.consensus_cluster(_sv(spark, d), KS, algo=algo, reps=REPS, max_iter=ROUNDS)))
+    return _stage(spark, d, f"labels_{algo}", lambda: cut_lineage(K.consensus_cluster(_sv(spark, d), KS, algo=algo, reps=REPS)))
 
 
 def _coassoc(spark, d):
@@ -73,7 +74,7 @@ def _evaluation(spark, d):
         c = _coassoc(spark, d)
         pac = K.pac(c)
         bc = K.bimodality_coefficient(c, "k", "consensus")
-        dip = K.dip_test(c, "k", "consensus", nboot=DIP_DRAWS)
+        dip = K.dip_test(c, "k", "consensus")
         r = pac.join(bc, "k").join(dip, "k").withColumn("subject", F.lit("embeddings"))
         return cut_lineage(r)
 
@@ -129,8 +130,47 @@ def consensus_cluster_pam(spark, d):
     return _labels(spark, d, "pam")
 
 
-@register("coassociation_matrix")
+def _few_subsamples(spark, d):
+    return _sv(spark, d).filter("perm < 3")
+
+
+@register("consensus_cluster_spectral")
+def consensus_cluster_spectral(spark, d):
+    """Spectral clusters (locally scaled affinity, power iteration) of three subsamples for three k."""
+    return K.consensus_cluster(_few_subsamples(spark, d), [2, 4, 8], "spectral", "cosine")
+
+
+@register("consensus_cluster_modularity")
+def consensus_cluster_modularity(spark, d):
+    """Modularity communities of the similarity graphs of three subsamples; k is the number found."""
+    return K.consensus_cluster(_few_subsamples(spark, d), [], "modularity", "correlation")
+
+
+LABELS = """items AS (SELECT s_suppkey AS id FROM supplier), perms AS (SELECT CAST(unnest(range(70)) AS INTEGER) AS perm),
+held AS (SELECT perm, id FROM items CROSS JOIN perms WHERE (id * 7 + perm * 13) % 3 <> 0),
+lab AS (SELECT perm, k, id, (id * (perm % 11 + 1) + perm) % k AS cluster FROM held CROSS JOIN (VALUES (2), (3), (5)) AS v(k))"""
+
+
+@register(
+    "coassociation_matrix",
+    with_(LABELS)
+    + """SELECT CAST(a.k AS INTEGER) AS k, a.id AS i, b.id AS j, ROUND(CAST(COUNT(*) FILTER (WHERE a.cluster = b.cluster) AS DOUBLE) / COUNT(*), 6) AS consensus
+FROM lab a JOIN lab b ON a.perm = b.perm AND a.k = b.k AND a.id < b.id GROUP BY 1, 2, 3
+UNION ALL SELECT CAST(k AS INTEGER), a.id, b.id, NULL FROM items a JOIN items b ON a.id < b.id CROSS JOIN (VALUES (2), (3), (5)) AS v(k)
+WHERE NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.perm = y.perm WHERE x.id = a.id AND y.id = b.id)""",
+)
 def coassociation_matrix(spark, d):
+    """Co-association of all suppliers under labels that are computed for 70 permutations and three k."""
+    items = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    held = items.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(69)))).filter("(id * 7 + perm * 13) % 3 <> 0").select("perm", "id")
+    ks = [2, 3, 5]
+    lab = held.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("cluster", F.expr("(id * (perm % 11 + 1) + perm) % k"))
+    return rounded(K.coassociation_matrix(lab, held, ks))
+
+
+@register("coassociation_run")
+def coassociation_run(spark, d):
+    """Co-association matrix of the embeddings' consensus run."""
     return rounded(_coassoc(spark, d))
 
 
@@ -143,7 +183,7 @@ def consensus_evaluation(spark, d):
 @register("dip_test")
 def dip_test(spark, d):
     """Dip and bootstrap p-value of the co-association values per k."""
-    return rounded(K.dip_test(_coassoc(spark, d), "k", "consensus", nboot=DIP_DRAWS))
+    return rounded(K.dip_test(_coassoc(spark, d), "k", "consensus"))
 
 
 @register("solution_select")
@@ -153,7 +193,26 @@ def solution_select(spark, d):
     return rounded(SEL.solution_select(r, sigma_tol=3.0, auto_fac=1.5, gap=4))
 
 
-@register("noise_variance")
+def _noise_sql() -> str:
+    filters = []
+    for order in SEL.NOISE_ORDERS:
+        c = [(-1) ** j * math.comb(order, j) for j in range(order + 1)]
+        norm = math.sqrt(sum(v * v for v in c))
+        filters.append(f"({order}, [{', '.join(f'{v / norm!r}::DOUBLE' for v in c)}])")
+    tails = ", ".join(f"({p}::DOUBLE, {2 * NormalDist().inv_cdf(1 - p)!r}::DOUBLE)" for p in SEL.NOISE_PERC)
+    at = lambda p: f"({p}) * (m + 0.5) - 1.5"
+    low = lambda p: f"CAST(floor({at(p)}) AS BIGINT)"
+    q = lambda p: f"CASE WHEN {at(p)} >= 0 AND {at(p)} <= m - 1 THEN s[{low(p)} + 1] + (s[LEAST({low(p)} + 1, m - 1) + 1] - s[{low(p)} + 1]) * ({at(p)} - {low(p)}) END"
+    return f"""WITH e AS (SELECT event_type AS cluster, CAST(day(ts) AS BIGINT) AS year, CAST(COUNT(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2),
+s AS (SELECT cluster, list(n ORDER BY year) AS x FROM e GROUP BY 1), f(o, c) AS (VALUES {', '.join(filters)}), t(p, z) AS (VALUES {tails}),
+y AS (SELECT cluster, o, len(x) - o AS m, list_sort(list_transform(range(0, len(x) - o), lambda i: list_sum(list_transform(range(1, o + 2), lambda j: x[i + j] * c[j])))) AS s FROM s, f WHERE len(x) >= o + 2),
+w AS (SELECT cluster, o, ({q('1 - p')} - ({q('p')})) / z AS w FROM y, t),
+g AS (SELECT cluster, MEDIAN(e) AS sigma FROM (SELECT cluster, o, MEDIAN(w) AS e FROM w GROUP BY 1, 2) GROUP BY 1)
+SELECT s.cluster, CASE WHEN len(x) >= {SEL.NOISE_LEAST} THEN ROUND(sigma * sigma / (1 + {SEL.NOISE_FACTOR} * POWER(len(x) + {SEL.NOISE_SHIFT}, {SEL.NOISE_POWER})), 6) END AS noise_var,
+  CAST(len(x) AS BIGINT) AS n, CASE WHEN len(x) < {SEL.NOISE_LEAST} THEN 'short' ELSE 'ok' END AS status FROM s LEFT JOIN g USING (cluster)"""
+
+
+@register("noise_variance", _noise_sql())
 def noise_variance(spark, d):
     """Noise variance of every event type's daily event count series."""
     e = S.theme_events(spark, d).groupBy("cluster", "year").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -171,8 +230,10 @@ def stratified_fold(spark, d):
 
 @register("pca_project")
 def pca_project(spark, d):
-    p = K.pca_project(S.vectors(spark, d), 2)
-    return rounded(p.select("id", F.col("score")[0].alias("x"), F.col("score")[1].alias("y")))
+    """Scores on the first 50 principal components (all, where vectors have fewer)."""
+    v = S.vectors(spark, d)
+    p = K.pca_project(v, min(50, v.agg(F.max(F.size("vec"))).first()[0] or 1))
+    return p.select("id", F.transform("score", lambda x: F.round(x, 6)).alias("score"))
 
 
 # ------------------------------------------------ SQL-checkable distributions
@@ -261,15 +322,16 @@ def nearest_centroid_join(spark, d):
 @register(
     "pair_distance_matrix",
     with_(LC)
-    + """SELECT a.cluster AS i, b.cluster AS j, ROUND(1 - list_cosine_similarity(a.centroid, b.centroid), 6) AS cosine,
-  ROUND(list_distance(a.centroid, b.centroid), 6) AS euclidean
-FROM lc a JOIN lc b ON a.cluster < b.cluster""",
+    + """SELECT a.label AS i, b.label AS j, ROUND(1 - SUM(a.x * b.x) / (sqrt(SUM(a.x * a.x)) * sqrt(SUM(b.x * b.x))), 6) AS cosine,
+  ROUND(sqrt(SUM((a.x - b.x) * (a.x - b.x))), 6) AS euclidean, ROUND(SUM((a.x - b.x) * (a.x - b.x)), 6) AS sqeuclidean,
+  ROUND(1 - GREATEST(corr(a.x, b.x), 0), 6) AS correlation,
+  ROUND(SUM((a.x - b.x) * (a.x - b.x)) / 2 / (SUM(a.x * a.x) + SUM(b.x * b.x) - (SUM(a.x) + SUM(b.x)) * (SUM(a.x) + SUM(b.x)) / (2 * COUNT(*))), 6) AS eta
+FROM le a JOIN le b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2""",
 )
 def pair_distance_matrix(spark, d):
+    """All five distances of the labels' centroids."""
     c = _label_centroids(spark, d).select(F.col("cluster").alias("id"), F.col("centroid").alias("vec"))
-    cos = K.pair_distance(c, "cosine").withColumnRenamed("dist", "cosine")
-    euc = K.pair_distance(c, "euclidean").withColumnRenamed("dist", "euclidean")
-    return rounded(cos.join(euc, ["i", "j"]))
+    return rounded(K.pair_distance(c, list(K.METRICS)))
 
 
 @register(
@@ -328,13 +390,15 @@ def solution_adjust(spark, d):
     "select_k_chart_data",
     with_(EVAL)
     + """, ix AS (SELECT subject, k, dip_p, ROW_NUMBER() OVER (PARTITION BY subject ORDER BY k) AS k_index FROM ev),
-f AS (SELECT subject, k_index, k_index - ROW_NUMBER() OVER (PARTITION BY subject ORDER BY k_index) AS g FROM ix WHERE dip_p > 0.5)
-SELECT subject, MIN(k_index) AS start, MAX(k_index) AS "end" FROM f GROUP BY subject, g""",
+f AS (SELECT subject, k_index, k_index - ROW_NUMBER() OVER (PARTITION BY subject ORDER BY k_index) AS g FROM ix WHERE dip_p > 0.5),
+r AS (SELECT subject, MIN(k_index) AS start, MAX(k_index) AS "end" FROM f GROUP BY subject, g)
+SELECT ev.subject, ev.k, ROUND(pac, 6) AS pac, ROUND(bc, 6) AS bc, ROUND(dip, 6) AS dip, ROUND(dip_p, 6) AS dip_p, start, "end"
+FROM ev LEFT JOIN r ON r.subject = ev.subject WHERE ev.k = 20""",
 )
 def select_k_chart_data(spark, d):
-    """Non-significant k ranges (dip p > 0.5) of the stand-in evaluation table."""
-    _, ranges = SEL.select_k_chart_data(_eval_standin(spark, d), 20, 0.5)
-    return ranges
+    """The evaluation rows of k = 20 with their subjects' non-significant k ranges (dip p > 0.5)."""
+    chosen, ranges = SEL.select_k_chart_data(_eval_standin(spark, d), 20, 0.5)
+    return rounded(chosen.join(ranges, "subject", "left"))
 
 
 # ------------------------------------------------ theme chain

@@ -311,9 +311,10 @@ def incident_edges(spark, d):
         "org",
         """, nc AS (SELECT year, node, SUM(cii) AS node_cii FROM (SELECT year, node1 AS node, cii FROM ci WHERE cii >= 0.5
                    UNION ALL SELECT year, node2, cii FROM ci WHERE cii >= 0.5) x GROUP BY year, node)
-SELECT c.year, CASE WHEN node1 = 'NATION_7' THEN node2 ELSE node1 END AS neighbour,
+SELECT c.year, CASE WHEN node1 = 'NATION_7' THEN node2 ELSE node1 END AS neighbour, m.country_name,
        ROUND(c.cii, 6) AS edge_metric, ROUND(COALESCE(nc.node_cii, 0.0), 6) AS node_metric
 FROM ci c LEFT JOIN nc ON nc.year = c.year AND nc.node = CASE WHEN node1 = 'NATION_7' THEN node2 ELSE node1 END
+LEFT JOIN (SELECT organization_name, MIN(country_name) AS country_name FROM oh GROUP BY 1) m ON m.organization_name = CASE WHEN node1 = 'NATION_7' THEN node2 ELSE node1 END
 WHERE c.cii >= 0.5 AND (node1 = 'NATION_7' OR node2 = 'NATION_7') AND node1 <> node2""",
         STRENGTH,
         CII,
@@ -323,7 +324,30 @@ def edge_metric_table(spark, d):
     e = G.cii(edges(spark, d, "org"))
     simple = G.undirected_simplify(G.weight_threshold(e, "cii", 0.5), "cii")
     nodes = G.node_metric_strength(simple)
-    return rounded(G.edge_metric_table(e, "NATION_7", "cii", nodes, "node_cii", 0.5))
+    where = S.org_hierarchy(spark, d).groupBy(F.col("organization_name").alias("node")).agg(F.min("country_name").alias("country_name"))
+    return rounded(G.edge_metric_table(e, "NATION_7", "cii", nodes, "node_cii", 0.5, mapping=where))
+
+
+_AUTHOR = "'Supplier#000000001'"
+
+
+@register(
+    "edge_metric_table_author",
+    _q(
+        "author",
+        f""", ns AS (SELECT year, node, SUM(weight) AS strength FROM (SELECT year, node1 AS node, weight FROM e UNION ALL SELECT year, node2, weight FROM e) x GROUP BY 1, 2)
+SELECT e.year, b.author_name AS neighbour, b.organization_name, b.country_name, CAST(e.weight AS BIGINT) AS edge_metric, CAST(ns.strength AS DOUBLE) AS node_metric
+FROM e JOIN (SELECT author_name, MIN(organization_name) AS organization_name, MIN(country_name) AS country_name FROM oh GROUP BY 1) b
+  ON b.author_name = CASE WHEN node1 = {_AUTHOR} THEN node2 ELSE node1 END
+JOIN ns ON ns.year = e.year AND ns.node = b.author_name
+WHERE (node1 = {_AUTHOR} OR node2 = {_AUTHOR}) AND node1 <> node2""",
+    ).replace("\n, ns AS", ", ns AS"),
+)
+def edge_metric_table_author(spark, d):
+    """An author's co-authors with their organisation, country, joint publications and strength, strongest first."""
+    e = edges(spark, d, "author")
+    where = S.org_hierarchy(spark, d).groupBy(F.col("author_name").alias("node")).agg(F.min("organization_name").alias("organization_name"), F.min("country_name").alias("country_name"))
+    return G.edge_metric_table(e, _AUTHOR.strip("'"), "weight", G.node_strength(e, "weight"), "strength", 0, mapping=where)
 
 
 # ------------------------------------------------------ iterative centralities

@@ -148,10 +148,11 @@ def collect_structs(spark, d):
 
 @register(
     "distinct_list_string",
-    with_(OH) + "SELECT organization_name, array_to_string(list_sort(list_distinct(list(author_name))), ', ') AS authors FROM oh GROUP BY organization_name",
+    with_(OH) + "SELECT publication_id, array_to_string(list_sort(list_distinct(list(organization_name))), ', ') AS organizations FROM oh GROUP BY publication_id",
 )
 def distinct_list_string(spark, d):
-    return N.distinct_list_string(S.org_hierarchy(spark, d), "organization_name", "author_name", "authors")
+    """Every publication's organisations as one string, as the reference collects them."""
+    return N.distinct_list_string(S.org_hierarchy(spark, d), "publication_id", "organization_name", "organizations")
 
 
 @register(
@@ -571,15 +572,26 @@ def count_distinct_group(spark, d):
     return A.count_distinct_group(oh, ["publication_year", "organization_name"], "author_id", "n_authors")
 
 
+#: scalar columns of a flattened publication
+PUB_SCALARS = [
+    "year", "date", "publication_type", "clinical_trial_ids", "citation_count", "times_cited", "recent_citations", "field_citation_ratio", "relative_citation_ratio",
+    "altmetric_score", "is_open_access", "unique_org_ids", "research_org_city_ids", "research_org_country_codes", "research_org_state_codes", "num_unique_orgs",
+]
+
+
 @register(
     "group_by_many",
-    with_(OH) + "SELECT publication_id, ANY_VALUE(publication_year) AS publication_year, COUNT(*) AS n_rows FROM oh GROUP BY publication_id",
+    with_(LINE, PWH)
+    + "SELECT publication_id, "
+    + ", ".join(f"ROUND({c}, 6) AS {c}" if c in ("field_citation_ratio", "relative_citation_ratio", "altmetric_score", "citation_count") else c for c in PUB_SCALARS)
+    + ", CAST(GREATEST(n_authors, 1) AS BIGINT) AS n_rows FROM pwh",
 )
 def group_by_many(spark, d):
-    oh = S.org_hierarchy(spark, d)
-    g = A.group_by_many(oh, "publication_id", ["publication_year"])
-    n = oh.groupBy("publication_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    return g.join(n, "publication_id")
+    """Publication x author rows back to publications: grouped on the id, every scalar column carried."""
+    rows = _pw(spark, d).select("publication_id", *PUB_SCALARS, F.explode_outer("authors").alias("author"))
+    g = A.group_by_many(rows, "publication_id", PUB_SCALARS)
+    n = rows.groupBy("publication_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rounded(g.join(n, "publication_id"))
 
 
 @register(
@@ -910,8 +922,20 @@ def intersect(spark, d):
     return O.intersect(_nodes(spark, d, 1997), _nodes(spark, d, 1998))
 
 
-@register("except", with_(OH, edges_sql("author"), NODES) + "SELECT node FROM n1 EXCEPT SELECT node FROM n2")
+@register(
+    "except",
+    "SELECT l_partkey AS part, l_returnflag AS flag FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_partkey, l_returnflag FROM lineitem WHERE l_discount < 0.01",
+)
 def except_(spark, d):
+    """(part, return flag) pairs with a large line and no line without discount."""
+    li = S.table(spark, d, "lineitem")
+    pairs = lambda rows: rows.select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"))
+    return O.except_(pairs(li.filter("l_quantity > 45")), pairs(li.filter("l_discount < 0.01")))
+
+
+@register("except_nodes", with_(OH, edges_sql("author"), NODES) + "SELECT node FROM n1 EXCEPT SELECT node FROM n2")
+def except_nodes(spark, d):
+    """Authors of 1997's graph that are not in 1998's."""
     return O.except_(_nodes(spark, d, 1997), _nodes(spark, d, 1998))
 
 

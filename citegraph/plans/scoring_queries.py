@@ -125,22 +125,27 @@ def sum_and_median(spark, d):
     return rounded(sm(imp, "concatenated_name", "impact_score"))
 
 
+_NORMALISED = ", ".join(f"ROUND(AVG(normalized_{c}), 6) AS normalized_{c}" for c in COMPONENTS)
+
+
 @register(
     "mean_components",
-    SCORE_SQL
-    + """, n AS (SELECT concatenated_name, """
+    SCORE_SQL + ", " + ATO_N
+    + """, n AS (SELECT publication_id, concatenated_name, """
     + ", ".join(f"({c} - mn_{c}) / CASE WHEN mx_{c} <> mn_{c} THEN mx_{c} - mn_{c} ELSE 1 END AS normalized_{c}" for c in COMPONENTS)
-    + """ FROM al3 CROSS JOIN mm)
-SELECT concatenated_name, """
-    + ", ".join(f"ROUND(AVG(normalized_{c}), 6) AS normalized_{c}" for c in COMPONENTS)
-    + " FROM n GROUP BY 1",
+    + f""" FROM al3 CROSS JOIN mm)
+SELECT 'author' AS level, concatenated_name AS name, {_NORMALISED} FROM n GROUP BY 2
+UNION ALL SELECT 'organization', highest_level_organization_name, {_NORMALISED} FROM n JOIN am USING (publication_id, concatenated_name) GROUP BY 2""",
 )
 def mean_components(spark, d):
-    """Mean normalised component per author, from the author-level rows."""
+    """Mean normalised components per author and per organisation, from the author-level rows."""
     from citegraph.operators.aggregates import mean_components as mc
 
-    sc = _scored(spark, d)
-    return rounded(mc(sc, "concatenated_name", [f"normalized_{c}" for c in COMPONENTS]))
+    sc, cols = _scored(spark, d), [f"normalized_{c}" for c in COMPONENTS]
+    metrics, _, _ = SC._leaderboard_rows(sc.select("publication_id", "concatenated_name", "impact_score"), _author_org(spark, d), False)
+    level = lambda rows, key, name: mc(rows, key, cols).select(F.lit(name).alias("level"), F.col(key).alias("name"), *cols)
+    orgs = sc.join(metrics, ["publication_id", "concatenated_name"])
+    return rounded(level(sc, "concatenated_name", "author").union(level(orgs, "highest_level_organization_name", "organization")))
 
 
 @register(
@@ -202,11 +207,15 @@ FEAT = """ft AS (SELECT publication_id, year, CAST(date AS DATE) AS date, citati
   CAST(len(list_distinct(string_split(research_org_country_codes, ','))) AS BIGINT) AS num_unique_country_codes,
   CAST(len(list_distinct(string_split(research_org_state_codes, ','))) AS BIGINT) AS num_unique_state_codes, """ + ", ".join(
     f"CAST(publication_type = '{p}' AS INTEGER) AS \"publication_type_{p}\"" for p in PRIORITIES[1:]
+) + ", " + ", ".join(
+    f"CAST(left(publication_type, 1) = '{p[0]}' AS INTEGER) AS \"research_org_state_codes_{p[0]}\"" for p in PRIORITIES[1:]
 ) + """ FROM pwh WHERE altmetric_score IS NOT NULL)"""
 
 
 def _features(spark, d):
-    x = SC.feature_table(_pw(spark, d)).drop("authors")
+    # the stand-ins have no states: the first letter of the publication type plays the state code
+    pw = _pw(spark, d).withColumn("research_org_state_codes", F.substring("publication_type", 1, 1))
+    x = SC.feature_table(pw).drop("authors")
     for c in ["num_authors", "num_clinical_trial_ids", "num_unique_city_ids", "num_unique_country_codes", "num_unique_state_codes"]:
         x = x.withColumn(c, F.col(c).cast("bigint"))
     return x
@@ -235,11 +244,14 @@ def standard_scale(spark, d):
     "forward_chain_folds",
     with_(LINE, PWH, FEAT)
     + """, rn AS (SELECT publication_id, ROW_NUMBER() OVER (ORDER BY date, publication_id) AS r, COUNT(*) OVER () AS n FROM ft)
-SELECT publication_id, CAST(CASE WHEN r <= n - 4 * (n // 5) THEN 0 ELSE (r - (n - 4 * (n // 5)) - 1) // (n // 5) + 1 END AS INTEGER) AS block FROM rn""",
+, b AS (SELECT publication_id, CAST(CASE WHEN r <= n - 4 * (n // 5) THEN 0 ELSE (r - (n - 4 * (n // 5)) - 1) // (n // 5) + 1 END AS INTEGER) AS block FROM rn)
+SELECT publication_id, block, CAST(fold AS INTEGER) AS fold, CASE WHEN block = fold THEN 'test' ELSE 'train' END AS role
+FROM b JOIN (SELECT unnest(range(1, 5)) AS fold) ON block <= fold""",
 )
 def forward_chain_folds(spark, d):
+    """Every fold's rows with their role: earlier blocks train, the fold's own block is the test."""
     f = _features(spark, d).select("publication_id", "date")
-    return SC.forward_chain_blocks(f, ["date", "publication_id"], 4).select("publication_id", "block")
+    return SC.forward_chain_folds(f, ["date", "publication_id"], 4).select("publication_id", "block", "fold", "role")
 
 
 GROUPS = """grp AS (SELECT p.publication_id, COALESCE(g.grp, '') AS author_group FROM pwh p LEFT JOIN
@@ -277,9 +289,12 @@ def anti_join_group_leakage(spark, d):
 # ------------------------------------------------------------- regression
 
 FEATURES = ["citation_count", "times_cited", "recent_citations", "field_citation_ratio", "relative_citation_ratio", "num_unique_orgs", "num_authors"]
-# smaller search space than the reference's (50-5000 trees, depth 3-15) so the
-# registered check stays a few minutes on one machine
-SMALL_SPACE = [{"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}, {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05}]
+#: draws of the search and trees of its rungs. The reference draws 80 from 50-5000 trees; here trees are bounded, depth too
+DRAWS, RUNGS, MAX_TREES = 10, (2, 5, 10), 10
+
+
+def _space():
+    return [{**p, "maxDepth": 3 + p["maxDepth"] % 4} for p in SC.draw_params(DRAWS)]
 
 
 @register("gbt_regression")
@@ -291,25 +306,37 @@ def gbt_regression(spark, d):
     return rounded(pred.select("publication_id", "altmetric_score", F.col("prediction").alias("predicted")))
 
 
+@register("gbt_error")
+def gbt_error(spark, d):
+    """Error of the trees' predictions for later publications against that of the training mean."""
+    f = cut_lineage(_features(spark, d))
+    train, test = f.filter(F.col("year") < 2000), f.filter(F.col("year") >= 2000)
+    model = SC.gbt_regression(train, FEATURES, "altmetric_score", {"maxIter": 10, "maxDepth": 4})
+    mean = train.agg(F.avg("altmetric_score")).first()[0]
+    y = F.col("altmetric_score")
+    rmse = lambda p: F.sqrt(F.avg((p - y) ** 2))
+    out = SC.gbt_predict(model, test, FEATURES).agg(F.count(F.lit(1)).alias("n"), rmse(F.col("prediction")).alias("rmse"), rmse(F.lit(mean)).alias("rmse_of_mean"))
+    return rounded(out.withColumn("better", F.col("rmse") < F.col("rmse_of_mean")))
+
+
 @register("hyperparameter_search")
 def hyperparameter_search(spark, d):
-    """Cross-validated choice among parameter draws with author-group folds; one row per candidate."""
+    """Successive halving over ten parameter draws with author-group folds; one row per candidate and rung."""
     f = _features(spark, d)
     g = N.author_group_key(_pw(spark, d)).select("publication_id", "author_group")
     tr = SC.group_folds(f.join(g, "publication_id"), "author_group", 3, "_fold")
-    cv = SC.hyperparameter_search(tr, FEATURES, "altmetric_score", "_fold", SMALL_SPACE, parallelism=2)
-    rows = [(i, float(m)) for i, m in enumerate(cv.avgMetrics)]
-    return spark.createDataFrame(rows, "candidate INT, mse DOUBLE")
+    _, _, rows = SC.hyperparameter_search(tr, FEATURES, "altmetric_score", "_fold", _space(), RUNGS, max_trees=MAX_TREES)
+    return spark.createDataFrame(rows, "candidate INT, rung INT, trees INT, mse DOUBLE")
 
 
 @register("nested_cv_predict")
 def nested_cv_predict(spark, d):
-    """Outer forward-chaining folds, leakage filter, scaling, inner group-fold search, predictions."""
+    """Outer forward-chaining folds, leakage filter, scaling, inner group-fold search over ten draws, predictions."""
     f = _features(spark, d)
     g = N.author_group_key(_pw(spark, d)).select("publication_id", "author_group")
     x = f.join(g, "publication_id")
     res = SC.nested_cv_predict(
         x, FEATURES, "altmetric_score", "publication_id", ["date", "publication_id"], "author_group",
-        n_outer=4, n_inner=3, space=SMALL_SPACE[:1],
+        n_outer=4, n_inner=3, space=_space(), rungs=(1, 4), max_trees=MAX_TREES,
     )
     return rounded(res)

@@ -205,11 +205,57 @@ def chunk_tokens(spark, d):
     )
 
 
-@register("embed_texts")
+_CHUNKS = f"""tk AS (SELECT doc_id, regexp_extract_all(lower(text), {WORD_RE}) AS tk FROM documents),
+tok AS (SELECT doc_id, t.w AS w, (t.i - 1) // 512 AS chunk FROM (SELECT doc_id, unnest(list_transform(tk, lambda w, i: {{'w': w, 'i': i}})) AS t FROM tk))"""
+
+
+def _vector_digest(df):
+    """(doc_id, dims, squared length, weighted sum) of embeddings."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    places = F.sequence(F.lit(1), F.size("embedding"))
+    weighted = F.zip_with("embedding", places, lambda x, i: x * i)
+    return rounded(df.select("doc_id", F.size("embedding").cast("long").alias("dims"), total(F.transform("embedding", lambda x: x * x)).alias("squares"), total(weighted).alias("checksum")))
+
+
+@register(
+    "embed_texts",
+    with_(_CHUNKS)
+    + """, h AS (SELECT doc_id, chunk, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS b, CASE WHEN CAST(('0x' || substr(md5(w), 9, 8)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM tok),
+v AS (SELECT doc_id, chunk, b, CAST(SUM(s) AS DOUBLE) AS x FROM h GROUP BY ALL),
+u AS (SELECT doc_id, b, x / NULLIF(sqrt(SUM(x * x) OVER (PARTITION BY doc_id, chunk)), 0) AS x FROM v),
+c AS (SELECT doc_id, COUNT(DISTINCT chunk) AS n FROM tok GROUP BY 1),
+e AS (SELECT doc_id, b, SUM(coalesce(x, 0)) / MIN(n) AS x FROM u JOIN c USING (doc_id) GROUP BY 1, 2)
+SELECT tk.doc_id, CAST(64 AS BIGINT) AS dims, ROUND(coalesce(SUM(x * x), 0), 6) AS squares, ROUND(coalesce(SUM(x * (b + 1)), 0), 6) AS checksum
+FROM tk LEFT JOIN e USING (doc_id) GROUP BY 1""",
+)
 def embed_texts(spark, d):
-    """Chunked texts, hashing encoder, mean-pooled per document (checked by a repo test)."""
+    """Chunked texts, signed feature hashing (md5), mean-pooled per document; every document has a vector."""
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    return _vector_digest(X.embed_texts(docs, "doc_id", "text", dim=64, chunk=512, hasher="md5"))
+
+
+def _word_lengths():
+    """A small model: number of tokens, of characters and of long tokens of each chunk."""
+    import numpy as np
+
+    def predict(texts):
+        words = [str(t).split(" ") for t in texts]
+        return np.array([[len(w), sum(map(len, w)), sum(len(x) > 6 for x in w)] for w in words], float)
+
+    return predict
+
+
+@register(
+    "embed_texts_model",
+    with_(_CHUNKS)
+    + """, v AS (SELECT doc_id, chunk, COUNT(*) AS a, SUM(length(w)) AS b, COUNT(*) FILTER (WHERE length(w) > 6) AS c FROM tok GROUP BY 1, 2),
+e AS (SELECT doc_id, AVG(a) AS a, AVG(b) AS b, AVG(c) AS c FROM v GROUP BY 1)
+SELECT tk.doc_id, CAST(3 AS BIGINT) AS dims, ROUND(coalesce(a * a + b * b + c * c, 0), 6) AS squares, ROUND(coalesce(a + 2 * b + 3 * c, 0), 6) AS checksum FROM tk LEFT JOIN e USING (doc_id)""",
+)
+def embed_texts_model(spark, d):
+    """The same chunks through a plugged-in batch model."""
     docs = S.table(spark, d, "documents").select("doc_id", "text")
-    return X.embed_texts(docs, "doc_id", "text", dim=64, chunk=512)
+    return _vector_digest(X.embed_texts(docs, "doc_id", "text", dim=3, chunk=512, encoder=_word_lengths))
 
 
 @register("group_concat_text", with_(T2) + "SELECT cluster, word, COUNT(*) AS n FROM t2 GROUP BY 1, 2")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegraph.session import cut_lineage
+
 CORRUPT = "_corrupt_record"
 
 
@@ -67,8 +69,8 @@ def scan_tolerant(spark: SparkSession, glob: str, schema: T.StructType) -> tuple
         .option("ignoreCorruptFiles", "true")
         .json(glob)
         .withColumn("_file", F.input_file_name())
-        .cache()
     )
+    df = cut_lineage(df)  # read twice: parsed once
     good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
     bad = df.filter(F.col(CORRUPT).isNotNull()).select("_file", CORRUPT)
     return good, bad
@@ -83,18 +85,17 @@ def scan_csv_shards(spark: SparkSession, glob: str, schema: T.StructType | str,
 def scan_csv_encoding_fallback(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Read as UTF-8; if any line is not valid UTF-8, read as ISO-8859-1 (#5).
 
-    The probe is a distributed filter with ``limit(1)`` over the raw lines:
-    it stops at the first bad line and moves no data to the driver.
+    Quotes inside a cell are doubled. The probes are distributed filters with
+    ``limit(1)`` over the raw lines: they stop at the first hit and move no
+    data to the driver. Only where a line has an odd number of quotes, so that
+    a cell goes over several lines, are files read whole (``multiLine``);
+    otherwise they are split like any text.
     """
-    probe = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    enc = "ISO-8859-1" if probe else "UTF-8"
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("encoding", enc)
-        .csv(path)
-    )
+    lines = spark.read.text(path)
+    latin = lines.filter(~F.is_valid_utf8("value")).limit(1).count()
+    broken = lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count()
+    reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", bool(broken)).option("encoding", "ISO-8859-1" if latin else "UTF-8").csv(path)
 
 
 def write_by_year(df: DataFrame, path: str, mode: str = "overwrite", sort_cols: tuple = ("node1", "node2")) -> None:
