@@ -78,3 +78,71 @@ def test_keep_first_brute_force(df, rows):
     for g, lst in by.items():
         negv, k = min(lst)
         assert got[g] == (k, -negv)
+
+
+def test_median_by_value_ranges(spark, df, rows):
+    """Few ranges and a small bound, so that the interval is narrowed several times; ties, one value, null keys and values."""
+    import statistics
+
+    by = defaultdict(list)
+    for g, _, v in rows:
+        by[g].append(v)
+    more = [("flat", 2.0)] * 40 + [("two", 1.0)] * 20 + [("two", 5.0)] * 20 + [(None, float(i)) for i in range(51)] + [("gone", None), ("wide", -1e12), ("wide", 1e12), *[("wide", i / 7) for i in range(60)]]
+    for g, v in more:
+        if v is not None:
+            by[g].append(v)
+    x = df.select("g", "v").union(spark.createDataFrame(more, "g STRING, v DOUBLE"))
+    got = {r["g"]: r["m"] for r in A.exact_median(x, "g", "v", "m", bins=4, small=6).collect()}
+    assert got.keys() == by.keys()
+    assert all(got[g] == pytest.approx(statistics.median(v)) for g, v in by.items())
+    plan = A.exact_median(x, "g", "v", "m")._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_search_by_successive_halving(spark):
+    from citegraph.operators import scoring as SC
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        a, b = rnd.random(), rnd.random()
+        rows.append((i, i % 3, None if i % 9 == 0 else a, b, 3 * a + (b > 0.5) + rnd.gauss(0, 0.05)))
+    df = spark.createDataFrame(rows, "id INT, fold INT, a DOUBLE, b DOUBLE, y DOUBLE")
+    space = [{**p, "maxIter": 6, "maxDepth": 2 + i % 3} for i, p in enumerate(SC.draw_params(10))]
+    model, best, table = SC.hyperparameter_search(df, ["a", "b"], "y", "fold", space, rungs=(1, 3, 50), max_trees=8)
+    per = [[r for r in table if r[1] == k] for k in range(3)]
+    assert [len(x) for x in per] == [10, 4, 2] and {r[2] for r in per[2]} == {6}
+    for earlier, later in zip(per, per[1:]):
+        kept = {r[0] for r in later}
+        assert max(r[3] for r in earlier if r[0] in kept) <= min(r[3] for r in earlier if r[0] not in kept)
+    assert best == space[min(per[2], key=lambda r: (r[3], r[0]))[0]]
+    pred = SC.gbt_predict(model, df, ["a", "b"]).select("y", "prediction").collect()
+    mean = sum(r["y"] for r in pred) / len(pred)
+    assert sum((r["prediction"] - r["y"]) ** 2 for r in pred) < 0.5 * sum((mean - r["y"]) ** 2 for r in pred)
+
+
+def test_principal_components_against_numpy(spark):
+    from citegraph.operators import consensus as K
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 6)) @ np.diag([5, 4, 3, 2, 1, 0.5]) + 7
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id INT, vec ARRAY<DOUBLE>")
+    got = np.array([r["score"] for r in K.pca_project(v, 4).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = (u * s)[:, :4]
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_embeddings_of_texts_without_tokens(spark):
+    from citegraph.operators import text as X
+
+    docs = spark.createDataFrame([(1, "one two two " * 300), (2, ""), (3, None), (4, "!!")], "doc_id INT, text STRING")
+    got = {r["doc_id"]: r["embedding"] for r in X.embed_texts(docs, "doc_id", "text", dim=16, chunk=100).collect()}
+    assert got.keys() == {1, 2, 3, 4} and all(v == [0.0] * 16 for k, v in got.items() if k > 1)
+    assert 0 < sum(x * x for x in got[1]) <= 1 + 1e-9
+
+    def model():
+        return lambda texts: np.array([[len(str(t).split()), 1.0] for t in texts])
+
+    got = {r["doc_id"]: r["embedding"] for r in X.embed_texts(docs, "doc_id", "text", dim=2, chunk=512, encoder=model).collect()}
+    assert got[1] == pytest.approx([450.0, 1.0]) and got[2] == got[3] == got[4] == [0.0, 0.0]

@@ -185,7 +185,7 @@ def test_consensus_cluster_finds_planted_groups(spark, algo, metric):
     for p in range(2):
         lab = {r.id: r.cluster for r in got if r.perm == p and r.k == 3}
         assert len({(i % 3, c) for i, c in lab.items()}) == 3
-    for wrong in ({"algo": "spectral"}, {"metric": "hamming"}):
+    for wrong in ({"algo": "hierarchic"}, {"metric": "hamming"}):
         with pytest.raises(ValueError):
             K.consensus_cluster(df, [2], **wrong)
 
