@@ -3,26 +3,29 @@
 Words are runs of ASCII letters, apostrophes and non-ASCII characters (A-Z
 folded); clauses end at . ! ? ; and newlines. Transducers over a clause:
 
-- the insult lexicon maps a word to its weight (lower confidence bound of the
-  log ratio of its document rates in toxic and clean training texts; whole
-  words, or prefixes where a prefix says as much);
-- the threat lexicon maps the verbs of ``THREATS`` to the threat class, learned
-  weight or not; a threat adds its bonus once a personal target is seen too;
-- the negation transducer is open for ``SCOPE`` words after a negator and
-  damps insults and threats in its scope;
-- the reported-speech transducer opens at a reporting verb or quote and damps
-  what follows in the clause;
-- the target transducer remembers a personal target and adds its bonus once
-  an insult or a threat with a learned weight has been seen.
-
-Their composition runs over a clause as one automaton whose state is (words
-left in the negation's scope, reported, target seen, hit seen, threat seen) and
-whose arcs carry the weights. Only clauses with a lexicon hit are run. A document's
-score is a logistic function of its best and its summed clause weights.
-
-Lexicon weights come from three quarters of the labelled sample (part 0);
-the factor of negation, that of reported speech, bonuses and logistic weights from the rest. The sample has at most
-``MAX_LABELLED`` labelled documents, by a hash of doc_id.
+- the lexicon maps a word to a class and a weight: insults and their weights
+  (lower confidence bound of the log ratio of their document rates in toxic and
+  clean training texts; whole words, or prefixes where a prefix says as much),
+  threat verbs in their forms (``THREATS``, with a weight where they are
+  learned too), targets, negators, reporting verbs, quotation marks;
+- ``negation`` counts ``SCOPE`` words down from a negator and marks the hits in
+  its scope;
+- ``reported`` marks hits after a reporting verb up to the clause's end, and
+  hits between quotation marks;
+- ``aim`` remembers a personal target, a weighted hit and the least marked
+  threat; its final states carry the target's bonus (hit and target) and the
+  threat's bonus (threat and target).
+
+Each is a table of arcs (state, input label) -> (state, output label), a label
+being a class with its marks. ``compose`` builds the automaton of all three
+from the tables; a hit's weight is multiplied by the factor of each mark on
+its arc, final bonuses by those of the threat. Only clauses with a hit are
+run. A document's score is a logistic function of its best and its summed
+clause weights.
+
+Lexicon weights come from three quarters of the labelled sample (part 0); the
+factors of negation and reported speech, bonuses and logistic weights from the
+rest. The sample has at most ``MAX_LABELLED`` labelled rows, by a hash of doc_id.
 
 Edge cases: null and empty texts match nothing and get the score of no match;
 without labels of both kinds every score is 0; a null doc_id is not held out
@@ -45,8 +48,6 @@ from citegraph.llm.textscan import Texts, chunks
 
 #: labelled documents that the grammar is learned from, at most
 MAX_LABELLED = 30_000
-#: entries of the insult and threat lexicons, at most
-MAX_TERMS = 20_000
 #: an entry is in this many toxic documents of its part; the lower bound of its log ratio, DEVIATIONS below
 #: the estimate, is MIN_WEIGHT at least (one toxic document in ten: six toxic and no clean ones do, in any sample)
 MIN_TOXIC, DEVIATIONS = 4, 1.64
@@ -59,7 +60,14 @@ THRESHOLD = 0.3
 NEGATORS = "not no never don't isn't aren't nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTING = "said says wrote called claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 TARGETS = "you your you're u he she they them du dich dein ihr sie tu toi vous votre ils elles tú usted ustedes ellos".split()
-THREATS = "kill hurt destroy burn shoot stab töten verletzen tuer blesser matar herir".split()
+#: stems of threat verbs of each language, and the endings that their forms have
+THREAT_STEMS = (
+    ("kill hurt destroy burn shoot stab", "- s ed ing er ers"),
+    ("töt verletz", "en e st t et est te tet ten test end"),
+    ("tu bless", "er e ons ez ent é ée és erai eras era erons erez eront ait"),
+    ("mat her", "ar ir o as an é ó aré iré ará irá arás irás aremos arán irán ando ado ido"),
+)
+THREATS = [stem + ending.strip("-") for stems, endings in THREAT_STEMS for stem in stems.split() for ending in endings.split()] + "shot stabbed stabbing shooting hiero hiere hieren hirió".split()
 
 _WORD = np.zeros(256, bool)
 _WORD[[39, *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -67,7 +75,10 @@ _END = np.zeros(256, bool)
 _END[[10, 33, 46, 59, 63]] = True
 WORD_PATTERN = r"[A-Za-z'\x{80}-\x{10FFFF}]+"
 
-PLAIN, INSULT, THREAT, TARGET, NEGATOR, REPORT = range(6)
+#: classes of words; a threat verb with a learned weight is ARMED
+PLAIN, INSULT, THREAT, TARGET, NEGATOR, REPORT, QUOTE, ARMED = range(8)
+CLASSES = range(8)
+HITS = (INSULT, THREAT, ARMED)
 
 
 @dataclass
@@ -87,31 +98,105 @@ class Grammar:
 CLEAR, NEGATED, REPORTED, THREATENED = 1, 2, 4, 8
 
 
+#: what a hit was marked with
+NO_MARK, NEG, REP = frozenset(), "negated", "reported"
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Deterministic arcs (state, label) -> (state, label) from ``start``; ``final``: bonuses (name, marks) of end states."""
+
+    start: object
+    arcs: dict
+    final: dict
+
+
+def _table(start, labels, step, final=lambda state: ()) -> Transducer:
+    """The arcs that can be reached, from a step function over states and labels."""
+    arcs, todo, seen = {}, [start], {start}
+    while todo:
+        state = todo.pop()
+        for label in labels:
+            arcs[state, label] = step(state, label)
+            if arcs[state, label][0] not in seen:
+                seen.add(arcs[state, label][0])
+                todo.append(arcs[state, label][0])
+    return Transducer(start, arcs, {s: final(s) for s in seen})
+
+
+def _marked(label, mark, on: bool):
+    kind, marks = label
+    return (kind, marks | {mark}) if on and kind in HITS else label
+
+
+def negation(labels) -> Transducer:
+    """States 0 .. SCOPE: words that are left in a negator's scope."""
+    return _table(0, labels, lambda left, label: (SCOPE if label[0] == NEGATOR else max(0, left - 1), _marked(label, NEG, left > 0)))
+
+
+def reported(labels) -> Transducer:
+    """States (after a reporting verb, between quotation marks)."""
+
+    def step(state, label):
+        verb, quoted = state
+        return (verb or label[0] == REPORT, quoted != (label[0] == QUOTE)), _marked(label, REP, verb or quoted)
+
+    return _table((False, False), labels, step)
+
+
+def aim(labels) -> Transducer:
+    """States (target seen, weighted hit seen, marks of the least marked threat)."""
+
+    def step(state, label):
+        target, hit, threat = state
+        kind, marks = label
+        if kind in (THREAT, ARMED) and (threat is None or len(marks) < len(threat)):
+            threat = marks
+        return (target or kind == TARGET, hit or kind in (INSULT, ARMED), threat), label
+
+    def final(state):
+        target, hit, threat = state
+        return ((("target", NO_MARK),) if target and hit else ()) + ((("threat", threat),) if target and threat is not None else ())
+
+    return _table((False, False, None), labels, step, final)
+
+
+def compose(first: Transducer, second: Transducer, labels) -> Transducer:
+    """The transducer that feeds what ``first`` writes to ``second``."""
+
+    def step(state, label):
+        one, written = first.arcs[state[0], label]
+        two, out = second.arcs[state[1], written]
+        return (one, two), out
+
+    return _table((first.start, second.start), labels, step, lambda state: first.final[state[0]] + second.final[state[1]])
+
+
+def grammar_automaton() -> Transducer:
+    """negation, reported and aim over the plain classes, as one table."""
+    plain = [(k, NO_MARK) for k in CLASSES]
+    after = [*plain, *[(k, frozenset({NEG})) for k in HITS]]
+    every = [*after, *[(k, m) for k in HITS for m in (frozenset({REP}), frozenset({NEG, REP}))]]
+    return compose(compose(negation(plain), reported(after), plain), aim(every), plain)
+
+
+AUTOMATON = grammar_automaton()
+
+
 def run_clause(symbols: list[tuple[int, float]], g: Grammar) -> tuple[float, int]:
     """Weight of a clause under the composed transducers; flags of the hits that it holds."""
-    scope, reported, target, hit, paid = 0, False, False, False, False
-    total, flags = 0.0, 0
-    threat, threat_flags, threatened = 0.0, 0, False
+    state, total, flags, arcs = AUTOMATON.start, 0.0, 0, AUTOMATON.arcs
+    factor = lambda marks: (g.negated if NEG in marks else 1.0) * (g.reported if REP in marks else 1.0)
+    seen = lambda marks: (NEGATED if NEG in marks else 0) | (REPORTED if REP in marks else 0) or CLEAR
     for kind, weight in symbols:
-        if kind in (INSULT, THREAT):
-            factor = (g.negated if scope else 1.0) * (g.reported if reported else 1.0)
-            seen = (NEGATED if scope else 0) | (REPORTED if reported else 0) or CLEAR
-            if weight > 0:
-                total += weight * factor
-                flags |= seen
-                hit = True
-            if kind == THREAT and factor > threat:
-                threat, threat_flags = factor, seen
-        elif kind == TARGET:
-            target = True
-        elif kind == REPORT:
-            reported = True
-        scope = SCOPE if kind == NEGATOR else max(0, scope - 1)
-        if hit and target and not paid:
-            total, paid = total + g.target, True
-        threatened = threatened or (target and threat > 0)
-    if threatened:
-        total, flags = total + g.threat * threat, flags | threat_flags | THREATENED
+        state, (_, marks) = arcs[state, (ARMED if kind == THREAT and weight > 0 else kind, NO_MARK)]
+        if weight > 0:
+            total += weight * factor(marks)
+            flags |= seen(marks)
+    for bonus, marks in AUTOMATON.final[state]:
+        total += getattr(g, bonus) * factor(marks)
+        if bonus == "threat":
+            flags |= seen(marks) | THREATENED
     return total, flags
 
 
@@ -167,10 +252,11 @@ class Matcher:
                 lo -= 1
             while hi + 1 < len(doc) and doc[hi + 1] == doc[i] and ends[hi + 1] == ends[i]:
                 hi += 1
-            symbols, before = [], start[lo]
+            symbols, before = [], end[lo - 1] if lo and doc[lo - 1] == doc[i] else t.off[doc[i]]
+            cuts = np.flatnonzero(_END[t.data[before : start[lo]]])
+            before += int(cuts[-1]) + 1 if len(cuts) else 0  # marks before the clause's first word
             for j in range(lo, hi + 1):
-                if (t.data[before : start[j]] == 34).any():
-                    symbols.append((REPORT, 0.0))
+                symbols += [(QUOTE, 0.0)] * int((t.data[before : start[j]] == 34).sum())
                 before = end[j]
                 if threat[j] or weight[j] > 0:
                     symbols.append((THREAT if threat[j] else INSULT, float(weight[j])))
@@ -209,6 +295,7 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFra
     y = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), folds) != held)
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # MAX_LABELLED rows of 12 bytes
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(MAX_LABELLED)  # where doc_ids repeat
     return rows.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)) == 0).cast("int").alias("part"))
 
 
@@ -220,15 +307,15 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     if not n_t or not n_c:
         return {}, {}
     keys = F.array(F.struct(F.lit(0).alias("len"), F.col("w").alias("term")), *[F.struct(F.lit(n).alias("len"), F.substring("w", 1, n).alias("term")) for n in PREFIXES])
-    terms = per.filter(F.length("w") <= 64).select(F.explode(keys).alias("k"), "t", "c").filter("k.len = 0 OR length(k.term) = k.len")
+    terms = per.select(F.explode(keys).alias("k"), "t", "c").filter("k.len = 0 OR length(k.term) = k.len")
     ratio = F.log((F.col("t") + 0.5) / (n_t + 1)) - F.log((F.col("c") + 0.5) / (n_c + 1))
     bound = ratio - DEVIATIONS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     top = (
         terms.groupBy("k.len", "k.term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("v", bound)
-        .filter((F.col("t") >= MIN_TOXIC) & (F.col("v") >= MIN_WEIGHT)).orderBy(F.desc("t"), F.desc("v"), "len", "term").limit(MAX_TERMS).collect()
-    )
+        .filter((F.col("t") >= MIN_TOXIC) & (F.col("v") >= MIN_WEIGHT)).collect()
+    )  # as many as MAX_LABELLED texts have words in MIN_TOXIC of them
     prefixes, words_ = {}, {}
-    for r in sorted(top, key=lambda r: (r["len"] == 0, r["len"])):
+    for r in sorted(top, key=lambda r: (r["len"] == 0, r["len"], r["term"])):
         shorter = max((prefixes[r["term"][:n]] for n in PREFIXES if (r["len"] == 0 or n < r["len"]) and r["term"][:n] in prefixes), default=0)
         if shorter < r["v"] - 0.7:
             (prefixes if r["len"] else words_)[r["term"]] = float(r["v"])
