@@ -294,8 +294,10 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFra
     """(text, toxic, part) of at most MAX_LABELLED labelled documents outside the held-out fold."""
     y = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), folds) != held)
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # MAX_LABELLED rows of 12 bytes
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(MAX_LABELLED)  # where doc_ids repeat
+    # the rows are chosen by doc_id and text hash, so that a doc_id in very many rows fills no task with texts
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    keys = keyed.select("doc_id", "_h").join(F.broadcast(y), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(MAX_LABELLED)
+    rows = keyed.join(F.broadcast(keys), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h"])  # MAX_LABELLED rows of 20 bytes
     return rows.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)) == 0).cast("int").alias("part"))
 
 
