@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm.pu_quality import fold
+from citegraph.operators.windows import topk_per_group
 from citegraph.llm.textscan import Texts, chunks, mix
 
 #: labelled documents that the model is fitted on, at most
 MAX_LABELLED = 800
+#: of them from each language, where it has as many
+FIRST = 20
 BUCKETS = 1 << 17
 BLOCK = 64
 ROUNDS = 25
@@ -213,8 +216,13 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 def learn(docs: DataFrame, folds: int, held: int) -> Model:
     kept = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).filter(fold(F.col("doc_id"), folds) != held)
-    ids = kept.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(MAX_LABELLED).select("doc_id").distinct()
-    rows = kept.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").collect()  # MAX_LABELLED documents
+    # one row for each doc_id, the first FIRST of every language before the others, all by hash
+    keyed = kept.select("doc_id", "lang", "text", F.xxhash64("text").alias("_t"))
+    one = keyed.groupBy("doc_id").agg(F.min(F.struct("_t", "lang")).alias("_m")).select("doc_id", "_m.*").withColumn("_h", -F.xxhash64("doc_id"))
+    few = topk_per_group(one, "lang", "_h", "doc_id", FIRST).select("doc_id", F.lit(True).alias("_few"))
+    ids = one.join(few, "doc_id", "left").orderBy(F.col("_few").isNull(), F.desc("_h"), "doc_id").limit(MAX_LABELLED).select("doc_id", "_t", "lang")
+    chosen = keyed.join(F.broadcast(ids), ["doc_id", "_t", "lang"]).dropDuplicates(["doc_id"])
+    rows = chosen.select("doc_id", "text", "lang").collect()  # MAX_LABELLED documents
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
