@@ -2,7 +2,7 @@
 
 Join strategy is Catalyst's (AQE switches to broadcast at run time when a
 side turns out small). Explicit ``broadcast`` is used only for dimension
-tables whose size is checked (``bounded_broadcast``).
+tables that the optimiser measures.
 """
 
 from __future__ import annotations
@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 
 from citegraph.operators.windows import row_number_global
 
-# Dimension tables (lookups, per-graph scalars) above this many rows are
-# shuffle-joined instead of broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only when its counted size is below ``max_rows``."""
-    return F.broadcast(dim) if dim.count() <= max_rows else dim
-
-
 def filter_to_known(counts: DataFrame, pubs: DataFrame, key: str, pub_key: str | None = None) -> DataFrame:
     """Keep count rows whose publication exists (#43); publications are unique, so a semi-join."""
     pk = pub_key or key

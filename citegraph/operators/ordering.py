@@ -22,16 +22,6 @@ def offset_slice(df: DataFrame, order: list, offset: int, n: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(n)
 
 
-def pairwise_k_extreme(d: DataFrame, k: int, largest: bool = False, i: str = "i", j: str = "j", dist: str = "dist") -> DataFrame:
-    """k smallest (or largest) distances per column ``j`` of a long distance table (#99)."""
-    from citegraph.operators.windows import topk_per_group
-
-    if largest:
-        return topk_per_group(d, j, dist, i, k)
-    neg = d.withColumn("_neg", -F.col(dist))
-    return topk_per_group(neg, j, "_neg", i, k).drop("_neg")
-
-
 def sample_fraction(df: DataFrame, frac: float, seed: int, key: str | None = None) -> DataFrame:
     """Random sample of rows (#100).
 
