@@ -10,8 +10,8 @@ k-means parameter, not the data size.
 * clustering every (permutation, k, restart) (#130, #131) is one job over all
   of them: items are assigned to their nearest centre or medoid by a join and
   a minimum, centres are updated by an aggregate;
-* spectral (#132) and modularity (#133) clustering work on the distances of
-  each subsample's items;
+* spectral (#132), modularity (#133) and affinity (#134) clustering work on
+  the distances of each subsample's items;
 * the co-association matrix (#135) compares two items' bits over all
   permutations at once; items meet in a grid of blocks;
 * PAC, CDF area, histogram, bimodality, dip (#136-#140) are aggregations
@@ -303,8 +303,8 @@ def consensus_cluster(
 
     algo 'kmeans' (#130): centres are means of their members; 'pam' (#131):
     centres are the members with the smallest distance to the others;
-    'spectral' (#132) and 'modularity' (#133): see ``spectral_cluster`` and
-    ``modularity_cluster``. All
+    'spectral' (#132), 'modularity' (#133) and 'affinity' (#134): see
+    ``spectral_cluster``, ``modularity_cluster`` and ``affinity_cluster``. All
     runs (permutation, k, restart) advance in the same jobs, each round
     written once; a run is settled when its assignment repeats, all stop when
     every run is settled or after ``max_iter`` rounds. The restart with the
@@ -317,6 +317,8 @@ def consensus_cluster(
         return spectral_cluster(sv, ks, metric, seed=seed, id_col=id_col, vec=vec)
     if algo == "modularity":
         return modularity_cluster(sv, metric, max_iter, id_col, vec)
+    if algo == "affinity":
+        return affinity_cluster(affinity_exemplars(sv, ks, metric, id_col, vec), id_col)
     if algo not in ("kmeans", "pam"):
         raise ValueError(f"unknown algorithm {algo}")
     distance("a", "a", metric)
@@ -469,6 +471,26 @@ def modularity_cluster(sv: DataFrame, metric: str = "correlation", max_iter: int
     return found.join(names, ["perm", "community"]).join(k, "perm").select("perm", "k", F.col("node").alias(id_col), F.col("cluster").cast("int").alias("cluster"))
 
 
+def affinity_exemplars(sv: DataFrame, ks: list[int], metric: str = "cosine", id_col: str = "id", vec: str = "vec", **search) -> DataFrame:
+    """(perm, k, i, exemplar, preference, n_clusters, exact): affinity propagation of every subsample for every k (#134).
+
+    A similarity is the negative distance; see ``affinity.affinity_clusters``.
+    """
+    from citegraph.operators.affinity import affinity_clusters
+    from citegraph.session import cut_lineage
+
+    half = cut_lineage(subsample_distances(sv, metric, id_col, vec).select("perm", "i", "j", (-F.col("dist")).alias("s")))
+    both = half.unionByName(half.select("perm", F.col("j").alias("i"), F.col("i").alias("j"), "s"))
+    return affinity_clusters(both, ks, "perm", **search)
+
+
+def affinity_cluster(exemplars: DataFrame, id_col: str = "id") -> DataFrame:
+    """L(perm, k, id, cluster): clusters numbered from 0 in the order of their exemplars (#134)."""
+    names = exemplars.select("perm", "k", "exemplar").distinct()
+    names = names.withColumn("cluster", F.row_number().over(W.partitionBy("perm", "k").orderBy("exemplar")) - 1)
+    return exemplars.join(names, ["perm", "k", "exemplar"]).select("perm", "k", F.col("i").alias(id_col), "cluster")
+
+
 # ------------------------------------------------------------------- #135
 
 

@@ -31,8 +31,6 @@ P_ITEM = 0.5
 KS = [k for k in K.REFERENCE_K_RANGE if k < N_CENTROIDS * P_ITEM]
 # restarts of each subsample's clustering (the operator's default is the reference's 20); rounds go on until nothing moves
 REPS = 4
-# rounds of affinity propagation at a preference (the operator's default is the reference's 2000)
-AP_ROUNDS = 60
 
 
 def _stage(spark, d, name, build):
@@ -146,6 +144,24 @@ def consensus_cluster_modularity(spark, d):
     return K.consensus_cluster(_few_subsamples(spark, d), [], "modularity", "correlation")
 
 
+def _affinity(spark, d):
+    return _stage(spark, d, "affinity", lambda: cut_lineage(K.affinity_exemplars(_sv(spark, d), KS)))
+
+
+@register("consensus_cluster_affinity")
+def consensus_cluster_affinity(spark, d):
+    """Affinity propagation of every subsample to every k."""
+    return K.affinity_cluster(_affinity(spark, d))
+
+
+@register("exemplar_frequency")
+def exemplar_frequency(spark, d):
+    """Share of the subsamples in which a centroid is an exemplar, per k."""
+    from citegraph.operators.affinity import exemplar_frequency as frequency
+
+    return rounded(frequency(_affinity(spark, d), PERMS))
+
+
 LABELS = """items AS (SELECT s_suppkey AS id FROM supplier), perms AS (SELECT CAST(unnest(range(70)) AS INTEGER) AS perm),
 held AS (SELECT perm, id FROM items CROSS JOIN perms WHERE (id * 7 + perm * 13) % 3 <> 0),
 lab AS (SELECT perm, k, id, (id * (perm % 11 + 1) + perm) % k AS cluster FROM held CROSS JOIN (VALUES (2), (3), (5)) AS v(k))"""
@@ -414,14 +430,14 @@ def _exemplars(spark, d):
         c = _coassoc(spark, d).filter(F.col("k") == k)
         s = cut_lineage(c.select("i", "j", F.coalesce("consensus", F.lit(0.0)).alias("s")))
         sim = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
-        return cut_lineage(apk(sim, k, stages=4, damping=0.7, maxits=AP_ROUNDS, convits=10))
+        return cut_lineage(apk(sim, k))
 
     return _stage(spark, d, "exemplars", build)
 
 
 @register("affinity_propagation_k")
 def affinity_propagation_k(spark, d):
-    """Exactly k exemplars of the consensus matrix, by affinity propagation as DataFrame rounds."""
+    """Exactly k exemplars of the consensus matrix, by affinity propagation."""
     return rounded(_exemplars(spark, d))
 
 

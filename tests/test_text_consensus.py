@@ -190,7 +190,7 @@ def test_consensus_cluster_finds_planted_groups(spark, algo, metric):
             K.consensus_cluster(df, [2], **wrong)
 
 
-@pytest.mark.parametrize("k", [3])
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 12])
 def test_affinity_gives_exactly_k(spark, k):
     from citegraph.operators.affinity import affinity_propagation_k
 
@@ -198,7 +198,7 @@ def test_affinity_gives_exactly_k(spark, k):
     x = np.r_[[rng.normal(c, 0.2, 2) for c in (0, 3, 6, 9) for _ in range(3)]]
     rows = [(i, j, -float(((x[i] - x[j]) ** 2).sum())) for i in range(12) for j in range(12) if i != j]
     sim = spark.createDataFrame(rows, "i INT, j INT, s DOUBLE")
-    got = affinity_propagation_k(sim, k, grid=6, stages=4, damping=0.7, maxits=40, convits=10).collect()
+    got = affinity_propagation_k(sim, k).collect()
     assert len(got) == 12 and all(r.exact for r in got) and len({r.exemplar for r in got}) == k
 
 
