@@ -7,7 +7,8 @@ k-means parameter, not the data size.
 
 * subsampling (#128) is a hash ranking per permutation (reproducible under
   task retry);
-* clustering every (permutation, k, restart) (#130, #131) is one job over all
+* clustering every (permutation, k, restart) (#130, #131) is one task for each
+  permutation while a subsample fits one; beyond that one job a round over all
   of them: items are assigned to their nearest centre or medoid by a join and
   a minimum, centres are updated by an aggregate;
 * spectral (#132), modularity (#133) and affinity (#134) clustering work on
@@ -288,6 +289,88 @@ def _nearest(pairs: DataFrame, id_col: str) -> DataFrame:
     return pairs.groupBy(*RUN, id_col).agg(best).select(*RUN, id_col, "_b.cluster", "_b.dist")
 
 
+def distances_to(v, c, metric: str):
+    """``distance`` of every row of the matrix ``v`` to every row of ``c``."""
+    import numpy as np
+
+    def unit(x):
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norm > 0, norm, 1)
+
+    if metric == "cosine":
+        return 1 - unit(v) @ unit(c).T
+    if metric == "correlation":
+        centred = lambda x: unit(x - x.mean(1, keepdims=True))
+        return 1 - np.maximum(centred(v) @ centred(c).T, 0)
+    square = np.stack([((v - row) ** 2).sum(1) for row in c], 1)
+    if metric == "euclidean":
+        return np.sqrt(square)
+    if metric == "sqeuclidean":
+        return square
+    if metric == "eta":
+        total = v.sum(1)[:, None] + c.sum(1)[None, :]
+        spread = (v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - total * total / (2 * v.shape[1])
+        return np.where(spread > 0, square / 2 / np.where(spread > 0, spread, 1), 0.0)
+    raise ValueError(f"unknown distance {metric}; one of {METRICS}")
+
+
+def _settle(v, apart, first, metric: str, max_iter: int):
+    """(cost, cluster of every item) of one run from the items ``first``; ``apart`` are the items' distances for 'pam', else None."""
+    import numpy as np
+
+    centres, before, at = v[first], None, np.array(first)
+    for _ in range(max_iter):
+        d = distances_to(v, centres, metric) if apart is None else apart[:, at]
+        near = d.argmin(1)
+        if before is not None and (near == before).all():
+            break
+        before = near
+        for c in range(len(first)):
+            mine = np.flatnonzero(near == c)
+            if not len(mine):  # a centre without members keeps its place
+                continue
+            if apart is None:
+                centres[c] = v[mine].mean(0)
+            else:
+                at[c] = mine[apart[np.ix_(mine, mine)].sum(1).argmin()]
+    return float(d[np.arange(len(v)), near].sum()), near
+
+
+def _clusters_in_tasks(items: DataFrame, ks: list[int], algo: str, metric: str, max_iter: int, reps: int, seed: int, id_col: str) -> DataFrame:
+    """``consensus_cluster`` with all runs of a subsample in one task; items: (perm, id, a)."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    def run(rows):
+        rows = rows.sort_values(id_col, ignore_index=True)
+        v = np.array(rows["a"].tolist(), dtype=float)
+        apart, names, perm = distances_to(v, v, metric) if algo == "pam" else None, rows["_name"].tolist(), rows["perm"][0]
+        if apart is not None:
+            np.fill_diagonal(apart, 0.0)
+        # the order of ``_starts``
+        drawn = lambda key: int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:8], 16)
+        out = []
+        for k in ks:
+            if not 1 <= k <= len(v):
+                continue
+            best = None
+            for rep in range(reps):
+                order = sorted(range(len(v)), key=lambda i: (drawn(f"{names[i]}:{perm}:{k}:{rep}"), i))
+                cost, near = _settle(v, apart, order[:k], metric, max_iter)
+                if best is None or cost < best[0]:
+                    best = (cost, near)
+            out.append(pd.DataFrame({"perm": rows["perm"], "k": k, id_col: rows[id_col], "cluster": best[1]}))
+        return pd.concat(out) if out else pd.DataFrame({"perm": [], "k": [], id_col: [], "cluster": []})
+
+    kind = lambda c: items.schema[c].dataType.simpleString()
+    x = items.select("perm", id_col, "a", F.col(id_col).cast("string").alias("_name"))
+    # few bytes mean long work: the number of tasks is set, not left to the rows' bytes
+    x = x.repartition(4 * items.sparkSession.sparkContext.defaultParallelism, "perm")
+    return x.groupBy("perm").applyInPandas(run, f"perm {kind('perm')}, k int, {id_col} {kind(id_col)}, cluster int")
+
+
 def consensus_cluster(
     sv: DataFrame,
     ks: list[int],
@@ -298,15 +381,18 @@ def consensus_cluster(
     seed: int = 42,
     id_col: str = "id",
     vec: str = "vec",
+    task_values: int = 20_000_000,
 ) -> DataFrame:
     """Cluster every permutation's subsample for every k: L(perm, k, id, cluster).
 
     algo 'kmeans' (#130): centres are means of their members; 'pam' (#131):
     centres are the members with the smallest distance to the others;
     'spectral' (#132), 'modularity' (#133) and 'affinity' (#134): see
-    ``spectral_cluster``, ``modularity_cluster`` and ``affinity_cluster``. All
-    runs (permutation, k, restart) advance in the same jobs, each round
-    written once; a run is settled when its assignment repeats, all stop when
+    ``spectral_cluster``, ``modularity_cluster`` and ``affinity_cluster``.
+    Where no subsample has more than ``task_values`` numbers (its vectors, with
+    'pam' its distances), each is one task's, which does its runs one after the
+    other; beyond, all runs (permutation, k, restart) advance in the same jobs,
+    each round written once. A run is settled when its assignment repeats, all stop when
     every run is settled or after ``max_iter`` rounds. The restart with the
     lowest cost is kept, the first of equals. A centre without members keeps
     its place. Unknown algorithms and metrics raise.
@@ -323,6 +409,9 @@ def consensus_cluster(
         raise ValueError(f"unknown algorithm {algo}")
     distance("a", "a", metric)
     items = sv.select("perm", F.col(id_col), F.col(vec).cast("array<double>").alias("a"))
+    size = items.groupBy("perm").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("a")).alias("v")).agg(F.max("n").alias("n"), F.max("v").alias("v")).first()
+    if max(size["v"] or 0, (size["n"] or 0) ** 2 if algo == "pam" else 0) <= task_values:
+        return _clusters_in_tasks(items, ks, algo, metric, max_iter, reps, seed, id_col)
     # cosine: unit vectors on both sides, so that a distance is one dot product
     unit = lambda v: normalise_rows(v.withColumn("u", F.col("a")), "u") if metric == "cosine" else v.withColumn("u", F.col("a"))
     items = cut_lineage(unit(items))

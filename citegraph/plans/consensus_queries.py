@@ -26,11 +26,11 @@ from citegraph.session import cut_lineage
 # chain parameters (the reference's run: 1000 centroids, 1000 permutations, p = 0.5);
 # of the reference's k all that a subsample can have
 N_CENTROIDS = 100
-PERMS = 64
+PERMS = 250
 P_ITEM = 0.5
 KS = [k for k in K.REFERENCE_K_RANGE if k < N_CENTROIDS * P_ITEM]
-# restarts of each subsample's clustering (the operator's default is the reference's 20); rounds go on until nothing moves
-REPS = 4
+# permutations of affinity propagation
+AP_PERMS = 64
 
 
 def _stage(spark, d, name, build):
@@ -60,7 +60,7 @@ def _sv(spark, d):
 
 
 def _labels(spark, d, algo="kmeans"):
-    return _stage(spark, d, f"labels_{algo}", lambda: cut_lineage(K.consensus_cluster(_sv(spark, d), KS, algo=algo, reps=REPS)))
+    return _stage(spark, d, f"labels_{algo}", lambda: cut_lineage(K.consensus_cluster(_sv(spark, d), KS, algo=algo)))
 
 
 def _coassoc(spark, d):
@@ -145,7 +145,7 @@ def consensus_cluster_modularity(spark, d):
 
 
 def _affinity(spark, d):
-    return _stage(spark, d, "affinity", lambda: cut_lineage(K.affinity_exemplars(_sv(spark, d), KS)))
+    return _stage(spark, d, "affinity", lambda: cut_lineage(K.affinity_exemplars(_sv(spark, d).filter(F.col("perm") < AP_PERMS), KS)))
 
 
 @register("consensus_cluster_affinity")
@@ -159,7 +159,7 @@ def exemplar_frequency(spark, d):
     """Share of the subsamples in which a centroid is an exemplar, per k."""
     from citegraph.operators.affinity import exemplar_frequency as frequency
 
-    return rounded(frequency(_affinity(spark, d), PERMS))
+    return rounded(frequency(_affinity(spark, d), AP_PERMS))
 
 
 LABELS = """items AS (SELECT s_suppkey AS id FROM supplier), perms AS (SELECT CAST(unnest(range(70)) AS INTEGER) AS perm),

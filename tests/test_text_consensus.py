@@ -190,6 +190,30 @@ def test_consensus_cluster_finds_planted_groups(spark, algo, metric):
             K.consensus_cluster(df, [2], **wrong)
 
 
+@pytest.mark.parametrize("algo,metric", [("kmeans", "cosine"), ("kmeans", "eta"), ("pam", "euclidean")])
+def test_tasks_and_rounds_cluster_alike(spark, algo, metric):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(14, 4))
+    rows = [(p, i, vectors[i].tolist()) for p in range(3) for i in range(14) if (i + p) % 4]
+    sv = spark.createDataFrame(rows, "perm INT, id INT, vec ARRAY<DOUBLE>")
+    found = [sorted(map(tuple, K.consensus_cluster(sv, [2, 4, 99], algo, metric, max_iter=12, reps=3, task_values=most).collect())) for most in (10_000, 0)]
+    assert found[0] == found[1] and len(found[0]) == 2 * len(rows)
+
+
+def test_empty_subsamples(spark):
+    assert K.consensus_cluster(spark.createDataFrame([], "perm INT, id INT, vec ARRAY<DOUBLE>"), [2]).count() == 0
+
+
+@pytest.mark.parametrize("metric", K.METRICS)
+def test_matrix_distances_equal_the_expressions(spark, metric):
+    rng = np.random.default_rng(13)
+    v = np.vstack([rng.normal(size=(5, 3)), np.zeros(3), np.ones(3)])
+    df = spark.createDataFrame([(i, j, v[i].tolist(), v[j].tolist()) for i in range(7) for j in range(7)], "i INT, j INT, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>")
+    m = K.distances_to(v, v, metric)
+    for r in df.select("i", "j", K.distance("a", "b", metric).alias("d")).collect():
+        assert m[r.i, r.j] == pytest.approx(r.d, abs=1e-7)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 12])
 def test_affinity_gives_exactly_k(spark, k):
     from citegraph.operators.affinity import affinity_propagation_k
