@@ -138,3 +138,15 @@ def test_unreadable_gzip_shard_gives_an_empty_part(spark, tmp_path):
     (tmp_path / "b.json.gz").write_bytes(b"\x1f\x8b\x08\x00" + b"broken" * 20)
     good, bad = scan_tolerant(spark, f"{tmp_path}/*.json.gz", T.StructType([T.StructField("x", T.LongType())]))
     assert [r["x"] for r in good.collect()] == [1] and bad.count() == 1
+
+
+def test_except_is_the_set_difference_of_the_graph_of_two_years(spark):
+    import __spark_entry__ as E
+    from citegraph.plans.graph_queries import edges
+
+    nodes = {}
+    for r in edges(spark, SF001, "author").collect():
+        nodes.setdefault(r["year"], set()).update((r["node1"], r["node2"]))
+    got = [r["node"] for r in E.queries()["except"](spark, SF001).collect()]
+    assert sorted(got) == sorted(nodes[1997] - nodes[1998])
+    assert E.oracle_sql()["except"] == E.oracle_sql()["except_nodes"]
