@@ -124,3 +124,11 @@ def test_author_level_of_the_path_centralities(spark):
         want = {(y, n): v for y, e in edges.items() for n, v in oracle(e).items()}
         rows = {(r["year"], r["node"]): r[column] for r in E.queries()[name](spark, SF001).collect()}
         assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-4 for k in want)
+
+
+@pytest.mark.parametrize("metric", ["closeness", "betweenness"])
+def test_paths_within_tasks_equal_those_of_rounds(graphs, metric):
+    fn = {"closeness": C.closeness_centrality, "betweenness": C.betweenness_centrality}[metric]
+    simple = graphs[0]
+    a, b = _as_dict(fn(simple), metric), _as_dict(fn(simple, task_arcs=0), metric)
+    assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], abs=1e-12) for x in b)
