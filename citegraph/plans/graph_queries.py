@@ -10,7 +10,7 @@ from citegraph.operators import graph as G
 from citegraph.plans import standins as S
 from citegraph.plans.common import rounded
 from citegraph.plans.registry import register, stage
-from citegraph.session import cut_lineage
+from citegraph.session import cut_lineage, wide_shuffles
 from citegraph.plans.sqlparts import CII, OH, PROP, STRENGTH, edges_sql, with_
 
 # level -> (node id column, node name column or expression, parent id column)
@@ -38,7 +38,8 @@ def edges(spark: SparkSession, d: str, level: str) -> DataFrame:
         node_id, name, parent = LEVELS[level]
         name = name() if callable(name) else name
         oh = S.org_hierarchy(spark, d)
-        return cut_lineage(G.cooccurrence_edges(oh, "publication_id", "publication_year", node_id, name, parent))
+        with wide_shuffles(spark, S.table(spark, d, "lineitem").count()):
+            return cut_lineage(G.cooccurrence_edges(oh, "publication_id", "publication_year", node_id, name, parent))
 
     return stage(spark, d, f"edges_{level}", build)
 
@@ -172,8 +173,12 @@ SIMPLE = """g AS (SELECT year, LEAST(node1, node2) AS u, GREATEST(node1, node2)
 
 
 def _simple(spark, d):
-    e = G.weight_threshold(G.cii(edges(spark, d, "author")), "cii", 1.0)
-    return G.undirected_simplify(e, "cii")
+    def build():
+        e = edges(spark, d, "author")
+        with wide_shuffles(spark, e.count()):
+            return cut_lineage(G.undirected_simplify(G.weight_threshold(G.cii(e), "cii", 1.0), "cii"))
+
+    return stage(spark, d, "simple_author", build)
 
 
 @register("undirected_simplify", _q("author", "SELECT year, u, v, ROUND(w, 6) AS w FROM g", STRENGTH, CII, SIMPLE))
@@ -357,7 +362,12 @@ TOP_AUTHORS = 50
 
 
 def _whole_graph(spark, d, level):
-    return G.undirected_simplify(G.cii(edges(spark, d, level)), "cii")
+    def build():
+        e = edges(spark, d, level)
+        with wide_shuffles(spark, e.count()):
+            return cut_lineage(G.undirected_simplify(G.cii(e), "cii"))
+
+    return stage(spark, d, f"whole_{level}", build)
 
 
 def _author_page_graph(spark, d):
@@ -442,4 +452,5 @@ FROM oh a JOIN oh b ON a.publication_id = b.publication_id WHERE a.author_id < b
 def cooccurrence_by_id(spark, d):
     """Author co-occurrence grouped by the canonical id pair (the corrected variant)."""
     oh = S.org_hierarchy(spark, d)
-    return G.cooccurrence_edges(oh, "publication_id", "publication_year", "author_id", "author_name", group_by="id")
+    with wide_shuffles(spark, S.table(spark, d, "lineitem").count()):
+        return cut_lineage(G.cooccurrence_edges(oh, "publication_id", "publication_year", "author_id", "author_name", group_by="id"))
