@@ -146,3 +146,34 @@ def test_embeddings_of_texts_without_tokens(spark):
 
     got = {r["doc_id"]: r["embedding"] for r in X.embed_texts(docs, "doc_id", "text", dim=2, chunk=512, encoder=model).collect()}
     assert got[1] == pytest.approx([450.0, 1.0]) and got[2] == got[3] == got[4] == [0.0, 0.0]
+
+
+def test_pairs_of_blocks_are_not_broadcast(spark):
+    from citegraph.operators.consensus import block_pairs
+
+    d = spark.range(300).selectExpr("id", "id % 3 AS v")
+    met = block_pairs(d, "id", 16)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    rows = [(r.i, r.j, r.l_v, r.r_v) for r in met.collect()]
+    assert sorted(rows) == [(i, j, i % 3, j % 3) for i in range(300) for j in range(i + 1, 300)]
+
+
+def test_many_pairs_get_many_partitions(df):
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    args = (df.select("g", "k"), ["g"], "k", ["k"], ["k"])
+    for hot in (50, 20_000):
+        a, b = pairs_within_groups(*args, hot_rows=hot), pairs_within_groups(*args, hot_rows=hot, pairs_per_task=500)
+        assert b.rdd.getNumPartitions() > few
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_wide_shuffles_follow_the_rows_and_end_with_the_block(spark):
+    from citegraph.session import wide_shuffles
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(c) for c in names]
+    with pytest.raises(RuntimeError), wide_shuffles(spark, 1000, 10):
+        assert spark.range(50).selectExpr("id % 7 AS g").groupBy("g").count().rdd.getNumPartitions() == 100
+        raise RuntimeError
+    assert [spark.conf.get(c) for c in names] == before
