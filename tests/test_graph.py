@@ -132,3 +132,10 @@ def test_paths_within_tasks_equal_those_of_rounds(graphs, metric):
     simple = graphs[0]
     a, b = _as_dict(fn(simple), metric), _as_dict(fn(simple, task_arcs=0), metric)
     assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], abs=1e-12) for x in b)
+
+
+def test_a_node_without_a_name_keeps_its_row(spark):
+    simple = spark.createDataFrame([(1, "a", "b", 1.0), (1, None, None, 1.0)], "year INT, u STRING, v STRING, w DOUBLE")
+    for task_arcs in (0, 100):
+        got = _as_dict(C.closeness_centrality(simple, task_arcs=task_arcs), "closeness")
+        assert got == {(1, "a"): 0.5, (1, "b"): 0.5, (1, None): 0.0}
