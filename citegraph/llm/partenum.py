@@ -190,6 +190,8 @@ def signatures(key, owner, n, size, common: np.ndarray, bands: np.ndarray):
 
 #: words of 64 bits of the short parity bitmap that the pairing join tests
 PARITY = 32
+#: sets of a centre that a task pairs with all others of the centre
+CENTRE_ROWS = 256
 
 
 def bitmaps(key: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -360,7 +362,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, percent: int
     pairs = write_once(_possible(pairs, owners, percent), "possible-pairs")
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct().join(owners.select("name", "doc_id"), "name")
+    wanted = write_once(pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct().join(owners.select("name", "doc_id"), "name"), "wanted")
     sets = write_once(_sets(docs, wanted), "shingle-sets")
 
     def test(n, m, x, y):
@@ -390,6 +392,20 @@ def _near(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     return met.select("u", "v")
 
 
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of sets of one centre in different components, to be joined by (center, deal).
+
+    A centre with more than ``CENTRE_ROWS`` sets is dealt: each set has one
+    deal on the left and all deals on the right, so every pair meets once and
+    a task pairs about ``CENTRE_ROWS`` sets with the centre's.
+    """
+    split = members.groupBy("center").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count(F.lit(1)) / CENTRE_ROWS).alias("deals")).filter("a != b").select("center", "deals")
+    held = members.filter("center != name").join(split, "center")
+    left = held.withColumn("deal", F.pmod(F.xxhash64("name"), F.col("deals")))
+    right = held.withColumn("e", F.explode(F.expr("sequence(0L, deals - 1)")))
+    return left, right.select(F.col("center").alias("c"), "e", F.col("name").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tie, n_shingles, component_id, root) of every row of ``docs``; tie is the text's hash."""
     told = write_once(_described(docs), "sets")
@@ -408,10 +424,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # sets of one centre that are still in different components
     known = owners.select("name", "n", "parity").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     members = write_once(stars.join(known, "name"), "members")
-    split = members.groupBy("center").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("center")
-    left = members.filter("center != name").join(split, "center")
-    right = left.select(F.col("center").alias("c"), F.col("name").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
-    near = F.expr("center = c AND root < rv") & _may_link("n", "nv", "parity", "pv", percent)
+    left, right = _dealt(members)
+    near = F.expr("center = c AND deal = e AND root < rv") & _may_link("n", "nv", "parity", "pv", percent)
     rest = left.join(right, near).select(F.least("name", "v").alias("u"), F.greatest("name", "v").alias("v")).distinct()
     more = write_once(_verified(rest, docs, owners, percent), "more-links")
     if not more.isEmpty():

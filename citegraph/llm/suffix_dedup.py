@@ -248,7 +248,8 @@ def bit_table(keys: DataFrame) -> np.ndarray:
     low = F.col("key").bitwiseAND(F.lit((1 << power) - 1))
     pages = keys.select((F.shiftright(low, 16)).alias("page"), low.bitwiseAND(F.lit((1 << 16) - 1)).alias("bit")).distinct()
     out = np.zeros(1 << (power - 3), np.uint8)
-    for r in pages.groupBy("page").applyInArrow(bits, "page long, bits binary").toLocalIterator():
+    # written before it is iterated: over a shuffle the iterator runs a job for each partition
+    for r in write_once(pages.groupBy("page").applyInArrow(bits, "page long, bits binary"), "bit-pages").toLocalIterator():
         out[r["page"] << 13 : (r["page"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return out
 

@@ -106,3 +106,58 @@ def test_families_of_near_copies(spark):
     got = {r["doc_id"]: r["component_id"] for r in pe.digest(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
     assert got == want
     assert 20 < len(set(want.values())) < len(texts) - 150
+
+
+def test_a_large_centre_is_dealt_over_tasks(spark):
+    """Every pair of sets of one centre in different components meets once, in deals of bounded size."""
+    members = [(7, i, i % 3, 10, [0]) for i in range(1500)] + [(8, i, i, 10, [0]) for i in range(4)] + [(9, i, 5, 10, [0]) for i in range(9)]
+    df = spark.createDataFrame(members, "center long, name long, root long, n long, parity array<long>")
+    left, right = pe._dealt(df)
+    most = left.groupBy("center", "deal").count().agg({"count": "max"}).first()[0]
+    assert most <= 1.5 * pe.CENTRE_ROWS
+    met = left.join(right.withColumnRenamed("n", "m"), (left["center"] == right["c"]) & (left["deal"] == right["e"]) & (left["root"] < right["rv"]))
+    got = sorted((r["center"], r["name"], r["v"]) for r in met.select("center", "name", "v").collect())
+    want = sorted((c, a, b) for c, a, x, *_ in members for d, b, y, *_ in members if c == d and a != c and b != c and x < y)
+    assert got == want
+
+
+def test_bit_table_runs_few_jobs(spark):
+    """A job for each partition of the shuffle was most of the time of a run on small input."""
+    from citegraph.llm.suffix_dedup import bit_table
+
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in names}
+    keys = spark.range(5000).selectExpr("xxhash64(id) key")
+    try:
+        for c, v in names.items():
+            spark.conf.set(c, v)
+        spark.sparkContext.setJobGroup("bit_table", "")
+        table = bit_table(keys)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bit_table")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    key = np.array([r["key"] for r in keys.collect()], np.int64).view(np.uint64) & np.uint64(8 * len(table) - 1)
+    bits = np.unpackbits(table)
+    assert bits[key.astype(np.int64)].all() and bits.sum() == len(np.unique(key))
+    assert len(jobs) < 30
+
+
+def test_components_of_few_edges_are_written_in_few_files(spark, monkeypatch):
+    from citegraph.llm import components as C
+
+    files, write = [], C.write_once
+    monkeypatch.setattr(C, "write_once", lambda df, name: files.append(write(df, name)) or files[-1])
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in names}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "u long, v long")
+    try:
+        for c, v in names.items():
+            spark.conf.set(c, v)
+        got = {r["node"]: r["root"] for r in C.components(edges).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == {i: i // 10 * 10 for i in range(40)}
+    assert all(len(f.inputFiles()) == 1 for f in files[1:])
