@@ -164,3 +164,34 @@ def test_eigenvector_rounds_do_not_move_the_arcs(spark):
     x = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (1, "c", 1.0)], "year int, src string, x double")
     plan = arcs.join(x.hint("merge"), ["year", "src"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+
+
+def test_kmeans_round_sends_sums_of_changed_clusters_only(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 4))
+    v = np.concatenate([v, v[:5], v[:5]])  # equal points count as often as they are there
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    x = spark.createDataFrame([(row.tolist(),) for row in v], "vec array<double>")
+    blocks = K._blocks(x, 4)
+    centres = v[:14].reshape(2, 7, 4).copy()
+    told = np.full((2, 7, 3), -1)
+    rows = K._lloyd_round(blocks, centres, told)
+    assert sorted(r["restart"] for r in rows) == [0, 1]
+    for r in rows:
+        near = (v @ centres[r["restart"]].T).argmax(1)
+        seen = np.frombuffer(r["seen"], np.int64).reshape(7, 3)
+        assert seen[:, 0].tolist() == np.bincount(near, minlength=7).tolist()
+        sums = np.frombuffer(r["sums"]).reshape(-1, 4)
+        assert np.allclose(sums, [v[near == c].sum(0) for c in range(7)])
+        told[r["restart"]] = seen
+    # told the same, nothing is sent; a centre that moves sends the clusters that gain or lose points
+    again = K._lloyd_round(blocks, centres, told)
+    assert all(len(r["sums"]) == 0 for r in again)
+    centres[1, 0] = -centres[1, 0]
+    for r in K._lloyd_round(blocks, centres, told):
+        seen = np.frombuffer(r["seen"], np.int64).reshape(7, 3)
+        changed = (seen != told[r["restart"]]).any(1) & (seen[:, 0] > 0)
+        near = (v @ centres[r["restart"]].T).argmax(1)
+        want = [v[near == c].sum(0) for c in np.flatnonzero(changed)]
+        assert changed.any() == (r["restart"] == 1)
+        assert np.allclose(np.frombuffer(r["sums"]).reshape(-1, 4), np.array(want).reshape(-1, 4))
