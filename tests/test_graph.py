@@ -139,3 +139,49 @@ def test_a_node_without_a_name_keeps_its_row(spark):
     for task_arcs in (0, 100):
         got = _as_dict(C.closeness_centrality(simple, task_arcs=task_arcs), "closeness")
         assert got == {(1, "a"): 0.5, (1, "b"): 0.5, (1, None): 0.0}
+
+
+@pytest.mark.parametrize("metric", ["closeness", "betweenness"])
+def test_paths_of_several_cells_equal_those_within_tasks(graphs, metric):
+    fn = {"closeness": C.closeness_centrality, "betweenness": C.betweenness_centrality}[metric]
+    simple = graphs[0]
+    a, b = _as_dict(fn(simple, sources=5), metric), _as_dict(fn(simple, sources=5, task_arcs=0, cell_edges=40, in_flight=1), metric)
+    assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], abs=1e-12) for x in b)
+
+
+def test_a_round_sends_a_row_for_a_cell_and_node_and_not_for_an_arc(spark):
+    rows = [(1, f"n{i:02}", f"n{j:02}", 1.0 + (i * 7 + j * 3) % 5) for i in range(40) for j in range(i + 1, 40)]
+    simple = spark.createDataFrame(rows, "year INT, u STRING, v STRING, w DOUBLE")
+    cells = C._into_cells(C._edges(simple, ["year"], positive=True), ["year"], len(rows), 1, 400)
+    assert cells.parts == 2 and cells.table.select("p", "q").distinct().count() == 3
+    front = spark.createDataFrame([(1, 0, f"n{i:02}", 0.0) for i in range(40)], "year INT, b INT, node STRING, d0 DOUBLE")
+    sent = cells.exchange(front, ["d0"], C._nearer)
+    assert sent.count() <= 40 * cells.parts < 2 * len(rows)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # what is sent; the cells lie where they are
+
+
+def test_pairs_are_shuffled_once_to_be_counted(spark):
+    rows = [(p, 1, i, f"n{i % 7}") for p in range(20) for i in range(p % 5, 12)]
+    members = spark.createDataFrame(rows, "pub INT, year INT, id INT, name STRING")
+    pairs = {(p, a, b) for p, _, i, a in rows for q, _, j, b in rows if p == q and i < j}
+    want = {}
+    for _, a, b in pairs:
+        want[a, b] = want.get((a, b), 0) + 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = G.cooccurrence_edges(members, "pub", "year", "id", "name")
+        assert {(r.node1, r.node2): r.weight for r in edges.collect()} == want
+        assert edges._jdf.queryExecution().sparkPlan().toString().count("countDistinct") == 0
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert plan[plan.index("Initial Plan") :].count("Exchange hashpartitioning") == 3 if "Initial Plan" in plan else plan.count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_leave_out_what_is_no_path(spark):
+    rows = [(1, "a", "b", 1.0), (1, "b", "c", 2.0), (1, "c", "d", 0.0), (1, "e", "e", 1.0), (None, "a", "b", 1.0), (1, None, "a", 1.0), (2, "x", "y", 1.0)]
+    simple = spark.createDataFrame(rows, "year INT, u STRING, v STRING, w DOUBLE")
+    for fn, name in ((C.closeness_centrality, "closeness"), (C.betweenness_centrality, "betweenness")):
+        a, b = _as_dict(fn(simple), name), _as_dict(fn(simple, task_arcs=0, cell_edges=1), name)
+        assert a == pytest.approx(b) and {n for y, n in b if y == 1} == {"a", "b", "c", "d", "e", None}
