@@ -11,13 +11,15 @@ by year alone are avoided, since they would place a whole year in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.operators.skew import pairs_within_groups
 from citegraph.session import cut_lineage
 
 EDGE_COLS = ["year", "node1", "node2", "weight"]
+#: the cell of an edge: the parts of its two nodes, the lesser first
+CELL = ["_p", "_q"]
 
 def _by(by) -> list[str]:
     if by is None:
@@ -113,14 +115,36 @@ def node_strength(edges: DataFrame, metric: str = "weight", by=None, out: str =
     )
 
 
-def _with_strengths(edges: DataFrame, by) -> DataFrame:
+def _with_strengths(edges: DataFrame, by, parts: int | None = None) -> DataFrame:
+    """``edges`` with the strengths ``_s1`` and ``_s2`` of their nodes.
+
+    With ``parts`` nodes are dealt into so many parts and edges into ``CELL``s,
+    one for each pair of parts, which the result names: an edge moves once for
+    both strengths, a strength once for each part.
+    """
     keys = _by(by)
     s = node_strength(edges, "weight", keys, "_s")
+    if parts is not None:
+        return _strengths_in_cells(edges, s, keys, parts)
     s1 = s.select(*keys, F.col("node").alias("node1"), F.col("_s").alias("_s1"))
     s2 = s.select(*keys, F.col("node").alias("node2"), F.col("_s").alias("_s2"))
     return edges.join(s1, [*keys, "node1"], "left").join(s2, [*keys, "node2"], "left")
 
 
+def _strengths_in_cells(edges: DataFrame, s: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    cell = lambda x, y: [F.least(x, y).alias("_p"), F.greatest(x, y).alias("_q")]
+    tasks = max(parts * (parts + 1), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = s.dropna(subset=[*keys, "node"]).withColumn("_x", part("node")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sent = sent.select(*keys, *cell(F.col("_x"), F.col("_y")), F.col("node").alias("node1"), F.col("node").alias("node2"), "_s")
+    # a row with a strength stands for its node on both sides
+    held = edges.select("*", *cell(part("node1"), part("node2"))).withColumn("_edge", F.lit(True))
+    met = held.unionByName(sent, allowMissingColumns=True).repartition(tasks, *keys, *CELL)
+    for c, out in (("node1", "_s1"), ("node2", "_s2")):
+        met = met.withColumn(out, F.max("_s").over(Window.partitionBy(*keys, *CELL, c)))
+    return met.filter("_edge").drop("_s", "_edge")
+
+
 def proportional_weight(edges: DataFrame, by=None) -> DataFrame:
     """½(w/strength(node1) + w/strength(node2)), undefined -> 0 (#101)."""
     w = F.col("weight").cast("double")
@@ -129,11 +153,11 @@ def proportional_weight(edges: DataFrame, by=None) -> DataFrame:
     return x.withColumn("proportional_weight", F.coalesce(pw, F.lit(0.0))).drop("_s1", "_s2")
 
 
-def cii(edges: DataFrame, by=None) -> DataFrame:
-    """Collaboration intensity index w / (s1·s2 / Σw); 0 when undefined (#102)."""
+def cii(edges: DataFrame, by=None, parts: int | None = None) -> DataFrame:
+    """Collaboration intensity index w / (s1·s2 / Σw); 0 when undefined (#102). ``parts``: see ``_with_strengths``."""
     keys = _by(by)
     total = edges.groupBy(*keys).agg(F.sum("weight").cast("double").alias("_tot"))
-    x = _with_strengths(edges, keys).join(per_graph(total), keys)
+    x = _with_strengths(edges, keys, parts).join(per_graph(total), keys)
     expected = F.try_divide(F.col("_s1").cast("double") * F.col("_s2"), F.col("_tot"))
     value = F.try_divide(F.col("weight").cast("double"), F.nullif(expected, F.lit(0.0)))
     return x.withColumn("cii", F.coalesce(value, F.lit(0.0))).drop("_s1", "_s2", "_tot")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -359,13 +361,18 @@ def edge_metric_table_author(spark, d):
 # The metrics run on whole graphs; the author page's composition (the
 # strongest nodes first, then weights and the simple graph) has its own queries.
 TOP_AUTHORS = 50
+#: edges of a year that a task holds on average to get its nodes' strengths
+CELL_EDGES = 500_000
 
 
 def _whole_graph(spark, d, level):
     def build():
         e = edges(spark, d, level)
-        with wide_shuffles(spark, e.count()):
-            return cut_lineage(G.undirected_simplify(G.cii(e), "cii"))
+        rows = e.groupBy("year").count().agg(F.sum("count"), F.max("count")).first()
+        parts = math.ceil(math.sqrt(2 * (rows[1] or 1) / CELL_EDGES))
+        with wide_shuffles(spark, rows[0] or 0):
+            simple = G.undirected_simplify(G.cii(e, parts=parts), "cii", by=["year", *G.CELL])
+            return cut_lineage(simple.drop(*G.CELL))
 
     return stage(spark, d, f"whole_{level}", build)
 

@@ -161,27 +161,26 @@ def test_a_round_sends_a_row_for_a_cell_and_node_and_not_for_an_arc(spark):
     assert plan.count("Exchange ") == 1  # what is sent; the cells lie where they are
 
 
-def test_pairs_are_shuffled_once_to_be_counted(spark):
-    rows = [(p, 1, i, f"n{i % 7}") for p in range(20) for i in range(p % 5, 12)]
-    members = spark.createDataFrame(rows, "pub INT, year INT, id INT, name STRING")
-    pairs = {(p, a, b) for p, _, i, a in rows for q, _, j, b in rows if p == q and i < j}
-    want = {}
-    for _, a, b in pairs:
-        want[a, b] = want.get((a, b), 0) + 1
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        edges = G.cooccurrence_edges(members, "pub", "year", "id", "name")
-        assert {(r.node1, r.node2): r.weight for r in edges.collect()} == want
-        assert edges._jdf.queryExecution().sparkPlan().toString().count("countDistinct") == 0
-        plan = edges._jdf.queryExecution().executedPlan().toString()
-        assert plan[plan.index("Initial Plan") :].count("Exchange hashpartitioning") == 3 if "Initial Plan" in plan else plan.count("Exchange hashpartitioning") == 3
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_cells_leave_out_what_is_no_path(spark):
     rows = [(1, "a", "b", 1.0), (1, "b", "c", 2.0), (1, "c", "d", 0.0), (1, "e", "e", 1.0), (None, "a", "b", 1.0), (1, None, "a", 1.0), (2, "x", "y", 1.0)]
     simple = spark.createDataFrame(rows, "year INT, u STRING, v STRING, w DOUBLE")
     for fn, name in ((C.closeness_centrality, "closeness"), (C.betweenness_centrality, "betweenness")):
         a, b = _as_dict(fn(simple), name), _as_dict(fn(simple, task_arcs=0, cell_edges=1), name)
         assert a == pytest.approx(b) and {n for y, n in b if y == 1} == {"a", "b", "c", "d", "e", None}
+
+
+def test_strengths_and_simple_edges_in_cells_equal_plain(spark):
+    rows = [(y, f"n{i:02}", f"n{j:02}", 1 + (i * j + y) % 4) for y in (1, 2) for i in range(12) for j in range(i + 1, 12)] + [(None, "a", "b", 1), (1, None, "n01", 2), (1, "n03", "n03", 1)]
+    e = spark.createDataFrame(rows, "year INT, node1 STRING, node2 STRING, weight BIGINT")
+    plain = {tuple(r) for r in G.undirected_simplify(G.cii(e), "cii").collect()}
+    dealt = G.cii(e, parts=3)
+    simple = G.undirected_simplify(dealt, "cii", by=["year", *G.CELL]).drop(*G.CELL)
+    assert simple.columns == ["year", "u", "v", "w"] and {tuple(r) for r in simple.collect()} == plain
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        simple = G.undirected_simplify(G.cii(e, parts=3), "cii", by=["year", *G.CELL])
+        # the edges move once for both strengths and the pair
+        moved = [x for x in simple._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+        assert sum("_p#" in x for x in moved) == 1 and not any("u#" in x or "node1#" in x for x in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
