@@ -184,3 +184,53 @@ def test_strengths_and_simple_edges_in_cells_equal_plain(spark):
         assert sum("_p#" in x for x in moved) == 1 and not any("u#" in x or "node1#" in x for x in moved)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _sorted_graph(n, edges):
+    import numpy as np
+
+    s, t, w = (np.array(x) for x in zip(*(edges + [(v, u, w) for u, v, w in edges])))
+    order = np.lexsort((t, w, s))
+    return C._SortedArcs(np.bincount(s, minlength=n).astype("int32"), t[order].astype("int32"), w[order].astype(float))
+
+
+def test_a_source_looks_at_the_arcs_of_its_surroundings_only(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 600
+    # two dense parts without a path between them, lengths within a factor of a few as collaboration strengths have
+    edges = [(u, v, 3 + float(rng.lognormal(2, 0.4))) for u in range(n) for v in range(u + 1, n) if u % 2 == v % 2 and rng.random() < 0.3]
+    graph = _sorted_graph(n, edges)
+    looked, pieces = [0], C._SortedArcs.pieces
+
+    def counted(self, nodes, counts):
+        looked[0] += int(counts.sum())
+        return pieces(self, nodes, counts)
+
+    monkeypatch.setattr(C._SortedArcs, "pieces", counted)
+    want = np.full((n, n), np.inf)
+    for u, v, w in edges:
+        want[u, v] = want[v, u] = w
+    np.fill_diagonal(want, 0)
+    for x in range(n):
+        want = np.minimum(want, want[:, x, None] + want[x])
+    some = range(0, n, 20)
+    for source in some:
+        assert np.allclose(C._task_distances(graph, source), want[source], rtol=1e-12)
+    assert looked[0] < len(some) * 2 * len(edges) / 4  # before: every arc several times for each source
+
+
+def test_path_arcs_are_found_whatever_their_lengths():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for lengths in ([1.0], [1.0, 2.0, 3.0], list(10.0 ** rng.uniform(-9, 3, 50))):
+        edges = [(u, v, float(rng.choice(lengths))) for u in range(60) for v in range(u + 1, 60) if rng.random() < 0.15]
+        graph = _sorted_graph(62, edges)  # the last two without arcs
+        for source in (0, 17, 61):
+            d = C._task_distances(graph, source)
+            back = {(u, v) for a, b, w in edges for u, v in ((a, b), (b, a)) if d[u] + w == d[v] and d[u] < d[v]}
+            assert all(any(v == x for _, v in back) for x in np.flatnonzero(np.isfinite(d) & (d > 0)))
+            tail, head = C._task_path_arcs(graph, source, d)
+            assert len(tail) == len(back) and set(zip(tail.tolist(), head.tolist())) == back
