@@ -54,3 +54,35 @@ def test_runs_that_advance_together_equal_single_ones(monkeypatch, algo, metric)
         got = K._settled_runs(v, apart, firsts, metric, 1000)
         want = [_one_by_one(v, apart, f, metric) for f in firsts]
         assert len(got) == 9 and all((a[1] == b[1]).all() and a[0] == pytest.approx(b[0]) for a, b in zip(got, want))
+
+
+def test_communities_within_tasks_equal_those_of_jobs(spark, monkeypatch):
+    from citegraph.operators import communities as CO
+
+    rng = np.random.default_rng(8)
+    rows = [(g, int(a), int(b), round(float(rng.uniform(0, 1 + 4 * (a % 3 == b % 3))), 3)) for g, n in ((0, 30), (1, 17)) for a in range(n) for b in range(a, n) if rng.random() < 0.5]
+    rows += [(2, 0, 1, 0.0), (2, 2, 3, 1.0), (2, 4, 4, 1.0), (0, 5, 3, 0.25)]
+    edges = spark.createDataFrame(rows, "perm int, i int, j int, w double")
+    jobs = sorted(map(tuple, CO.modularity_communities(edges, "perm", task_nodes=0).collect()))
+    monkeypatch.setattr(CO, "_settled_in_jobs", None)  # before: every round was some jobs
+    assert sorted(map(tuple, CO.modularity_communities(edges, "perm").collect())) == jobs
+    assert len({c for p, _, c in jobs if p == 0}) > 1
+
+
+@pytest.mark.parametrize("metric", K.METRICS)
+def test_pair_distances_equal_the_distance_of_two_vectors(spark, metric):
+    rng = np.random.default_rng(9)
+    rows = [(i, r.tolist()) for i, r in enumerate(rng.normal(size=(40, 6)))] + [(40, [0.0] * 6), (41, [2.0] * 6), (42, None), (43, [1.0, None, 0.0, 1.0, 2.0, 3.0]), (44, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "id int, vec array<double>")
+    got = {(r["i"], r["j"]): r["dist"] for r in K.pair_distance(v, metric).collect()}
+    a, b = (v.select(v.id.alias(c), v.vec.alias(f"{c}v")) for c in "ij")
+    want = {(r["i"], r["j"]): r["d"] for r in a.join(b.hint("merge"), a.i < b.j).select("i", "j", K.distance("iv", "jv", metric).alias("d")).collect()}
+    odd = lambda pair: 44 in pair  # a vector of another length has no distance to speak of
+    assert got.keys() == want.keys() and all(got[p] == want[p] for p in want if not odd(p))
+
+
+def test_blocks_of_pairs_grow_with_the_table():
+    # before: 256 rows whatever the table, so 360,000 items were copied 1,407 times
+    assert -(-360_000 // K._rows_per_block(360_000, 6)) == 60
+    assert all(16 <= K._rows_per_block(n, 6) <= K.BLOCK_ROWS for n in (0, 1, 500, 10**7))
+    assert -(-500 // K._rows_per_block(500, 6)) >= 6  # few items still are some tasks'
