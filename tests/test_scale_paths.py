@@ -177,3 +177,21 @@ def test_wide_shuffles_follow_the_rows_and_end_with_the_block(spark):
         assert spark.range(50).selectExpr("id % 7 AS g").groupBy("g").count().rdd.getNumPartitions() == 100
         raise RuntimeError
     assert [spark.conf.get(c) for c in names] == before
+
+
+def test_total_and_median_write_their_rows_once(spark, monkeypatch):
+    import citegraph.session as S
+
+    rows = [("a", float(i * 7 % 100)) for i in range(101)] + [("b", 1.0), ("b", 4.0), (None, 2.0), ("c", None)]
+    written, cut = [], S.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    got = {r["k"]: (r["total_impact_score"], r["median_impact_score"]) for r in A.sum_and_median(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    a = sorted(v for k, v in rows if k == "a")
+    assert got == {"a": (sum(a), a[50]), "b": (5.0, 2.5), None: (2.0, 2.0), "c": (None, None)}
+    assert sum(n > 50 for n in written) == 1  # before: once for the totals, once for the medians
